@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding
+from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding, simhash
 from sparkloom.llm.license_texts import KNOWN
 
 SHARDS = 40
@@ -31,6 +31,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,5 +67,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op4_license_scan, op7_decontaminate, op9_mixing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op4_license_scan, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
 ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}
