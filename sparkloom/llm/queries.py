@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding, simhash
+from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding, simhash, token_files
 from sparkloom.llm.license_texts import KNOWN
 
-SHARDS = 40
+SHARDS, TOKENIZER, END_ID = 40, "byte_bpe_50k.json", 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = token_files.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return x.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -67,5 +78,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op4_license_scan, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_token_files, op4_license_scan, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
 ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}
