@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding, simhash, token_files
+from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding, simhash, token_files, warc
 from sparkloom.llm.license_texts import KNOWN
 
 SHARDS, TOKENIZER, END_ID = 40, "byte_bpe_50k.json", 2
@@ -37,6 +37,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return x.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -78,5 +82,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_token_files, op4_license_scan, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_token_files, op4_license_scan, op6_warc, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
 ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}

@@ -213,7 +213,7 @@ def write(tokenizer: str, end_id: int, folder: str, bits: bool, file_ids: int):
                     out = None
                 if not out:
                     part, draft = p, f"{root}/.draft-{uuid.uuid4().hex}"
-                    out = Writer(fs.open_output_stream(draft), bits)
+                    out = Writer(fs.open_output_stream(draft, compression=None), bits)
                 out.add(doc_id, np.array([*encode(text.as_py() or ""), end_id], np.uint32))
         if out:
             close()
