@@ -16,14 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store
+from sparkloom.llm.store import Store, small_side
 
 #: What separates words in a text of either case, and once A-Z are lower-cased (fixed by the contract).
 SEPARATOR, UPPER, LOWER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window, and the rarest terms of each that are looked up.
 WINDOW, RAREST = 13, 2
-#: A side is broadcast up to this many stored bytes and rows; beyond, the same join shuffles.
-BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
 
 
 def words(text: F.Column) -> F.Column:
@@ -41,11 +39,6 @@ def term(word: F.Column) -> F.Column:
     return F.xxhash64(F.lower(word))
 
 
-def small_side(df: DataFrame, store: Store, name: str) -> DataFrame:
-    """df, a saved table, with a broadcast hint if its size allows that."""
-    return F.broadcast(df) if store.bytes(name) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
-
-
 def item_windows(items: DataFrame, store: Store, window: int) -> DataFrame:
     """(item_id, pieces): each test item's words, lower-cased; distinct, without items that have none."""
     pieces = F.filter(words(F.translate("text", UPPER, LOWER)), lambda w: w != "")

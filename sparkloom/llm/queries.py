@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, exact_dedup, licenses, mixing, sharding, simhash, token_files, warc
+from sparkloom.llm import decontaminate, exact_dedup, language, licenses, mixing, sharding, simhash, token_files, toxicity, warc
 from sparkloom.llm.license_texts import KNOWN
 
 SHARDS, TOKENIZER, END_ID = 40, "byte_bpe_50k.json", 2
@@ -22,6 +22,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language.held_out("doc_id", 3, 1)
+    x = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out)
+    return x.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -37,6 +43,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), language.held_out("doc_id", 5, 0)
+    x = language.predict(docs, language.learn(docs.where(~out).select("doc_id", "text", "lang")))
+    return x.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -82,5 +94,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_token_files, op4_license_scan, op6_warc, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_files, op4_license_scan, op5_language, op6_warc, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
 ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}

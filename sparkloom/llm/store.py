@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +50,15 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
+#: A saved table is broadcast up to this many stored bytes and rows; beyond, the same join shuffles.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
+
+
+def small_side(df: DataFrame, store: Store, name: str) -> DataFrame:
+    """df, the saved table of that name, with a broadcast hint if its size allows that."""
+    return F.broadcast(df) if store.bytes(name) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
+
+
 def parts(rows: int, per_task: int, least: int = 1) -> int:
     """Tasks for so many rows, so that a task's share has a bound at any size."""
     return max(least, -(-rows // per_task))
