@@ -8,8 +8,8 @@ Learning takes a bounded sample: about SAMPLE documents of each language, drawn
 n-grams those in at least SEEN of the language's documents, the most frequent GRAMS of them. With over 64 languages the
 64 with most documents are learned.
 
-Defined results: null texts and texts without a letter are "und" with score 0; a text that shares no n-gram with any
-language gets the first language with score 0; with nothing to learn from all are "und"; repeated rows and null ids
+Defined results: null texts and texts without a letter are "und" with score 0; languages whose counts are equal
+rank by their number of documents; with nothing to learn from all are "und"; repeated rows and null ids
 are judged like others; an empty table gives no rows. Other columns are not looked at.
 """
 
@@ -132,7 +132,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS, seen: float
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Filters.build([], [])
-    names = sorted(r["lang"] for r in counts)
+    names = [r["lang"] for r in counts]  # in this order where counts are equal
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
     drawn = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53)) < F.element_at(rate, F.col("lang")))
     table = store.save(drawn.select("lang", "text").mapInArrow(gram_counts(names), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")

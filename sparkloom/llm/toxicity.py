@@ -8,7 +8,8 @@ only where that class's texts continue a word differently from the rest. The tab
 number of slots, so their size is bounded however large the corpus is.
 
 A word's evidence is the difference of its log-likelihoods. A document's evidence is length-normalised: the mean over
-all words, the highest mean over WINDOW consecutive words, and the second highest word. A logistic regression, fitted
+all words, the highest mean over WINDOW consecutive words, and the second highest word; the logarithm of the number of
+words stands beside them, as maxima grow with it. A logistic regression, fitted
 on labelled documents whose words aren't counted (SAMPLE at most, about), makes a probability of it.
 
 Defined results: null, empty and wordless texts get the share of toxic documents; a document labelled both ways is
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store, small_side
 
-ORDER, DISCOUNT, BITS = 5, 0.75, 20
+ORDER, DISCOUNT, BITS = 4, 0.75, 20
 WINDOW, SAMPLE, HELD_WORDS = 8, 20_000, 400_000
 START, END = "\x01", "\x02"
 WORD = re.compile(r"\w+")
@@ -139,7 +140,7 @@ class Model:
 
 
 def features(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A row per text (mean, best window, second best word), and its number of words."""
+    """A row per text (mean, best window, second best word, log of the words), and its number of words."""
     each = [words(t) for t in texts]
     n = np.fromiter(map(len, each), np.int64, len(each))
     codes, every = pd.factorize(np.array([w for ws in each for w in ws], dtype=object))
@@ -151,7 +152,7 @@ def features(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
             sums = np.concatenate([[0.0], np.cumsum(own)])
             width = min(WINDOW, count)
             out[i] = own.mean(), (sums[width:] - sums[:-width]).max() / WINDOW, np.partition(own, -2)[-2] if count > 1 else own[0] / 2
-    return out, n
+    return np.column_stack([out, np.log1p(n)]), n
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -229,9 +230,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, n = features(shared.value, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(3)], batch.column(1), pa.array(n)], ["a", "b", "c", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)], ["a", "b", "c", "d", "toxic", "n"])
 
-    rows = labelled.where(F.col("u") < part).select("text", "toxic").mapInArrow(measure, "a double, b double, c double, toxic boolean, n long").where("n > 0").toPandas()
+    rows = labelled.where(F.col("u") < part).select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic boolean, n long").where("n > 0").toPandas()
     y = rows["toxic"].to_numpy(float)
-    weights = fit(rows[["a", "b", "c"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
+    weights = fit(rows[["a", "b", "c", "d"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
     return scored(own, model, weights, of[True] / sum(of.values()))
