@@ -5,7 +5,8 @@ that contain it at once. Over a document's n-grams each language's bits are coun
 share of false positives that the language's filter has, and the largest corrected count decides.
 
 Learning takes a bounded sample: about SAMPLE documents of each language, drawn by a hash, whole texts; of their
-n-grams those in at least SEEN of the language's documents, the most frequent GRAMS of them. With over 64 languages the
+n-grams those in at least SEEN of the language's documents, and with at least NEAR times the share of documents that
+the language with most has (mislabelled documents would add other languages' n-grams), the most frequent GRAMS of them. With over 64 languages the
 64 with most documents are learned.
 
 Defined results: null texts and texts without a letter are "und" with score 0; languages whose counts are equal
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store
 
-SAMPLE, GRAMS, SEEN, LANGUAGES, UNKNOWN = 4000, 50_000, 0.002, 64, "und"
+SAMPLE, GRAMS, SEEN, NEAR, LANGUAGES, UNKNOWN = 4000, 50_000, 0.002, 0.1, 64, "und"
 ORDERS, SLOTS, HASHES = (3, 4), 1 << 20, 3
 #: Characters that are hashed at once, so that the arrays stay in a core's cache.
 CHUNK = 1 << 16
@@ -137,6 +138,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS, seen: float
     drawn = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53)) < F.element_at(rate, F.col("lang")))
     table = store.save(drawn.select("lang", "text").mapInArrow(gram_counts(names), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     floor = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(2.0 if r["count"] > 50 else 1.0, seen * min(r["count"], sample)))])
+    drawn_of = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(r["count"], sample)))])
+    rate = F.col("n") / F.element_at(drawn_of, F.col("lang"))
+    table = table.withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= NEAR * F.col("most"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = table.where(F.col("n") >= F.element_at(floor, F.col("lang"))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "gram").toPandas()
     return Filters.build(names, [kept.loc[kept["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64) for name in names])

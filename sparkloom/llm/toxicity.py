@@ -33,6 +33,8 @@ from sparkloom.llm.store import Store, small_side
 
 ORDER, DISCOUNT, BITS = 4, 0.75, 20
 WINDOW, SAMPLE, HELD_WORDS = 8, 20_000, 400_000
+#: Evidence beyond these counts as much, so that a few documents with a lot of it don't sway the regression.
+MOST = (np.inf, 3.0, 8.0)
 START, END = "\x01", "\x02"
 WORD = re.compile(r"\w+")
 TOXIC, ORDINARY = 0, 1
@@ -152,10 +154,10 @@ def features(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
             sums = np.concatenate([[0.0], np.cumsum(own)])
             width = min(WINDOW, count)
             out[i] = own.mean(), (sums[width:] - sums[:-width]).max() / WINDOW, np.partition(own, -2)[-2] if count > 1 else own[0] / 2
-    return np.column_stack([out, np.log1p(n)]), n
+    return np.column_stack([np.minimum(out, MOST), np.log1p(n)]), n
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression (the last is the constant), by Newton's method."""
     z = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(z.shape[1])
