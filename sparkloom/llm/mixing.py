@@ -21,6 +21,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, EPOCHS, BUCKET_ROWS = (3, 1, 2), 1.5, 2, 20_000
 
 
+def order_key(doc_id: F.Column, text_hash: F.Column) -> F.Column:
+    """Hash-random and not negative; documents are taken in its order."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text_hash, F.lit("mix")), 1)
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """Adds target (double) to (source, source_size): share by weight, none above epochs times its size, the excess given to the others by weight.
 
@@ -38,14 +43,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, before (the words before it in its source's order), source, text_hash.
+    """One row per document: doc_id, size, source_size, target, taken, before (the words before it in its
+    source's order), full (whole epochs of its source), key (its place in that order), source.
 
     taken counts whole epochs plus, of the last epoch, what lies before the source's cut; one document a source may be cut.
     """
     store = Store(docs.sparkSession, "mix")
     text_hash = F.xxhash64(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_hash.alias("text_hash"))
-    sized = store.save(sized.withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit("mix")), 1)), "sized")
+    sized = store.save(sized.withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).withColumn("key", order_key(F.col("doc_id"), F.col("text_hash"))), "sized")
     buckets = min(parts(sized.count(), bucket_rows, 8), 1 << 30)
     sized = sized.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 31))
     sums = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
@@ -56,4 +62,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     x = sized.join(cuts, ["skey", "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     x = x.withColumn("budget", F.round("target").cast("long")).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)))
     rest = F.col("budget") - F.col("full") * F.col("source_size") - F.col("before")
-    return x.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(rest, "size"))).cast("long").alias("taken"), "before", "source", "text_hash")
+    return x.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(rest, "size"))).cast("long").alias("taken"), "before", "full", "key", "source")
+
+
+def cuts(mixed: DataFrame) -> DataFrame:
+    """For mixes of whole documents: a row per source: source, full, cut. A document comes full times, and once more if its
+    key is not above cut (null: none); the document that the budget cuts comes if half of it or more lies before the cut."""
+    once_more = F.col("taken") - F.col("full") * F.col("size") >= F.greatest(F.col("size") / 2, F.lit(1))
+    empty = (F.col("size") == 0) & (F.col("before") < F.round("target").cast("long") - F.col("full") * F.col("source_size"))
+    return mixed.groupBy("source").agg(F.first("full").alias("full"), F.max(F.when(once_more | empty, F.col("key"))).alias("cut"))

@@ -59,7 +59,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

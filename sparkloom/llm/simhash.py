@@ -56,7 +56,7 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, fp)."""
+    """(doc_id, text_hash, text) to (doc_id, text_hash, fp)."""
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
         out = np.zeros(batch.num_rows, np.uint64)
@@ -73,7 +73,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iter
                 at.clear()
 
         waiting = 0
-        for i, text in enumerate(batch.column(1)):
+        for i, text in enumerate(batch.column(2)):
             hashes = np.array(shingle_hashes(text.as_py(), size), np.uint64)
             if len(hashes) > CHUNK:
                 sums = sum(bit_counts(hashes[k : k + CHUNK]).sum(axis=0, dtype=np.int64) for k in range(0, len(hashes), CHUNK))
@@ -86,7 +86,7 @@ def fingerprints(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iter
                 flush()
                 waiting = 0
         flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def _remainder(v: int) -> int:
@@ -257,9 +257,9 @@ def compare(distance: int, small: int = 24):
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, cell: int = CELL, task_entries: int = TASK_ENTRIES) -> DataFrame:
-    """One row per document: doc_id, fingerprint, component_id, n_links (distinct fingerprints of its component besides its own)."""
+    """One row per document: doc_id, fingerprint, component_id, n_links (distinct fingerprints of its component besides its own), text_hash."""
     store = Store(docs.sparkSession, "near_dedup")
-    marked = store.save(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lambda b: fingerprints(b, size), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "marked")
+    marked = store.save(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(lambda b: fingerprints(b, size), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, fp long"), "marked")
     distinct = store.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     rows = distinct.count()
     tasks = parts(rows, 50_000, 6)
@@ -274,4 +274,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
     named = store.save(named.join(ids, "root").select("fp", "component_id", "n_links"), "named")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "text_hash")
