@@ -37,7 +37,7 @@ from sparkloom.llm.store import Store, parts
 
 MAGIC, FOOTER = b"SLPLANE1", struct.Struct("<QQI8s")
 #: Ids of a block; zstandard's level; ids after which a task begins another file; documents of a task; pretokens that a worker remembers.
-BLOCK, LEVEL, FILE_IDS, TASK_DOCS, REMEMBERED = 1 << 16, 3, 1 << 25, 20_000, 400_000
+BLOCK, LEVEL, FILE_IDS, TASK_DOCS, REMEMBERED = 1 << 16, 3, 1 << 25, 20_000, 300_000
 #: How the byte-level tokenizer cuts a text before it merges (fixed by its file), told by the classes of the characters
 #: up to U+02AF: letters, numbers, white space. A text with any other character is encoded whole.
 LETTERS, NUMBERS, SPACES = r"A-Za-zªµºÀ-ÖØ-öø-ʯ", r"0-9²³¹¼-¾", r"\t-\r \xA0"
@@ -151,11 +151,12 @@ def _encoder(path: str):
 
 
 class Encoder:
-    """Encodes texts with the tokenizer of a file.
+    """Encodes texts with the tokenizer of a file, to ids as little-endian unsigned 32-bit integers.
 
     If the tokenizer's own first step is the byte-level cut, texts are cut that way and each distinct piece is encoded
-    once: merges never cross the cuts, so the ids are the same. Texts with a special token's string, or with characters
-    that CUT doesn't know, are encoded whole.
+    once: merges never cross the cuts, so the ids are the same. New pieces are encoded in one text, with line feeds
+    between them, which are cut from words and from spaces before words. Texts with a special token's string, or with
+    characters that CUT doesn't know, are encoded whole. Pieces are remembered in two generations, so frequent ones stay.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -163,23 +164,38 @@ class Encoder:
         first = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
         self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        if not self.cuts or OTHER.search(text) or any(x in text for x in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pieces = CUT.findall(text)
-        known = self.ids
-        if new := [x for x in set(pieces) if x not in known]:
-            if len(known) > self.remembered:
-                known.clear()
-                new = [*set(pieces)]
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = got.ids
-        out: list[int] = []
-        for piece in pieces:
-            out += known[piece]
-        return out
+        self.feed = self._whole("\n")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        words = [x for x in new if "\n" not in x and not x.isspace()]
+        if words and len(self.feed) == 4:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]).tolist()
+            if len(ends) == len(words) - 1:
+                data = ids.tobytes()
+                self.young.update(zip(words, [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)], strict=True))
+        for x in new:
+            if x not in self.young:
+                self.young[x] = self._whole(x)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        simple = [self.cuts and not OTHER.search(t) and not any(x in t for x in self.special) for t in texts]
+        pieces = [CUT.findall(t) if ok else [] for t, ok in zip(texts, simple, strict=True)]
+        if len(self.young) > self.remembered:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set().union(*pieces).difference(young)
+        again = new.intersection(old) if old else ()
+        for x in again:
+            young[x] = old[x]
+        if new := [*new.difference(again)]:
+            self._learn(new)
+        return [b"".join(map(young.__getitem__, own)) if ok else self._whole(t) for t, own, ok in zip(texts, pieces, simple, strict=True)]
 
 
 @cache
@@ -206,15 +222,18 @@ def write(tokenizer: str, end_id: int, folder: str, bits: bool, file_ids: int):
             rows.append((part, sum(r[0] == part for r in rows), name, len(out.docs), out.total))
 
         part = draft = None
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for p, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if out and (p != part or out.total >= file_ids):
-                    close()
-                    out = None
-                if not out:
-                    part, draft = p, f"{root}/.draft-{uuid.uuid4().hex}"
-                    out = Writer(fs.open_output_stream(draft, compression=None), bits)
-                out.add(doc_id, np.array([*encode(text.as_py() or ""), end_id], np.uint32))
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                for p, doc_id, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), encode([x or "" for x in some.column(2).to_pylist()]), strict=True):
+                    if out and (p != part or out.total >= file_ids):
+                        close()
+                        out = None
+                    if not out:
+                        part, draft = p, f"{root}/.draft-{uuid.uuid4().hex}"
+                        out = Writer(fs.open_output_stream(draft, compression=None), bits)
+                    out.add(doc_id, np.frombuffer(data + end, "<u4"))
         if out:
             close()
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
