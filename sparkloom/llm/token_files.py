@@ -20,8 +20,10 @@ import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from pathlib import PurePosixPath
@@ -150,52 +152,52 @@ def _encoder(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+class Pieces(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit integers; a new piece is encoded when it is looked up. Two
+    generations are remembered, so frequent pieces stay."""
+
+    def __init__(self, model, remembered: int) -> None:
+        self.model, self.remembered, self.old, self.characters = model, remembered, {}, byte_characters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is None:
+            ids = array("I", [t.id for t in self.model.tokenize("".join(map(self.characters.__getitem__, piece.encode("utf-8"))))]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > self.remembered:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes texts with the tokenizer of a file, to ids as little-endian unsigned 32-bit integers.
 
-    If the tokenizer's own first step is the byte-level cut, texts are cut that way and each distinct piece is encoded
-    once: merges never cross the cuts, so the ids are the same. New pieces are encoded in one text, with line feeds
-    between them, which are cut from words and from spaces before words. Texts with a special token's string, or with
-    characters that CUT doesn't know, are encoded whole. Pieces are remembered in two generations, so frequent ones stay.
+    If the tokenizer's own first step is the byte-level cut, texts are cut that way and its model encodes each distinct
+    piece once: merges never cross the cuts, so the ids are the same. Texts with a special token's string, or with
+    characters that CUT doesn't know, are encoded whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        self.tokenizer, self.remembered = _encoder(path), remembered
+        self.tokenizer = _encoder(path)
         first = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and self.tokenizer.normalizer is None and array("I").itemsize == 4 and sys.byteorder == "little"
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.feed = self._whole("\n")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        words = [x for x in new if "\n" not in x and not x.isspace()]
-        if words and len(self.feed) == 4:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]).tolist()
-            if len(ends) == len(words) - 1:
-                data = ids.tobytes()
-                self.young.update(zip(words, [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)], strict=True))
-        for x in new:
-            if x not in self.young:
-                self.young[x] = self._whole(x)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        simple = [self.cuts and not OTHER.search(t) and not any(x in t for x in self.special) for t in texts]
-        pieces = [CUT.findall(t) if ok else [] for t, ok in zip(texts, simple, strict=True)]
-        if len(self.young) > self.remembered:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = set().union(*pieces).difference(young)
-        again = new.intersection(old) if old else ()
-        for x in again:
-            young[x] = old[x]
-        if new := [*new.difference(again)]:
-            self._learn(new)
-        return [b"".join(map(young.__getitem__, own)) if ok else self._whole(t) for t, own, ok in zip(texts, pieces, simple, strict=True)]
+        self.pieces = Pieces(self.tokenizer.model, remembered)
+
+    def encode(self, text: str) -> bytes:
+        if not self.cuts or OTHER.search(text) or any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.pieces.trim()
+        return b"".join(map(self.pieces.__getitem__, CUT.findall(text)))
 
 
 @cache
@@ -224,16 +226,14 @@ def write(tokenizer: str, end_id: int, folder: str, bits: bool, file_ids: int):
         part = draft = None
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for p, doc_id, data in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), encode([x or "" for x in some.column(2).to_pylist()]), strict=True):
-                    if out and (p != part or out.total >= file_ids):
-                        close()
-                        out = None
-                    if not out:
-                        part, draft = p, f"{root}/.draft-{uuid.uuid4().hex}"
-                        out = Writer(fs.open_output_stream(draft, compression=None), bits)
-                    out.add(doc_id, np.frombuffer(data + end, "<u4"))
+            for p, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if out and (p != part or out.total >= file_ids):
+                    close()
+                    out = None
+                if not out:
+                    part, draft = p, f"{root}/.draft-{uuid.uuid4().hex}"
+                    out = Writer(fs.open_output_stream(draft, compression=None), bits)
+                out.add(doc_id, np.frombuffer(encode(text.as_py() or "") + end, "<u4"))
         if out:
             close()
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
