@@ -19,6 +19,7 @@ scored like others; an empty table gives no rows. Other columns are not looked a
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +117,13 @@ class Model:
     types: list[np.ndarray]
     characters: int
 
+    def __getstate__(self) -> bytes:
+        """The tables are mostly empty, so what is broadcast is compressed."""
+        return zstandard.compress(pickle.dumps(self.__dict__, protocol=5))
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__ = pickle.loads(zstandard.decompress(state))
+
     def evidence(self, every: list[str]) -> np.ndarray:
         """Each word's toxic log-likelihood less its ordinary one."""
         out = np.zeros(len(every))
