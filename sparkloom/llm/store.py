@@ -22,10 +22,16 @@ def shared_root(spark: SparkSession) -> str:
     return sc._sparkloom_root
 
 
+#: Where a session doesn't say how many bytes Python gets at once, this does, so that long texts don't make large batches.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class Store:
     """Tables of one operator call. A lost executor costs a task's work only: what is saved here is read again from the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        if spark.conf.get(BATCH_BYTES[0], None) is None:
+            spark.conf.set(*BATCH_BYTES)
         self.spark = spark
         self.path = f"{shared_root(spark)}/sparkloom/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.store import Store, small_side
 
 ORDER, DISCOUNT, BITS = 4, 0.75, 20
-WINDOW, SAMPLE, HELD_WORDS = 8, 20_000, 400_000
+WINDOW, SAMPLE, HELD_WORDS, CHUNK = 8, 20_000, 200_000, 2_000_000
 #: Evidence beyond these counts as much, so that a few documents with a lot of it don't sway the regression.
 MOST = (np.inf, 3.0, 8.0)
 START, END = "\x01", "\x02"
@@ -166,6 +167,14 @@ def features(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     return np.column_stack([np.minimum(out, MOST), np.log1p(n)]), n
 
 
+def features_of(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """features() of many texts, taking CHUNK bytes at once, or one text that is longer."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.diff(sizes // CHUNK, prepend=-1)).tolist()
+    parts = [features(model, texts[a:b].to_pylist()) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)] or [features(model, [])]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression (the last is the constant), by Newton's method."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -212,12 +221,10 @@ def scored(docs: DataFrame, model: Model, weights: np.ndarray | None, prior: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights, prior = shared.value
         for batch in batches:
-            texts, score = batch.column(at), []
-            for k in range(0, batch.num_rows, 1000):
-                x, n = features(model, texts[k : k + 1000].to_pylist())
-                p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30))) if weights is not None else np.zeros(len(x))
-                score.append(np.where(n > 0, p, prior))
-            cols = [pa.array(np.concatenate(score) if score else np.zeros(0)) if c == at else batch.column(c) for c in range(batch.num_columns)]
+            x, n = features_of(model, batch.column(at))
+            p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30))) if weights is not None else np.zeros(len(x))
+            score = np.where(n > 0, p, prior)
+            cols = [pa.array(score) if c == at else batch.column(c) for c in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, ["score" if c == "text" else c for c in docs_columns])
 
     docs_columns = docs.columns
@@ -232,7 +239,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id
     known = store.save(known.where(learn_from).withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("calibrate")), 11) / F.lit(float(1 << 53))), "known")
     of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(of) < 2:
-        return scored(own, Model([], [], [], [], 0), None, 0.0)
+        return own.select("doc_id", F.lit(0.0).alias("score"))
     part = min(0.2, sample / sum(of.values()))
     labelled = own.join(small_side(known, store, "known"), "doc_id")
     model = learn_counts(labelled.where(F.col("u") >= part), store)
@@ -240,7 +247,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, n = features(shared.value, batch.column(0).to_pylist())
+            x, n = features_of(shared.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)], ["a", "b", "c", "d", "toxic", "n"])
 
     rows = labelled.where(F.col("u") < part).select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic boolean, n long").where("n > 0").toPandas()
