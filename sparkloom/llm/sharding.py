@@ -28,13 +28,17 @@ ROW_BYTES, LARGE, TASK_GROUPS, SLOT_ROWS = 16, 64, 50_000, 20_000
 SIZES = ("size", "tokens", "n")
 
 
-def pack(sizes: np.ndarray, residual: np.ndarray, turn: int = 0) -> np.ndarray:
+#: What a dimension's residual counts in the dot product: bytes are what must come out near equal.
+WEIGHTS = (64.0, 1.0, 1.0)
+
+
+def pack(sizes: np.ndarray, residual: np.ndarray, turn: int = 0, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """The shard of each group, given in the order of placement. residual (shards x dimensions) is lowered in place; turn is the shard that wins ties."""
     order = np.roll(np.arange(len(residual)), -turn)
-    left = residual[order].copy()
+    left, own = residual[order].copy(), sizes * np.array(weights)
     out = np.empty(len(sizes), np.int32)
     for i, size in enumerate(sizes):
-        k = int((left @ size).argmax())
+        k = int((left @ own[i]).argmax())
         left[k] -= size
         out[i] = order[k]
     residual[order] = left
@@ -45,7 +49,7 @@ def largest_first(sizes: np.ndarray, *ties: np.ndarray) -> np.ndarray:
     return np.lexsort((*ties, -sizes.sum(axis=1)))
 
 
-def place(residual: np.ndarray, totals: np.ndarray, share: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def place(residual: np.ndarray, totals: np.ndarray, share: np.ndarray, weights: tuple[float, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Places the groups of a task; share: what all tasks together place, as a fraction of each dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,13 +61,13 @@ def place(residual: np.ndarray, totals: np.ndarray, share: np.ndarray) -> Callab
         order = largest_first(sizes, crc, key)
         mine = residual * (sizes.sum(axis=0) / np.where(share > 0, share, 1))
         shard = np.empty(len(sizes), np.int32)
-        shard[order] = pack(sizes[order], mine, int(key.view("u8").sum() % len(residual)))
+        shard[order] = pack(sizes[order], mine, int(key.view("u8").sum() % len(residual)), weights)
         yield pa.RecordBatch.from_arrays([table["gkey"].combine_chunks(), table["text_crc32"].combine_chunks(), table["piece"].combine_chunks(), pa.array(shard)], ["gkey", "text_crc32", "piece", "shard"])
 
     return run
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, task_groups: int = TASK_GROUPS, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, task_groups: int = TASK_GROUPS, slot_rows: int = SLOT_ROWS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot, tokens."""
     spark, store = docs.sparkSession, Store(docs.sparkSession, "shard")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -88,9 +92,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     residual = np.full((shards, len(SIZES)), 1 / shards)
     sizes = big[list(SIZES)].to_numpy(float).reshape(-1, len(SIZES)) / totals
     order = largest_first(sizes, big["piece"].to_numpy(), big["text_crc32"].to_numpy(), big["gkey"].to_numpy())
-    big = big.iloc[order].assign(shard=pack(sizes[order], residual))
+    big = big.iloc[order].assign(shard=pack(sizes[order], residual, 0, weights))
     placed = spark.createDataFrame(big[[*key, "piece", "shard"]].astype("int64"), "gkey long, text_crc32 long, piece long, shard long").select(*key, F.col("piece").cast("int").alias("piece"), F.col("shard").cast("int").alias("shard")).coalesce(1)
-    small = items.where(~is_large).repartition(parts(got[3], task_groups), "gkey").mapInArrow(place(residual, totals, 1 - sizes.sum(axis=0)), "gkey long, text_crc32 long, piece int, shard int")
+    small = items.where(~is_large).repartition(parts(got[3], task_groups), "gkey").mapInArrow(place(residual, totals, 1 - sizes.sum(axis=0), weights), "gkey long, text_crc32 long, piece int, shard int")
 
     buckets = parts(int(got[2]), slot_rows * shards, 4)
     at = ["gkey", "text_crc32", "piece"]
