@@ -39,6 +39,7 @@ def inferred_type(c: Column) -> Column:
     t = F.trim(c)
     return (
         F.when(S.is_blank(c), F.lit(None))
+        .when(t.rlike(r"^[-+]?[0-9]{1,18}$"), "WholeNumber")
         .when(S.parse_bool(t).isNotNull(), "Boolean")
         .when(S.parse_long(t).isNotNull(), "WholeNumber")
         .when(t.rlike(S.FLOAT) | t.rlike(S.NAMED), "FloatingPoint")

@@ -121,6 +121,8 @@ def count(value: Value) -> int:
 def display(value: Value) -> str:
     """A cell as a table shows it, which is also what filters see."""
     if value.kind == "number":
+        if len(value.raw) < 19 and value.raw.isdigit() and (value.raw[0] != "0" or value.raw == "0"):
+            return value.raw
         if re.match(r"^-?[0-9]+$", value.raw) and -(1 << 63) <= int(value.raw) < 1 << 63:
             return str(int(value.raw))
         return double_text_py(float(value.raw))
@@ -133,11 +135,37 @@ def display(value: Value) -> str:
     return NULL_TEXT if value.kind == "null" else value.raw
 
 
-def find(line: str, keys: list[str]) -> list[tuple[str, str | None, str]]:
-    """For each key its first value in the line's object: (kind, text, display). The kind is missing or invalid where there is none."""
+class _Number(str):
+    """A number as written."""
+
+    __slots__ = ()
+
+
+_flat = json.JSONDecoder(object_pairs_hook=list, parse_constant=_no_constant, parse_int=_Number, parse_float=_Number)
+
+
+def _flat_members(line: str) -> list[tuple[str, Value]] | None:
+    """members() of a line without nested values or escapes, which a plain decoder can read; None for any other line."""
+    if "\\" in line or "[" in line or line.count("{") != 1:
+        return None
+    try:
+        pairs = _flat.decode(line)
+    except ValueError:
+        return None
+    if type(pairs) is not list:
+        return None
+    out = []
+    for key, v in pairs:
+        kind = "number" if type(v) is _Number else "string" if type(v) is str else "null" if v is None else "bool"
+        out.append((key, Value(kind, "null" if v is None else str(v) if kind != "bool" else "true" if v else "false")))
+    return out
+
+
+def find(line: str, keys: list[str], shown: bool = True) -> list[tuple[str, str | None, str | None]]:
+    """For each key its first value in the line's object: (kind, text, display). The kind is missing or invalid where there is none; without shown there is no display."""
     wanted, found, broken = set(keys), {}, False
     try:
-        for key, value in members(line):
+        for key, value in _flat_members(line) or members(line):
             if key in wanted and key not in found:
                 found[key] = value
                 if len(found) == len(wanted):
@@ -145,7 +173,7 @@ def find(line: str, keys: list[str]) -> list[tuple[str, str | None, str]]:
     except Malformed:
         broken = True
     lack = (MALFORMED, None, ERROR_TEXT) if broken else (MISSING, None, NULL_TEXT)
-    cell = {k: (v.kind, None if v.kind == "null" else unescaped(v.raw) if v.kind == "string" else v.raw, display(v)) for k, v in found.items()}
+    cell = {k: (v.kind, None if v.kind == "null" else unescaped(v.raw) if v.kind == "string" else v.raw, display(v) if shown else None) for k, v in found.items()}
     return [cell.get(k, lack) for k in keys]
 
 
@@ -153,7 +181,7 @@ def types(line: str) -> list[tuple[str, str | None]]:
     """Keys of the line's object and the names of their values' types (null: none); a malformed line has what precedes the error."""
     out: dict[str, str | None] = {}
     try:
-        for key, value in members(line):
+        for key, value in _flat_members(line) or members(line):
             if key not in out:
                 out[key] = t.name if (t := infer_token(value.kind, value.raw)) else None
     except Malformed:

@@ -16,6 +16,11 @@ from sparkloom.types import LogicalType
 WHOLE = r"^\s*[-+]?[0-9]+\s*$"
 FLOAT = r"^\s*[-+]?(?:[0-9][0-9,]*\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
 ANY = r"^\s*[(]?\s*¤?\s*[-+]?\s*¤?(?:[0-9][0-9,]*\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*[-+]?\s*[)]?\s*$"
+#: Numbers that need none of that, and those that are already spelled as they would be written.
+SIMPLE = r"^\s*[-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?\s*$"
+CANONICAL = r"^-?(?:0|[1-9][0-9]{0,17}|[1-9][0-9]{0,8}\.[0-9]{0,4}[1-9]|0\.[1-9](?:[0-9]{0,9}[1-9])?)$"
+#: How text starts that may be a number or a boolean.
+MAYBE_TYPED = r"^[\s(¤+\-.0-9tTfFnNiI∞]"
 NAMED = r"(?i)^\s*[-+]?(?:nan|infinity|∞)\s*$"
 INVALID = "<invalid>"
 DEFAULT_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
@@ -34,7 +39,7 @@ def parse_double(c: Column) -> Column:
     digits = F.regexp_extract(F.regexp_replace(c, ",", ""), r"((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double")
     minus = c.rlike(r"^\s*[(]|^\s*¤?\s*-|-\s*$")
     named = F.when(F.lower(c).contains("nan"), F.lit(math.nan)).otherwise(F.when(F.trim(c).startswith("-"), F.lit(-math.inf)).otherwise(F.lit(math.inf)))
-    return F.when(c.rlike(ANY) & one_sign, F.when(minus, -digits).otherwise(digits)).when(c.rlike(NAMED), named)
+    return F.when(c.rlike(SIMPLE), F.trim(c).try_cast("double")).when(~c.rlike(MAYBE_TYPED), F.lit(None)).when(c.rlike(ANY) & one_sign, F.when(minus, -digits).otherwise(digits)).when(c.rlike(NAMED), named)
 
 
 def parse_bool(c: Column) -> Column:
@@ -135,7 +140,8 @@ def json_encoding(c: Column) -> Column:
 def json_scalar(c: Column) -> Column:
     """Text as a JSON value: booleans and numbers in canonical form, else a string."""
     real = let(parse_double(c), lambda x: F.when(~F.isnan(x) & (F.abs(x) < math.inf), double_text(x)))
-    return F.coalesce(parse_bool(c).cast("string"), parse_long(c).cast("string"), real, json_string(c))
+    typed = F.coalesce(parse_bool(c).cast("string"), parse_long(c).cast("string"), real, json_string(c))
+    return F.when(c.rlike(CANONICAL) & (c != "-0"), c).when(c.rlike(MAYBE_TYPED), typed).otherwise(json_string(c))
 
 
 def json_string(c: Column) -> Column:

@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What is recognised: a pattern, and how Spark and Python read it. Fixed values.
+#: How all of them start; and what is recognised: a pattern, and how Spark and Python read it. Fixed values.
+START = r"^(?:\d{1,4}[-/ ]|[A-Z][a-z]{2,8} \d)"
 TIME, FULL_TIME = r"\d{1,2}:\d{2}", r"\d{1,2}:\d{2}:\d{2}"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,7})?)?)?$"
 ISO_ZONED = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,7})?)? ?(?:Z|[+-]\d{2}:?\d{2})$"
@@ -33,7 +34,7 @@ def parse_timestamp(c: Column) -> Column:
     t = F.trim(c)
     short = lambda x: F.regexp_replace(x, r"(\.\d{6})\d+", "$1")  # noqa: E731  Spark keeps microseconds
     zoned = F.regexp_replace(F.regexp_replace(t, " (?=Z|[+-])", ""), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    found = F.when(t.rlike(ISO), short(t).try_cast("timestamp_ntz")).when(t.rlike(ISO_ZONED), short(zoned).try_cast("timestamp").cast("timestamp_ntz"))
+    found = F.when(~t.rlike(START), F.lit(None).cast("timestamp_ntz")).when(t.rlike(ISO), short(t).try_cast("timestamp_ntz")).when(t.rlike(ISO_ZONED), short(zoned).try_cast("timestamp").cast("timestamp_ntz"))
     for pattern, spark, _ in FORMATS:
         found = found.when(t.rlike(pattern), F.try_to_timestamp(t, F.lit(spark)).cast("timestamp_ntz"))
     return found

@@ -15,7 +15,7 @@ from sparkloom.sources.records import Records, TextRecords
 
 
 def filtered(records: Records, plan: Plan) -> Records:
-    ready = records.prepared(plan.sources(), plan.mode)
+    ready = records.prepared(plan.sources(), plan.mode, plan.mode is Mode.View or bool(plan.filters))
     tests = [predicate(cell, f.type, f.operator, f.value, kind) for f in plan.filters for cell, kind in [ready.filter_cell(f, plan.mode)]]
     if not tests:
         return ready

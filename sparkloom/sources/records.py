@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +16,19 @@ CELL = "array<struct<kind:string,text:string,shown:string>>"
 LACKING = ("null", jsontext.MISSING, jsontext.MALFORMED)
 
 
-def find_cells(keys: list[str]):
-    """An Arrow UDF that finds the keys' values in each line, and no others."""
+def find_cells(keys: list[str], shown: bool = True):
+    """An Arrow UDF that finds the keys' values in each line, and no others. shown: whether their display is wanted."""
 
-    @F.pandas_udf(CELL)
-    def cells(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in lines:
-            yield pd.Series([[dict(zip(("kind", "text", "shown"), c, strict=True)) for c in jsontext.find(x or "", keys)] for x in batch])
+    @F.arrow_udf(CELL)
+    def cells(lines: pa.Array) -> pa.Array:
+        kinds, texts, displays = [], [], []
+        for line in lines.to_pylist():
+            for kind, text, display in jsontext.find(line or "", keys, shown):
+                kinds.append(kind)
+                texts.append(text)
+                displays.append(display)
+        found = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (kinds, texts, displays)], ["kind", "text", "shown"])
+        return pa.ListArray.from_arrays(pa.array([k * len(keys) for k in range(len(lines) + 1)], pa.int32()), found)
 
     return cells
 
@@ -37,7 +42,7 @@ class TextRecords:
     columns: dict[str, str | None] = field(default_factory=dict)
     bad: str | None = None
 
-    def prepared(self, sources: list[str], mode: Mode) -> TextRecords:
+    def prepared(self, sources: list[str], mode: Mode, shown: bool = True) -> TextRecords:
         if not self.bad or mode is Mode.View:
             return self
         message = F.concat(F.lit("A row has another number of fields than the header: "), F.substring(F.col(self.bad), 1, 200))
@@ -74,9 +79,9 @@ class JsonRecords:
     schema: TableSchema
     keys: tuple[str, ...] = ()
 
-    def prepared(self, sources: list[str], mode: Mode) -> JsonRecords:
+    def prepared(self, sources: list[str], mode: Mode, shown: bool = True) -> JsonRecords:
         lines = self.frame if mode is Mode.View else self.frame.where(F.col("value").rlike(r"\S"))
-        return JsonRecords(lines.withColumn("cells", find_cells(sources)("value")) if sources else lines, self.schema, tuple(sources))
+        return JsonRecords(lines.withColumn("cells", find_cells(sources, shown)("value")) if sources else lines, self.schema, tuple(sources))
 
     def _cell(self, source: str) -> Column:
         return F.col("cells")[self.keys.index(source)]
