@@ -16,9 +16,10 @@ from sparkloom.types import LogicalType
 WHOLE = r"^\s*[-+]?[0-9]+\s*$"
 FLOAT = r"^\s*[-+]?(?:[0-9][0-9,]*\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*$"
 ANY = r"^\s*[(]?\s*¤?\s*[-+]?\s*¤?(?:[0-9][0-9,]*\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*[-+]?\s*[)]?\s*$"
-#: Numbers that need none of that, and those that are already spelled as they would be written.
+#: Numbers that need none of that, those that are already spelled as they would be written, and those that only have zeros to lose.
 SIMPLE = r"^\s*[-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?\s*$"
-CANONICAL = r"^-?(?:0|[1-9][0-9]{0,17}|[1-9][0-9]{0,8}\.[0-9]{0,4}[1-9]|0\.[1-9](?:[0-9]{0,9}[1-9])?)$"
+CANONICAL = r"^-?(?:0|[1-9][0-9]{0,17}|[1-9][0-9]{0,8}\.[0-9]{0,4}[1-9]|0\.[0-9]{0,3}[1-9])$"
+TRAILING = r"^-?(?:0|[1-9][0-9]{0,8})\.[0-9]{0,3}0$"
 #: How text starts that may be a number or a boolean.
 MAYBE_TYPED = r"^[\s(¤+\-.0-9tTfFnNiI∞]"
 NAMED = r"(?i)^\s*[-+]?(?:nan|infinity|∞)\s*$"
@@ -141,13 +142,14 @@ def json_scalar(c: Column) -> Column:
     """Text as a JSON value: booleans and numbers in canonical form, else a string."""
     real = let(parse_double(c), lambda x: F.when(~F.isnan(x) & (F.abs(x) < math.inf), double_text(x)))
     typed = F.coalesce(parse_bool(c).cast("string"), parse_long(c).cast("string"), real, json_string(c))
-    return F.when(c.rlike(CANONICAL) & (c != "-0"), c).when(c.rlike(MAYBE_TYPED), typed).otherwise(json_string(c))
+    return F.when(c.rlike(CANONICAL) & (c != "-0"), c).when(c.rlike(TRAILING), F.regexp_replace(c, r"\.?0+$", "")).when(c.rlike(MAYBE_TYPED), typed).otherwise(json_string(c))
 
 
 def json_string(c: Column) -> Column:
     """A quoted JSON string; only what must be is escaped."""
     line = F.to_json(F.struct(c.alias("x")))  # {"x":...}
-    return F.when(c.isNotNull(), F.substr(line, F.lit(6), F.length(line) - 6))
+    escaped_text = F.substr(line, F.lit(6), F.length(line) - 6)
+    return F.when(~c.rlike(r'["\\\x00-\x1F]'), F.concat(F.lit('"'), c, F.lit('"'))).when(c.isNotNull(), escaped_text)
 
 
 def group_digits(n: int) -> str:

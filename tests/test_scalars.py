@@ -51,7 +51,7 @@ def test_render(spark, type, cases):
 
 
 def test_json_scalar(spark):
-    cases = {"007": "7", "true": "true", "TRUE": "true", "1.50": "1.5", "a\"b\\\n\x01é": '"a\\"b\\\\\\n\\u0001é"', "": '""', "NaN": '"NaN"', "1,000": "1000"}
+    cases = {"007": "7", "true": "true", "TRUE": "true", "1.50": "1.5", "a\"b\\\n\x01é": '"a\\"b\\\\\\n\\u0001é"', "": '""', "NaN": '"NaN"', "1,000": "1000", "17.0": "17", "0.010": "0.01", "100.50": "100.5", "0.00": "0", "-0": "0", "0.00001": "1E-05", "0.0001": "0.0001", "1e3": "1000", "2024-01-01": '"2024-01-01"'}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     assert {r.v: r.t for r in df.select("v", S.json_scalar(df.v).alias("t")).collect()} == cases
 
