@@ -110,6 +110,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rar
             (a, s) -> struct(a.n + greatest(CAST(0 AS bigint), s.start + s.len - greatest(a.to, CAST(s.start AS bigint))) AS n, greatest(a.to, CAST(s.start + s.len AS bigint)) AS to)).n""")
     hits = texts.select("doc_id", "dkey", sure.alias("sure")).where(F.size("sure") > 0).select("doc_id", "dkey", covered.alias("n_hit"), F.expr("array_sort(array_distinct(transform(sure, m -> m.item)))").alias("items"))
     hits = store.save(hits.dropDuplicates(["dkey", "doc_id"]).withColumnRenamed("doc_id", "hit_id"), "hits")
+    store.drop("items", "vocabulary", "counts", "rare", "places", "terms", "postings", "maybe")
     counted = keyed.select("doc_id", "dkey", count_words(words(F.col("text"))).alias("n_words"))
     x = counted.join(small_side(hits, store, "hits").withColumnRenamed("dkey", "hit_key"), (F.col("dkey") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     found = F.coalesce("items", F.array().cast("array<string>"))

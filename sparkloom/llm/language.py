@@ -143,6 +143,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS, seen: float
     table = table.withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= NEAR * F.col("most"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = table.where(F.col("n") >= F.element_at(floor, F.col("lang"))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "gram").toPandas()
+    store.drop("grams")
     return Filters.build(names, [kept.loc[kept["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64) for name in names])
 
 

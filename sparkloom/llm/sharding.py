@@ -102,6 +102,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     of_big, of_small = dealt.where(F.col("big_shard").isNotNull()).withColumnRenamed("big_shard", "shard"), dealt.where(F.col("big_shard").isNull()).drop("big_shard").join(small, at)
     cols = ["doc_id", "size", "text_crc32", "shard", "tokens"]
     dealt = store.save(of_big.select(*cols).unionByName(of_small.select(*cols)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int")), "dealt")
+    store.drop("rows", "groups")
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")

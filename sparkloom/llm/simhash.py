@@ -274,4 +274,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
     named = store.save(named.join(ids, "root").select("fp", "component_id", "n_links"), "named")
+    store.drop("distinct", "roots")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "text_hash")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(sc, "_sparkloom_root", None):
-        sc._sparkloom_root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        folder = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc._sparkloom_root = f"file://{folder}"
     return sc._sparkloom_root
 
 
@@ -27,7 +31,11 @@ BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 class Store:
-    """Tables of one operator call. A lost executor costs a task's work only: what is saved here is read again from the shared folder."""
+    """Tables of one operator call. A lost executor costs a task's work only: what is saved here is read again from the shared folder.
+
+    Operators drop what their results no longer read; the rest, in the folder sparkloom of the shared one, may go once the
+    results are written.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         if spark.conf.get(BATCH_BYTES[0], None) is None:

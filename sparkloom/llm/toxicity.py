@@ -209,7 +209,9 @@ def learn_counts(labelled: DataFrame, store: Store) -> Model:
     contexts = found.groupBy("k", F.col("context").alias("slot")).agg(one.alias("types"), F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1"), some("toxic").alias("t0"), some("ordinary").alias("t1")).toPandas()
     top = found.where(F.col("k") == ORDER).groupBy("k", F.col("own").alias("slot")).agg(F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1")).toPandas()
     lower = [(_dense(suffixes, k, "n"), _dense(middles, k, "n"), _dense(contexts, k, "types")) for k in range(1, ORDER)]
-    return Model(lower, [_dense(top, ORDER, c) for c in ("n0", "n1")], [_dense(contexts, ORDER, c) for c in ("n0", "n1")], [_dense(contexts, ORDER, c) for c in ("t0", "t1", "types")], found.where("k = 1").count())
+    characters = found.where("k = 1").count()
+    store.drop("vocabulary", "grams")
+    return Model(lower, [_dense(top, ORDER, c) for c in ("n0", "n1")], [_dense(contexts, ORDER, c) for c in ("n0", "n1")], [_dense(contexts, ORDER, c) for c in ("t0", "t1", "types")], characters)
 
 
 def scored(docs: DataFrame, model: Model, weights: np.ndarray | None, prior: float) -> DataFrame:
@@ -251,6 +253,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)], ["a", "b", "c", "d", "toxic", "n"])
 
     rows = labelled.where(F.col("u") < part).select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic boolean, n long").where("n > 0").toPandas()
+    store.drop("known")
     y = rows["toxic"].to_numpy(float)
     weights = fit(rows[["a", "b", "c", "d"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
     return scored(own, model, weights, of[True] / sum(of.values()))

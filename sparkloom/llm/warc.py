@@ -236,7 +236,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     drawn = own.select(F.substring("html", 1, SAMPLE_BYTES).alias("s"), F.xxhash64("page_id", "html").alias("k")).orderBy("k").limit(SAMPLE).select("s")  # to train the dictionary only
     dictionary = train([r.s.encode("utf-8", "surrogatepass") for r in drawn.collect()])
     dealt = keyed.join(first, "sha1").select("page_id", "url", "html", "response_id")
-    return store.save(dealt.mapInArrow(write(folder, dictionary, file_bytes), "name string, n long"), "files")
+    files = store.save(dealt.mapInArrow(write(folder, dictionary, file_bytes), "name string, n long"), "files")
+    store.drop("first")
+    return files
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
