@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store
+from sparkloom.llm.store import Store, small_side
 
 #: Magic of the dictionary's frame (zstandard's skippable frames have 0x184D2A50 to 5F) and of zstandard's own frames.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -226,18 +226,20 @@ def read(folder: str, rows: int = 5000):
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the pages' archives to folder, which all executors share; a row per file: name, n.
 
-    The response of a payload comes from sums combined before the shuffle; the join back to the pages is on the
-    payload's digest, and adaptive execution can split a digest that many pages share.
+    The response of a payload comes from sums combined before the shuffle. Only payloads that several pages share need
+    one; their list is broadcast if it is small, so that pages stay where they are. Beyond that the join shuffles the
+    pages by digest, and adaptive execution can split a digest that many share.
     """
     store = Store(pages.sparkSession, "warc")
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     keyed = own.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    first = store.save(keyed.groupBy("sha1").agg(F.max("page_id").alias("response_id")), "first")
+    shared = keyed.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first_id")
+    shared = store.save(shared, "shared")
     drawn = own.select(F.substring("html", 1, SAMPLE_BYTES).alias("s"), F.xxhash64("page_id", "html").alias("k")).orderBy("k").limit(SAMPLE).select("s")  # to train the dictionary only
     dictionary = train([r.s.encode("utf-8", "surrogatepass") for r in drawn.collect()])
-    dealt = keyed.join(first, "sha1").select("page_id", "url", "html", "response_id")
+    dealt = keyed.join(small_side(shared, store, "shared"), "sha1", "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("response_id"))
     files = store.save(dealt.mapInArrow(write(folder, dictionary, file_bytes), "name string, n long"), "files")
-    store.drop("first")
+    store.drop("shared")
     return files
 
 
