@@ -39,7 +39,7 @@ def term(word: F.Column) -> F.Column:
     return F.xxhash64(F.lower(word))
 
 
-def item_windows(items: DataFrame, store: Store, window: int) -> DataFrame:
+def item_words(items: DataFrame, store: Store) -> DataFrame:
     """(item_id, pieces): each test item's words, lower-cased; distinct, without items that have none."""
     pieces = F.filter(words(F.translate("text", UPPER, LOWER)), lambda w: w != "")
     return store.save(items.select("item_id", pieces.alias("pieces")).where(F.size("pieces") > 0).distinct().withColumn("item", F.xxhash64("item_id", "pieces")), "items")
@@ -89,7 +89,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rar
     store = Store(docs.sparkSession, "decontaminate")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("dkey", F.xxhash64("doc_id", "text"))
-    items = item_windows(benchmark, store, window)
+    items = item_words(benchmark, store)
     vocabulary = store.save(items.select(F.explode("pieces").alias("w")).select(term(F.col("w")).alias("term")).distinct(), "vocabulary")
     counts = store.save(corpus_counts(docs, small_side(vocabulary, store, "vocabulary")), "counts")
     rare = store.save(with_rarest(items, counts, window, rarest), "rare")
