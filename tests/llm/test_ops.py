@@ -249,6 +249,17 @@ def test_licenses(spark):
     assert licenses.known_licenses(spark).select("canonical_sha256").distinct().count() == len(KNOWN)
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="needs the system's licence texts")
+def test_complete_licenses_are_known(spark):
+    whole = {n: open(f"/usr/share/common-licenses/{n}").read() for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0")}
+    bare = lambda x: KNOWN[x].split("\n\n", 1)[1]
+    whole |= {"Apache, cut": whole["Apache-2.0"].split("APPENDIX")[0], "GPL, cut": whole["GPL-3"].split("How to Apply")[0], "GPL, older": whole["GPL-2"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), "Apache, unwrapped": re.sub(r"(?<=\S)\n *(?=\S)", " ", whole["Apache-2.0"])}
+    whole |= {x: bare(x) for x in ("ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause")} | {"BSD, bullets": re.sub(r"(?m)^\d\.", "*", bare("BSD-3-Clause")), "MIT": KNOWN["MIT"].replace("MIT License", "The MIT License (MIT)")}
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame([*whole.items()], "doc_id string, text string")).collect()}
+    assert all(v and v.split("-")[0].split(" ")[0] == k.split("-")[0].split(",")[0] for k, v in got.items()), got
+    assert got["GPL-2"] == "GPL-2.0" and got["LGPL-2.1"] == "LGPL-2.1" and got["Apache, cut"] == "Apache-2.0 (without appendix)"
+
+
 # --- simhash
 
 
