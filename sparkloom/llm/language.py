@@ -1,13 +1,12 @@
 """Language ID by bit-sliced Bloom filters over character n-grams.
 
 Each slot of the filter is a bit mask with one bit per language, so the AND of an n-gram's slots gives all languages
-that contain it at once. Over a document's n-grams each language's bits are counted, the count is corrected for the
+that contain it at once; a mask has as many 64-bit words as the languages need. Over a document's n-grams each language's bits are counted, the count is corrected for the
 share of false positives that the language's filter has, and the largest corrected count decides.
 
 Learning takes a bounded sample: about SAMPLE documents of each language, drawn by a hash, whole texts; of their
 n-grams those in at least SEEN of the language's documents, and with at least NEAR times the share of documents that
-the language with most has (mislabelled documents would add other languages' n-grams), the most frequent GRAMS of them. With over 64 languages the
-64 with most documents are learned.
+the language with most has (mislabelled documents would add other languages' n-grams), the most frequent GRAMS of them. All languages are learned.
 
 Defined results: null texts and texts without a letter are "und" with score 0; languages whose counts are equal
 rank by their number of documents; with nothing to learn from all are "und"; repeated rows and null ids
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store
 
-SAMPLE, GRAMS, SEEN, NEAR, LANGUAGES, UNKNOWN = 4000, 50_000, 0.002, 0.1, 64, "und"
+SAMPLE, GRAMS, SEEN, NEAR, UNKNOWN = 4000, 50_000, 0.002, 0.1, "und"
 ORDERS, SLOTS, HASHES = (3, 4), 1 << 20, 3
 #: Characters that are hashed at once, so that the arrays stay in a core's cache.
 CHUNK = 1 << 16
@@ -76,18 +75,22 @@ class Filters:
     @classmethod
     def build(cls, names: list[str], found: list[np.ndarray]) -> Filters:
         """found: the hashes of each language's n-grams."""
-        masks = np.zeros(SLOTS, np.uint64)
+        masks = np.zeros((SLOTS, max(1, -(-len(names) // 64))), np.uint64)
         for bit, h in enumerate(found):
             for k in range(HASHES):
-                np.bitwise_or.at(masks, slots(h, k), np.uint64(1 << bit))
-        fill = np.array([((masks >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(names))])
+                masks[slots(h, k), bit >> 6] |= np.uint64(1 << (bit & 63))
+        fill = np.array([cls.bit(masks, b).mean() for b in range(len(names))])
         return cls(names, masks, fill**HASHES)
 
+    @staticmethod
+    def bit(masks: np.ndarray, b: int) -> np.ndarray:
+        return (masks[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)
+
     def contained(self, h: np.ndarray) -> np.ndarray:
         """The mask of the languages that contain each n-gram."""
-        got = self.masks[slots(h, 0)]
+        got = self.masks.take(slots(h, 0), axis=0)
         for k in range(1, HASHES):
-            got &= self.masks[slots(h, k)]
+            got &= self.masks.take(slots(h, k), axis=0)
         return got
 
     def judge(self, text: str | None) -> tuple[str, float]:
@@ -100,7 +103,7 @@ class Filters:
                 h = grams(points[start : start + CHUNK + order - 1], order)
                 n += len(h)
                 got = self.contained(h)
-                counts += [int(((got >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(len(self.names))]
+                counts += [int(self.bit(got, b).sum()) for b in range(len(self.names))]
         if not n:
             return self.names[0], 0.0
         sure = np.maximum(counts - n * self.false_share, 0) / (1 - np.minimum(self.false_share, 0.999))
@@ -130,26 +133,26 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS, seen: float
     """docs: the (doc_id, text, lang) to learn from."""
     store = Store(docs.sparkSession, "language")
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Filters.build([], [])
     names = [r["lang"] for r in counts]  # in this order where counts are equal
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"]))])
-    drawn = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53)) < F.element_at(rate, F.col("lang")))
+    each = [(r["lang"], min(1.0, sample / r["count"]), max(2.0 if r["count"] > 50 else 1.0, seen * min(r["count"], sample)), float(min(r["count"], sample))) for r in counts]
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(each, "lang string, share double, floor double, drawn double"))  # a row per language
+    drawn = usable.join(sizes, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53)) < F.col("share"))
     table = store.save(drawn.select("lang", "text").mapInArrow(gram_counts(names), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    floor = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(2.0 if r["count"] > 50 else 1.0, seen * min(r["count"], sample)))])
-    drawn_of = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(r["count"], sample)))])
-    rate = F.col("n") / F.element_at(drawn_of, F.col("lang"))
-    table = table.withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= NEAR * F.col("most"))
+    rate = F.col("n") / F.col("drawn")
+    table = table.join(sizes, "lang").withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= NEAR * F.col("most"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = table.where(F.col("n") >= F.element_at(floor, F.col("lang"))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "gram").toPandas()
+    kept = table.where(F.col("n") >= F.col("floor")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "gram").toPandas()
     store.drop("grams")
-    return Filters.build(names, [kept.loc[kept["lang"] == name, "gram"].to_numpy(np.int64).view(np.uint64) for name in names])
+    found = {name: own.to_numpy(np.int64).view(np.uint64) for name, own in kept.groupby("lang")["gram"]}
+    return Filters.build(names, [found.get(name, np.zeros(0, np.uint64)) for name in names])
 
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the share of its n-grams that the language contains), and text_hash."""
-    model = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB, and 64 names at most
+    model = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = model.value.judge

@@ -386,6 +386,17 @@ def test_bloom_filters_have_no_false_negatives():
     assert np.allclose(f.false_share, [((f.masks >> np.uint64(b)) & np.uint64(1)).mean() ** 3 for b in (0, 1)])
 
 
+def test_over_64_languages_are_learned(spark):
+    r = random.Random(5)
+    own = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöüßéñ") for _ in range(6)) for _ in range(12)] for k in range(130)}
+    rows = [(i, " ".join(r.choice(own[x]) for _ in range(20)), x) for i, x in enumerate(list(own) * 4)]
+    filters = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.masks.shape == (language.SLOTS, 3) and sorted(filters.names) == list(own)
+    held = [(i, " ".join(r.choice(own[x]) for _ in range(10)), x) for i, x in enumerate(own)]
+    got = language.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), filters).collect()
+    assert [x.lang_pred for x in sorted(got, key=lambda x: x.doc_id)] == list(own)
+
+
 # --- toxicity
 
 
