@@ -4,8 +4,8 @@ The units are the characters of a word, from its start to its end. The words of
 class, and n-gram counts, continuation counts and numbers of types follow from them; nothing of this is sampled or cut.
 Each class's model discounts its own counts of n-grams of ORDER characters and backs off to one model that both classes
 share: Kneser-Ney over the counts of both, whose lower orders use continuation counts. So a rare word leans to a class
-only where that class's texts continue a word differently from the rest. The tables that score are hashed to a fixed
-number of slots, so their size is bounded however large the corpus is.
+only where that class's texts continue a word differently from the rest. The tables that score have the 64-bit hash of each
+n-gram as its key, so they grow with the distinct n-grams of the corpus and none shares its counts with another.
 
 A word's evidence is the difference of its log-likelihoods. A document's evidence is length-normalised: the mean over
 all words, the highest mean over WINDOW consecutive words, and the second highest word; the logarithm of the number of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store, small_side
 
-ORDER, DISCOUNT, BITS = 4, 0.75, 20
+ORDER, DISCOUNT = 4, 0.75
 WINDOW, SAMPLE, HELD_WORDS, CHUNK = 8, 20_000, 200_000, 2_000_000
 #: Evidence beyond these counts as much, so that a few documents with a lot of it don't sway the regression.
 MOST = (np.inf, 3.0, 8.0)
@@ -89,11 +89,12 @@ def gram_hash(points: np.ndarray, first: int, last: int) -> np.ndarray:
 
 
 def slot(h: np.ndarray) -> np.ndarray:
-    return ((h * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
+    """The key of a hash in the tables."""
+    return h.view(np.int64)
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, ordinary) to the n-grams of each order: (k, gram, own, context, suffix, middle, toxic, ordinary); the last four keys are slots."""
+    """(word, toxic, ordinary) to the n-grams of each order: (k, gram, context, suffix, middle, toxic, ordinary)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,23 +104,40 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(1, ORDER + 1):
             gram = gram_hash(points, 1 - k, 0)[here]
             own, where, back = np.unique(gram, return_index=True, return_inverse=True)
-            keys = [slot(gram_hash(points, a, b)[here][where]) for a, b in ((1 - k, 0), (1 - k, -1), (2 - k, 0), (2 - k, -1))]
+            keys = [slot(gram_hash(points, a, b)[here][where]) for a, b in ((1 - k, -1), (2 - k, 0), (2 - k, -1))]
             sums = [np.bincount(back, c, len(own)).astype(np.int64) for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64)), *map(pa.array, keys), *map(pa.array, sums)], ["k", "gram", "own", "context", "suffix", "middle", "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64)), *map(pa.array, keys), *map(pa.array, sums)], ["k", "gram", "context", "suffix", "middle", "toxic", "ordinary"])
+
+
+class Counts:
+    """Numbers by key, 0 for other keys. Keys are in order, and found by halving."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, np.append(values, 0).astype(np.float32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or the place of the 0."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == keys, at, len(self.keys))
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        return self.values[self.places(keys)]
 
 
 @dataclass
 class Model:
     """tables[k]: for k < ORDER the continuation counts of n-grams, and by context their sum and number of types."""
 
-    lower: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    top: list[np.ndarray]
-    total: list[np.ndarray]
-    types: list[np.ndarray]
+    lower: list[tuple[Counts, Counts, Counts]]
+    top: list[Counts]
+    total: list[Counts]
+    types: list[Counts]
     characters: int
 
     def __getstate__(self) -> bytes:
-        """The tables are mostly empty, so what is broadcast is compressed."""
+        """What is broadcast is compressed."""
         return zstandard.compress(pickle.dumps(self.__dict__, protocol=5))
 
     def __setstate__(self, state: bytes) -> None:
@@ -140,8 +158,10 @@ class Model:
             g, c = slot(gram_hash(points, 1 - k, 0)[here]), slot(gram_hash(points, 1 - k, -1)[here])
             p = self._backed(count[g], total[c], types[c], p)
         g, c = slot(gram_hash(points, 1 - ORDER, 0)[here]), slot(gram_hash(points, 1 - ORDER, -1)[here])
-        shared = self._backed(self.top[0][g] + self.top[1][g], self.total[0][c] + self.total[1][c], self.types[2][c], p)
-        logs = [np.log(self._backed(self.top[k][g], self.total[k][c], self.types[k][c], shared)) for k in (TOXIC, ORDINARY)]
+        g, c = self.top[0].places(g), self.total[0].places(c)  # the two tops have the same keys, and so have total and types
+        top, total, types = ([x.values[at] for x in every] for every, at in ((self.top, g), (self.total, c), (self.types, c)))
+        shared = self._backed(top[0] + top[1], total[0] + total[1], types[2], p)
+        logs = [np.log(self._backed(top[k], total[k], types[k], shared)) for k in (TOXIC, ORDINARY)]
         return np.bincount(index[here], logs[TOXIC] - logs[ORDINARY], len(every))
 
     @staticmethod
@@ -188,35 +208,35 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> n
     return w
 
 
-def _dense(rows: pd.DataFrame, k: int, value: str) -> np.ndarray:
-    own = rows[rows["k"] == k]
-    out = np.zeros(1 << BITS, np.float32)
-    out[own["slot"].to_numpy(np.int64)] = own[value].to_numpy()
-    return out
+def _tables(rows: pd.DataFrame, k: int, *values: str) -> list[Counts]:
+    own = rows[rows["k"] == k].sort_values("slot")
+    keys = own["slot"].to_numpy(np.int64)
+    return [Counts(keys, own[value].to_numpy()) for value in values]
 
 
 def learn_counts(labelled: DataFrame, store: Store) -> Model:
     """labelled: (text, toxic boolean)."""
     vocabulary = store.save(labelled.select("text", "toxic").mapInArrow(word_counts, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "vocabulary")
-    keys = ["k", "gram", "own", "context", "suffix", "middle"]
-    found = vocabulary.mapInArrow(gram_counts, "k int, gram long, own long, context long, suffix long, middle long, toxic long, ordinary long").groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    keys = ["k", "gram", "context", "suffix", "middle"]
+    found = vocabulary.mapInArrow(gram_counts, "k int, gram long, context long, suffix long, middle long, toxic long, ordinary long").groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     found = store.save(found, "grams")
     one = F.sum(F.lit(1))
-    # each of these has at most ORDER x 2^BITS rows, whatever the corpus
-    suffixes = found.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("slot")).agg(one.alias("n")).toPandas()
-    middles = found.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("middle").alias("slot")).agg(one.alias("n")).toPandas()
+    # each of these has a row per distinct n-gram at most
+    suffixes = found.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("slot")).agg(one.alias("n")).toArrow().to_pandas()
+    middles = found.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("middle").alias("slot")).agg(one.alias("n")).toArrow().to_pandas()
     some = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    contexts = found.groupBy("k", F.col("context").alias("slot")).agg(one.alias("types"), F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1"), some("toxic").alias("t0"), some("ordinary").alias("t1")).toPandas()
-    top = found.where(F.col("k") == ORDER).groupBy("k", F.col("own").alias("slot")).agg(F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1")).toPandas()
-    lower = [(_dense(suffixes, k, "n"), _dense(middles, k, "n"), _dense(contexts, k, "types")) for k in range(1, ORDER)]
+    contexts = found.groupBy("k", F.col("context").alias("slot")).agg(one.alias("types"), F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1"), some("toxic").alias("t0"), some("ordinary").alias("t1")).toArrow().to_pandas()
+    top = found.where(F.col("k") == ORDER).groupBy("k", F.col("gram").alias("slot")).agg(F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1")).toArrow().to_pandas()
+    lower = [(*_tables(suffixes, k, "n"), *_tables(middles, k, "n"), *_tables(contexts, k, "types")) for k in range(1, ORDER)]
+    context = _tables(contexts, ORDER, "n0", "n1", "t0", "t1", "types")
     characters = found.where("k = 1").count()
     store.drop("vocabulary", "grams")
-    return Model(lower, [_dense(top, ORDER, c) for c in ("n0", "n1")], [_dense(contexts, ORDER, c) for c in ("n0", "n1")], [_dense(contexts, ORDER, c) for c in ("t0", "t1", "types")], characters)
+    return Model(lower, _tables(top, ORDER, "n0", "n1"), context[:2], context[2:], characters)
 
 
 def scored(docs: DataFrame, model: Model, weights: np.ndarray | None, prior: float) -> DataFrame:
     """docs (doc_id, text, ...) with the text replaced by score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights, prior))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model, weights, prior))  # grows with the distinct n-grams
     at = docs.columns.index("text")
     schema = ", ".join("score double" if f.name == "text" else f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
 

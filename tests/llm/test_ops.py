@@ -443,6 +443,18 @@ def test_model_is_a_distribution(spark, toxic):
     assert (m.top[1][toxicity.slot(gram)].sum()) == pytest.approx(m.total[1][toxicity.slot(ctx)][0])
 
 
+def test_ngrams_share_no_counts(spark):
+    r = random.Random(9)
+    every = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(8)) for _ in range(40_000)]
+    rows = spark.createDataFrame([(" ".join(every[k : k + 100]), k % 200 == 0) for k in range(0, len(every), 100)], "text string, toxic boolean").repartition(2)
+    m = toxicity.learn_counts(rows, Store(spark, "test"))
+    want = [Counter(g for i, w in enumerate(every) if ((i // 100 * 100) % 200 == 0) == toxic for w in [f"\x01\x01\x01{w}\x02"] for g in (w[k : k + 4] for k in range(len(w) - 3))) for toxic in (True, False)]
+    some = sorted({*want[0], *want[1]})
+    keys = toxicity.slot(np.array([toxicity.gram_hash(np.frombuffer(g.encode("utf-32-le"), np.uint32).astype(np.uint64), -3, 0)[3] for g in some[::20]]))
+    for k in (0, 1):
+        assert m.top[k][keys].tolist() == [want[k][g] for g in some[::20]]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_held_out_accuracy(spark):
     from sparkloom.llm import queries
