@@ -10,7 +10,8 @@ n-gram as its key, so they grow with the distinct n-grams of the corpus and none
 A word's evidence is the difference of its log-likelihoods. A document's evidence is length-normalised: the mean over
 all words, the highest mean over WINDOW consecutive words, and the second highest word; the logarithm of the number of
 words stands beside them, as maxima grow with it. A logistic regression, fitted
-on labelled documents whose words aren't counted (SAMPLE at most, about), makes a probability of it.
+on labelled documents whose words aren't counted (SAMPLE at most, about), makes a probability of it; once it is fitted,
+the words of these documents are counted too, and documents are scored by the counts of all labelled texts.
 
 Defined results: null, empty and wordless texts get the share of toxic documents; a document labelled both ways is
 toxic; null labels are none; with a class missing among the labels all scores are 0; repeated rows and null ids are
@@ -214,9 +215,20 @@ def _tables(rows: pd.DataFrame, k: int, *values: str) -> list[Counts]:
     return [Counts(keys, own[value].to_numpy()) for value in values]
 
 
+def vocabulary_of(labelled: DataFrame, store: Store, name: str) -> DataFrame:
+    """labelled (text, toxic boolean) to (word, toxic, ordinary), saved."""
+    return store.save(labelled.select("text", "toxic").mapInArrow(word_counts, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), name)
+
+
 def learn_counts(labelled: DataFrame, store: Store) -> Model:
     """labelled: (text, toxic boolean)."""
-    vocabulary = store.save(labelled.select("text", "toxic").mapInArrow(word_counts, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "vocabulary")
+    model = model_of(vocabulary_of(labelled, store, "vocabulary"), store)
+    store.drop("vocabulary")
+    return model
+
+
+def model_of(vocabulary: DataFrame, store: Store) -> Model:
+    """vocabulary: (word, toxic, ordinary)."""
     keys = ["k", "gram", "context", "suffix", "middle"]
     found = vocabulary.mapInArrow(gram_counts, "k int, gram long, context long, suffix long, middle long, toxic long, ordinary long").groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     found = store.save(found, "grams")
@@ -230,7 +242,7 @@ def learn_counts(labelled: DataFrame, store: Store) -> Model:
     lower = [(*_tables(suffixes, k, "n"), *_tables(middles, k, "n"), *_tables(contexts, k, "types")) for k in range(1, ORDER)]
     context = _tables(contexts, ORDER, "n0", "n1", "t0", "t1", "types")
     characters = found.where("k = 1").count()
-    store.drop("vocabulary", "grams")
+    store.drop("grams")
     return Model(lower, _tables(top, ORDER, "n0", "n1"), context[:2], context[2:], characters)
 
 
@@ -264,7 +276,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id
         return own.select("doc_id", F.lit(0.0).alias("score"))
     part = min(0.2, sample / sum(of.values()))
     labelled = own.join(small_side(known, store, "known"), "doc_id")
-    model = learn_counts(labelled.where(F.col("u") >= part), store)
+    counted = vocabulary_of(labelled.where(F.col("u") >= part), store, "counted")
+    model = model_of(counted, store)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +286,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)], ["a", "b", "c", "d", "toxic", "n"])
 
     rows = labelled.where(F.col("u") < part).select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic boolean, n long").where("n > 0").toPandas()
-    store.drop("known")
+    rest = vocabulary_of(labelled.where(F.col("u") < part), store, "rest")
+    model = model_of(counted.unionByName(rest), store)  # of all labelled rows; words of both are summed as n-grams
+    store.drop("known", "counted", "rest")
     y = rows["toxic"].to_numpy(float)
     weights = fit(rows[["a", "b", "c", "d"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
     return scored(own, model, weights, of[True] / sum(of.values()))

@@ -455,6 +455,16 @@ def test_ngrams_share_no_counts(spark):
         assert m.top[k][keys].tolist() == [want[k][g] for g in some[::20]]
 
 
+def test_calibration_rows_are_counted_too(spark, toxic, monkeypatch):
+    docs, labels = toxic
+    table, seen, real = spark.createDataFrame(labels, "doc_id long, toxic int"), [], toxicity.scored
+    monkeypatch.setattr(toxicity, "scored", lambda own, model, *more: seen.append(model) or real(own, model, *more))
+    toxicity.score_documents(docs, table, F.lit(True))
+    every = toxicity.learn_counts(docs.join(table, "doc_id").select("text", (F.col("toxic") > 0).alias("toxic")), Store(spark, "test"))
+    for got, want in zip([*seen[0].top, *seen[0].total, *seen[0].types], [*every.top, *every.total, *every.types], strict=True):
+        assert got.keys.tolist() == want.keys.tolist() and got.values.tolist() == want.values.tolist()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_held_out_accuracy(spark):
     from sparkloom.llm import queries
