@@ -6,6 +6,10 @@ posting's: postings of one alignment of an item with a document meet on (documen
 a candidate where both of its rarest terms meet. Candidates are then compared word by word with the document's text.
 Terms and document keys are 64-bit hashes here; a collision adds a candidate at most, never a match.
 
+Proximity matches come from the same postings: of each window's NEAR_TERMS rarest places whose terms the corpus has,
+any two that stand within WINDOW words of each other in a document, in either order. So a window with one word replaced, or one
+inserted, is still matched. They are matches of 64-bit terms, not compared with the text.
+
 Defined results: null, empty and wordless texts have no words; an item without words has no window; rows that repeat
 id and text share one result; null ids are allowed; with either table empty nothing is hit. Other columns are not
 looked at.
@@ -22,6 +26,8 @@ from sparkloom.llm.store import Store, small_side
 SEPARATOR, UPPER, LOWER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window, and the rarest terms of each that are looked up.
 WINDOW, RAREST = 13, 2
+#: The rarest places of a window whose pairs are looked up for proximity; one word changed leaves a pair of three.
+NEAR_TERMS = 3
 
 
 def words(text: F.Column) -> F.Column:
@@ -61,6 +67,18 @@ def with_rarest(items: DataFrame, counts: DataFrame, window: int, rarest: int) -
     return x.select("item", F.filter(wins, lambda w: w["rare"][0]["n"] > 0).alias("windows")).where(F.size("windows") > 0)
 
 
+def near_pairs(items: DataFrame, counts: DataFrame, window: int, rarest: int = NEAR_TERMS) -> DataFrame:
+    """(item, term, term2): the pairs among each window's rarest places, of those whose terms the corpus has."""
+    placed = items.select("item", F.posexplode("pieces").alias("at", "w")).select("item", "at", term(F.col("w")).alias("term")).join(counts, "term", "left")
+    x = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("t"))
+    wins = F.expr(f"""
+        transform(sequence(0, greatest(size(t) - {window}, 0)), s ->
+            slice(array_sort(transform(filter(slice(t, s + 1, {window}), e -> e.n > 0), e -> struct(e.n AS n, e.at AS at, e.term AS term))), 1, {rarest}))""")
+    rare = x.select("item", F.explode(F.array_distinct(wins)).alias("rare"))
+    two = rare.select("item", "rare", F.explode("rare").alias("a")).select("item", "a", F.explode("rare").alias("b")).where("a.at < b.at")
+    return two.select("item", F.least("a.term", "b.term").alias("term"), F.greatest("a.term", "b.term").alias("term2")).distinct()
+
+
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The postings (term, dkey, pos) of the terms; docs has (dkey, text). pos counts from the first piece of the text."""
     return docs.select("dkey", F.posexplode(words(F.col("text"))).alias("pos", "w")).select("dkey", "pos", term(F.col("w")).alias("term")).join(terms, "term").select("term", "dkey", "pos")
@@ -86,6 +104,14 @@ def proximity_matches(postings: DataFrame, pairs: DataFrame, within: int) -> Dat
 
 def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exact phrase matches: one row per document: doc_id, n_words, n_hit, n_items, items_sha256, items (ids found)."""
+    return search(docs, benchmark, window, rarest, 0, id_col, text_col)[0]
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, within: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """phrase_hits, and the proximity matches (doc_id, item_id, pos, pos2), distinct, of terms within so many words of each other (0: none are looked for).
+
+    pos and pos2 count from the text's first piece, pos being of the lesser term.
+    """
     store = Store(docs.sparkSession, "decontaminate")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("dkey", F.xxhash64("doc_id", "text"))
@@ -94,8 +120,15 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rar
     counts = store.save(corpus_counts(docs, small_side(vocabulary, store, "vocabulary")), "counts")
     rare = store.save(with_rarest(items, counts, window, rarest), "rare")
     places = store.save(rare.select("item", F.explode("windows").alias("w")).select("item", F.explode("w.rare").alias("r")).select("item", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct(), "places")
-    terms = store.save(places.select("term").distinct(), "terms")
+    pairs = store.save(near_pairs(items, counts, window), "pairs") if within else None
+    wanted = places.select("term").union(pairs.select("term")).union(pairs.select("term2")) if within else places.select("term")
+    terms = store.save(wanted.distinct(), "terms")
     postings = store.save(build_index(keyed, small_side(terms, store, "terms")), "postings")
+    near = None
+    if within:
+        met = proximity_matches(postings, small_side(pairs, store, "pairs"), within)
+        own = met.join(items.select("item", "item_id"), "item").join(keyed.select("doc_id", "dkey"), "dkey")
+        near = store.save(own.select("doc_id", "item_id", "pos", "pos2").distinct(), "near")
     met = alignments(postings, small_side(places, store, "places"))
     starts = F.expr("transform(filter(windows, w -> forall(w.rare, r -> array_contains(places, r.at))), w -> struct(w.start AS start, w.len AS len))")
     both = met.join(small_side(rare, store, "rare"), "item").select("dkey", "item", "shift", starts.alias("starts")).where(F.size("starts") > 0)
@@ -110,13 +143,23 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rar
             (a, s) -> struct(a.n + greatest(CAST(0 AS bigint), s.start + s.len - greatest(a.to, CAST(s.start AS bigint))) AS n, greatest(a.to, CAST(s.start + s.len AS bigint)) AS to)).n""")
     hits = texts.select("doc_id", "dkey", sure.alias("sure")).where(F.size("sure") > 0).select("doc_id", "dkey", covered.alias("n_hit"), F.expr("array_sort(array_distinct(transform(sure, m -> m.item)))").alias("items"))
     hits = store.save(hits.dropDuplicates(["dkey", "doc_id"]).withColumnRenamed("doc_id", "hit_id"), "hits")
-    store.drop("items", "vocabulary", "counts", "rare", "places", "terms", "postings", "maybe")
+    store.drop("items", "vocabulary", "counts", "rare", "places", "terms", "postings", "maybe", "pairs")
     counted = keyed.select("doc_id", "dkey", count_words(words(F.col("text"))).alias("n_words"))
     x = counted.join(small_side(hits, store, "hits").withColumnRenamed("dkey", "hit_key"), (F.col("dkey") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     found = F.coalesce("items", F.array().cast("array<string>"))
-    return x.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"), found.alias("items"), "dkey")
+    return x.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"), found.alias("items"), "dkey"), near
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **columns: str) -> DataFrame:
     """phrase_hits with contaminated: some word is hit, and at least one in `share` words."""
-    return phrase_hits(docs, benchmark, window, **columns).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    return judged(phrase_hits(docs, benchmark, window, **columns), share)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, within: int = WINDOW, **columns: str) -> tuple[DataFrame, DataFrame]:
+    """What decontaminate gives, and the proximity matches (doc_id, item_id, pos, pos2), from the same postings."""
+    hits, near = search(docs, benchmark, window, within=within, **columns)
+    return judged(hits, share), near
+
+
+def judged(hits: DataFrame, share: int) -> DataFrame:
+    return hits.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

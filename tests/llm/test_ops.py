@@ -233,6 +233,21 @@ def test_proximity(spark):
     assert sorted(map(tuple, decontaminate.proximity_matches(postings, pairs, 4).collect())) == [(7, 5, 0, 3), (8, 5, 5, 1)]
 
 
+def test_proximity_matches_of_changed_passages(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split()
+    filler = " ".join(f"filler{k}" for k in range(60))
+    texts = {1: [*item], 2: [*item[:6], "inserted", *item[6:]], 4: [*reversed(item)], 5: ["nothing", "here"], 6: [item[0], *filler.split(), item[1], *filler.split(), item[2]]}
+    texts |= {100 + k: [*item[:k], "swapped", *item[k + 1 :]] for k in range(len(item))}
+    docs = spark.createDataFrame([(k, " ".join(["before", *v, "after"])) for k, v in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, "alpha unheard"), (9, "nowhere")], "item_id long, text string")
+    hits, near = decontaminate.matches(docs, benchmark)
+    assert {r.doc_id for r in hits.where("n_hit > 0").collect()} == {1}
+    rows = near.collect()
+    assert {r.item_id for r in rows} == {7} and {r.doc_id for r in rows} == set(texts) - {5, 6}
+    assert all(0 < abs(r.pos - r.pos2) <= decontaminate.WINDOW for r in rows) and len(rows) == len(set(rows))
+    assert sorted(map(str, hits.drop("dkey").collect())) == sorted(map(str, decontaminate.decontaminate(docs, benchmark).drop("dkey").collect()))
+
+
 # --- licences
 
 
