@@ -81,6 +81,16 @@ known AS (SELECT license_id, sha256({licenses.canonical_sql("text")}) AS canonic
 d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN known USING (canonical_sha256)"""
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+digits AS (SELECT page_id, url, html, hex, [CAST('0x' || substr(hex, 10 * c + 1, 10) AS BIGINT) for c in [0, 1, 2, 3]] AS fives FROM p),
+d AS (SELECT page_id, url, html, max(page_id) OVER (PARTITION BY hex) AS response_id, array_to_string(
+    [array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1) for s in [35, 30, 25, 20, 15, 10, 5, 0]], '') for v in fives], '') AS payload_digest
+    FROM digits)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = response_id THEN NULL ELSE response_id END AS refers_to, url
+FROM d"""
+
 OP7_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
@@ -95,4 +105,4 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_files, op4_license_scan, op5_language, op6_warc, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
-ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op6_warc": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}

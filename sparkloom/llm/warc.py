@@ -1,8 +1,9 @@
 """WARC archives compressed with zstandard.
 
 A file opens with a skippable frame that holds the dictionary, followed by one frame per record, so a reader can start
-at any record whose place it knows. The dictionary is trained on a bounded sample of the pages; if there is too little
-to train on, the frame is empty and records are compressed without one. The reader streams a file frame by frame, and
+at any record whose place it knows. The dictionary is trained on slices of about SAMPLE pages, drawn by a hash below a
+threshold that follows from the number of pages, so what reaches the driver has a bound at any size; if there is too
+little to train on, the frame is empty and records are compressed without one. The reader streams a file frame by frame, and
 validates the frames, the WARC headers, the lengths and the payload digests of responses.
 
 Defined results: null html is an empty payload; empty payloads are equal to each other; all rows that carry the id of
@@ -30,8 +31,8 @@ from sparkloom.llm.store import Store, small_side
 
 #: Magic of the dictionary's frame (zstandard's skippable frames have 0x184D2A50 to 5F) and of zstandard's own frames.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
-#: Pages and bytes of each to train on; bytes of the dictionary; bytes after which another file begins; bytes that a read asks for.
-SAMPLE, SAMPLE_BYTES, DICTIONARY, FILE_BYTES, READ = 2000, 8192, 64 << 10, 256 << 20, 1 << 20
+#: Pages and characters of each (a slice from anywhere in the page) to train on; bytes of the dictionary; bytes after which another file begins; bytes that a read asks for.
+SAMPLE, SLICE, DICTIONARY, FILE_BYTES, READ = 2000, 8192, 64 << 10, 256 << 20, 1 << 20
 LEVEL = 3
 EPOCH = datetime(2000, 1, 1, tzinfo=timezone.utc)
 
@@ -223,6 +224,18 @@ def read(folder: str, rows: int = 5000):
     return run
 
 
+def drawn(own: DataFrame, rows: int, sample: int = SAMPLE) -> DataFrame:
+    """(s): slices of about `sample` of the pages (page_id, html), to train the dictionary only.
+
+    A page is drawn if its hash is low enough; rows that repeat a page share its hash and are drawn as one, so the
+    number of slices is binomial with a mean of `sample` at most.
+    """
+    share = min(1.0, sample / max(rows, 1))
+    hashed = own.select("html", F.shiftrightunsigned(F.xxhash64("page_id", "html", F.lit("train")), 11).alias("k")).where(F.col("k") < F.lit(int(share * (1 << 53))))
+    start = F.pmod(F.col("k"), F.greatest(F.length("html") - SLICE + 1, F.lit(1))).cast("int") + 1
+    return hashed.select("k", F.substring("html", start, F.lit(SLICE)).alias("s")).groupBy("k").agg(F.min("s").alias("s")).select("s")
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the pages' archives to folder, which all executors share; a row per file: name, n.
 
@@ -235,8 +248,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     keyed = own.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     shared = keyed.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "first_id")
     shared = store.save(shared, "shared")
-    drawn = own.select(F.substring("html", 1, SAMPLE_BYTES).alias("s"), F.xxhash64("page_id", "html").alias("k")).orderBy("k").limit(SAMPLE).select("s")  # to train the dictionary only
-    dictionary = train([r.s.encode("utf-8", "surrogatepass") for r in drawn.collect()])
+    dictionary = train([r.s.encode("utf-8", "surrogatepass") for r in drawn(own, pages.count()).collect()])
     dealt = keyed.join(small_side(shared, store, "shared"), "sha1", "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("response_id"))
     files = store.save(dealt.mapInArrow(write(folder, dictionary, file_bytes), "name string, n long"), "files")
     store.drop("shared")
