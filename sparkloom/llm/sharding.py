@@ -1,7 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents of equal text form a group and go to one shard, unless the group is larger than a shard in some dimension;
-such groups, 3 x shards at most, are split by a hash of the id into pieces of a quarter of a shard. Groups of at least
+Documents of equal text form a group and go to one shard, unless the group's bytes exceed a shard's; such groups,
+fewer than there are shards, are split by a hash of the id into pieces of a quarter of a shard. A group of many rows and
+few bytes stays whole: bytes come out near equal, tokens and rows as near as whole groups allow. Groups of at least
 1/LARGE of a shard, whose number the sum of all sizes bounds, are placed on the driver, largest first. The others are
 dealt over tasks, and each task places its own, largest first, into its share of every shard's residual capacity.
 Both place a group where the dot product of its size with the residual capacity is highest, dimensions in fractions
@@ -79,8 +80,9 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     if not got[3]:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), "tokens")
     totals = np.maximum(np.array(got[:3], float), 1)
+    full = F.col("size") / F.lit(float(totals[0]) / shards)  # in shards, by bytes
     over = lambda part: F.greatest(*[F.col(c) / F.lit(float(t) * part) for c, t in zip(SIZES, totals, strict=True)])
-    hot = groups.where(over(1 / shards) > 1).select("gkey", "text_crc32", F.ceil(over(1 / shards / 4)).cast("int").alias("pieces")).collect()  # 3 x shards rows at most
+    hot = groups.where(full > 1).select("gkey", "text_crc32", F.ceil(full * 4).cast("int").alias("pieces")).collect()  # fewer than there are shards
     hot = spark.createDataFrame(hot, "gkey long, text_crc32 long, pieces int").coalesce(1)
     key = ["gkey", "text_crc32"]
     rows = rows.join(F.broadcast(hot), key, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), "pieces"), F.lit(0)).cast("int")).drop("pieces")
