@@ -1,17 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 The units are the characters of a word, from its start to its end. The words of all labelled texts are counted by
-class, and n-gram counts, continuation counts and numbers of types follow from them; nothing of this is sampled or cut.
-Each class's model discounts its own counts of n-grams of ORDER characters and backs off to one model that both classes
-share: Kneser-Ney over the counts of both, whose lower orders use continuation counts. So a rare word leans to a class
-only where that class's texts continue a word differently from the rest. The tables that score have the 64-bit hash of each
-n-gram as its key, so they grow with the distinct n-grams of the corpus and none shares its counts with another.
+class, a word once a document, and n-gram counts, continuation counts and numbers of types follow from them; nothing
+of this is sampled or cut. Each class's model discounts its own counts of n-grams of ORDER characters and backs off to
+one model that both classes share: Kneser-Ney over the counts of both, whose lower orders use continuation counts. The
+shared model counts as SHARED more observations of each context, so a rare expression leans to a class only as far as
+several documents of that class back it. The tables that score have the 64-bit hash of each n-gram as its key, so they
+grow with the distinct n-grams of the labelled texts and none shares its counts with another.
 
 A word's evidence is the difference of its log-likelihoods. A document's evidence is length-normalised: the mean over
 all words, the highest mean over WINDOW consecutive words, and the second highest word; the logarithm of the number of
-words stands beside them, as maxima grow with it. A logistic regression, fitted
-on labelled documents whose words aren't counted (SAMPLE at most, about), makes a probability of it; once it is fitted,
-the words of these documents are counted too, and documents are scored by the counts of all labelled texts.
+words stands beside them, as maxima grow with it. A logistic regression makes a probability of it. It is fitted on a
+sample of labelled documents (SAMPLE at most, about; all of them on small tables) by cross-fitting: the sample is dealt
+into FOLDS parts, and the documents of a part are measured by the counts of all labelled texts but that part's.
+
+ORDER, SHARED and the features were chosen by cross-validation within the labelled documents that may be learned from.
 
 Defined results: null, empty and wordless texts get the share of toxic documents; a document labelled both ways is
 toxic; null labels are none; with a class missing among the labels all scores are 0; repeated rows and null ids are
@@ -23,7 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,13 +38,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store, small_side
 
-ORDER, DISCOUNT = 4, 0.75
-WINDOW, SAMPLE, HELD_WORDS, CHUNK = 8, 20_000, 200_000, 2_000_000
-#: Evidence beyond these counts as much, so that a few documents with a lot of it don't sway the regression.
-MOST = (np.inf, 3.0, 8.0)
+ORDER, DISCOUNT, SHARED = 7, 0.75, 40.0
+WINDOW, SAMPLE, FOLDS = 8, 20_000, 4
+#: Words a task holds before it gives its sums; bytes of text measured at once; words whose evidence a worker remembers.
+HELD_WORDS, CHUNK, REMEMBERED = 200_000, 2_000_000, 300_000
 START, END = "\x01", "\x02"
 WORD = re.compile(r"\w+")
-TOXIC, ORDINARY = 0, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,91 +52,125 @@ def words(text: str | None) -> list[str]:
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (word, toxic, ordinary), summed over what a task has read, or as much as it can hold."""
-    held: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    """(text, fold, toxic) to (word, fold, toxic, ordinary): documents with the word, summed over what a task can hold."""
+    held: dict[tuple[str, int], list[int]] = {}
 
     def give() -> pa.RecordBatch:
-        every = [*dict.fromkeys([*held[TOXIC], *held[ORDINARY]])]
-        cols = [pa.array(every, pa.string()), *[pa.array([h.get(w, 0) for w in every], pa.int64()) for h in held]]
-        for h in held:
-            h.clear()
-        return pa.RecordBatch.from_arrays(cols, ["word", "toxic", "ordinary"])
+        keys, sums = list(held), list(held.values())
+        held.clear()
+        cols = [
+            pa.array([k[0] for k in keys], pa.string()),
+            pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([s[1] for s in sums], pa.int64()),
+            pa.array([s[0] for s in sums], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["word", "fold", "toxic", "ordinary"])
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            own = held[TOXIC if toxic else ORDINARY]
-            for w in words(text.as_py()):
-                own[w] = own.get(w, 0) + 1
-            if len(held[TOXIC]) + len(held[ORDINARY]) > HELD_WORDS:
+        for text, fold, toxic in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for w in set(words(text.as_py())):
+                held.setdefault((w, fold), [0, 0])[toxic] += 1
+            if len(held) > HELD_WORDS:
                 yield give()
     yield give()
 
 
 def spelled(every: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' characters one after another, each after ORDER - 1 starts and before an end; and which word each place that counts is in (-1: a start)."""
+    """The words' characters one after another, each word after ORDER - 1 starts and before an end; and which word each
+    place that counts is in (-1: a start)."""
     pad = START * (ORDER - 1)
-    points = np.frombuffer("".join(f"{pad}{w}{END}" for w in every).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    text = "".join(f"{pad}{w}{END}" for w in every)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter((len(w) for w in every), np.int64, len(every)) + ORDER
     index = np.repeat(np.arange(len(every)), lengths)
     at = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return points, np.where(at >= ORDER - 1, index, -1)
 
 
-def gram_hash(points: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Hash of the characters at each place's offsets first..last (0 or less); no characters: 0."""
-    h = np.full(len(points), max(last - first + 1, 0), np.uint64)
-    for k in range(first, last + 1):
-        h = (h ^ np.roll(points, -k)) * MIX
+def gram_hash(points: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the `length` characters that end at each place."""
+    h = np.full(len(points), length, np.uint64)
+    for k in range(length - 1, -1, -1):
+        h = (h ^ np.roll(points, k)) * MIX
         h ^= h >> np.uint64(31)
     return h
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    """The key of a hash in the tables."""
-    return h.view(np.int64)
+GRAMS = "k int, gram long, context long, suffix long, middle long, fold int, toxic long, ordinary long"
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, ordinary) to the n-grams of each order: (k, gram, context, suffix, middle, toxic, ordinary)."""
+    """(word, fold, toxic, ordinary) to the n-grams of each order, with the hashes of the n-gram without its last
+    character (context), its first one (suffix) and both (middle)."""
+    names = [x.split()[0] for x in GRAMS.split(", ")]
     for batch in batches:
         if not batch.num_rows:
             continue
-        points, index = spelled(batch.column(0).to_pylist())
-        here = index >= 0
-        counts = [batch.column(c).to_numpy()[index[here]] for c in (1, 2)]
-        for k in range(1, ORDER + 1):
-            gram = gram_hash(points, 1 - k, 0)[here]
-            own, where, back = np.unique(gram, return_index=True, return_inverse=True)
-            keys = [slot(gram_hash(points, a, b)[here][where]) for a, b in ((1 - k, -1), (2 - k, 0), (2 - k, -1))]
-            sums = [np.bincount(back, c, len(own)).astype(np.int64) for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64)), *map(pa.array, keys), *map(pa.array, sums)], ["k", "gram", "context", "suffix", "middle", "toxic", "ordinary"])
-
-
-class Counts:
-    """Numbers by key, 0 for other keys. Keys are in order, and found by halving."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.keys, self.values = keys, np.append(values, 0).astype(np.float32)
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key stands, or the place of the 0."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[np.minimum(at, len(self.keys) - 1)] == keys, at, len(self.keys))
+        fold = batch.column(1).to_numpy()
+        for f in np.unique(fold).tolist():
+            own = batch.filter(pa.array(fold == f))
+            points, index = spelled(own.column(0).to_pylist())
+            here = index >= 0
+            counts = [own.column(c).to_numpy()[index[here]] for c in (2, 3)]
+            hashes = [gram_hash(points, k) for k in range(ORDER + 1)]
+            before = [np.roll(h, 1) for h in hashes]
+            for k in range(1, ORDER + 1):
+                gram, where, back = np.unique(hashes[k][here], return_index=True, return_inverse=True)
+                parts = (before[k - 1], hashes[k - 1], before[max(k - 2, 0)])
+                keys = [gram, *[h[here][where] for h in parts]]
+                sums = [np.bincount(back, c, len(gram)).astype(np.int64) for c in counts]
+                ints = [np.full(len(gram), x, np.int32) for x in (k, f)]
+                cols = [ints[0], *[x.view(np.int64) for x in keys], ints[1], *sums]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+
+
+class Strings:
+    """Columns of numbers by the hash of a string, 0 for strings that aren't there.
+
+    Keys are in order and their leading bits tell a bucket of about one key, so a string is found in a step or two.
+    """
+
+    def __init__(self, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.columns = {c: np.append(x[order], 0).astype(np.float32) for c, x in columns.items()}
+        self.bits = max(1, int(len(keys)).bit_length())
+        marks = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.starts = np.append(np.searchsorted(self.keys, marks), len(keys)).astype(np.uint32)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash stands, or the place of the 0."""
+        out = np.full(len(h), len(self.keys), np.uint32)
+        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        return self.values[self.places(keys)]
+    def less(self, keys: np.ndarray, amounts: dict[str, np.ndarray]) -> Strings:
+        """The same with amounts taken off; keys may repeat."""
+        out = object.__new__(Strings)
+        out.keys, out.bits, out.starts, out.columns = self.keys, self.bits, self.starts, dict(self.columns)
+        at = self.places(keys.view(np.uint64))
+        for c, x in amounts.items():
+            out.columns[c] = self.columns[c].copy()
+            np.subtract.at(out.columns[c], at, x.astype(np.float32))
+            out.columns[c][-1] = 0
+        return out
 
 
 @dataclass
 class Model:
-    """tables[k]: for k < ORDER the continuation counts of n-grams, and by context their sum and number of types."""
+    """of[k]: the strings of k characters. Columns: below ORDER n (continuation count) and, as contexts, total and types
+    (for ORDER - 1: n0, n1, t0, t1 by class, and types); of ORDER: n0 and n1. Class 0 is the toxic one."""
 
-    lower: list[tuple[Counts, Counts, Counts]]
-    top: list[Counts]
-    total: list[Counts]
-    types: list[Counts]
+    of: list[Strings]
     characters: int
 
     def __getstate__(self) -> bytes:
@@ -146,53 +182,78 @@ class Model:
 
     def evidence(self, every: list[str]) -> np.ndarray:
         """Each word's toxic log-likelihood less its ordinary one."""
-        out = np.zeros(len(every))
-        for k in range(0, len(every), 20_000):
-            out[k : k + 20_000] = self._evidence(every[k : k + 20_000])
-        return out
+        parts = [self._evidence(every[k : k + 20_000]) for k in range(0, len(every), 20_000)]
+        return np.concatenate([np.zeros(0), *parts])
 
     def _evidence(self, every: list[str]) -> np.ndarray:
         points, index = spelled(every)
         here = index >= 0
         p = np.full(int(here.sum()), 1 / max(self.characters, 1))
-        for k, (count, total, types) in enumerate(self.lower, 1):
-            g, c = slot(gram_hash(points, 1 - k, 0)[here]), slot(gram_hash(points, 1 - k, -1)[here])
-            p = self._backed(count[g], total[c], types[c], p)
-        g, c = slot(gram_hash(points, 1 - ORDER, 0)[here]), slot(gram_hash(points, 1 - ORDER, -1)[here])
-        g, c = self.top[0].places(g), self.total[0].places(c)  # the two tops have the same keys, and so have total and types
-        top, total, types = ([x.values[at] for x in every] for every, at in ((self.top, g), (self.total, c), (self.types, c)))
-        shared = self._backed(top[0] + top[1], total[0] + total[1], types[2], p)
-        logs = [np.log(self._backed(top[k], total[k], types[k], shared)) for k in (TOXIC, ORDINARY)]
-        return np.bincount(index[here], logs[TOXIC] - logs[ORDINARY], len(every))
-
-    @staticmethod
-    def _backed(count: np.ndarray, total: np.ndarray, types: np.ndarray, below: np.ndarray) -> np.ndarray:
-        seen = total > 0
-        n = np.where(seen, total, 1)
-        return np.where(seen, (np.maximum(count - DISCOUNT, 0) + DISCOUNT * types * below) / n, below)
-
-
-def features(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        before = self.of[0].places(np.roll(gram_hash(points, 0), 1)[here])
+        for k in range(1, ORDER):
+            at = self.of[k].places(gram_hash(points, k))
+            context = self.of[k - 1].columns
+            total, types = context["total"][before], context["types"][before]
+            p = backed(self.of[k].columns["n"][at[here]], total, types, p, 0.0)
+            before = np.roll(at, 1)[here]
+        top, context = self.of[ORDER].columns, self.of[ORDER - 1].columns
+        at = self.of[ORDER].places(gram_hash(points, ORDER)[here])
+        n = [top[c][at] for c in ("n0", "n1")]
+        total = [context[c][before] for c in ("n0", "n1")]
+        shared = backed(n[0] + n[1], total[0] + total[1], context["types"][before], p, 0.0)
+        logs = [np.log(backed(n[c], total[c], context[f"t{c}"][before], shared, SHARED)) for c in (0, 1)]
+        return np.bincount(index[here], logs[0] - logs[1], len(every))
+
+
+def backed(count: np.ndarray, total: np.ndarray, types: np.ndarray, below: np.ndarray, more: float) -> np.ndarray:
+    """Discounted probabilities, backed off to those below, which count as `more` observations besides."""
+    seen = total > 0
+    own = np.maximum(count - DISCOUNT, 0) + (DISCOUNT * types + more) * below
+    return np.where(seen, own / np.where(seen, total + more, 1), below)
+
+
+class Evidence:
+    """A worker's evidence of words: each is computed once while it is remembered, in two generations."""
+
+    def __init__(self, model: Model, remembered: int = REMEMBERED) -> None:
+        self.model, self.remembered, self.new, self.old = model, remembered, {}, {}
+
+    def of(self, every: list[str]) -> np.ndarray:
+        if len(self.new) > self.remembered:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        unknown = [w for w in every if w not in new and w not in old]
+        new.update(zip(unknown, self.model.evidence(unknown).tolist(), strict=True))
+        for w in every:
+            if w not in new:
+                new[w] = old[w]
+        return np.fromiter((new[w] for w in every), np.float64, len(every))
+
+
+def features(evidence: Evidence, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """A row per text (mean, best window, second best word, log of the words), and its number of words."""
     each = [words(t) for t in texts]
     n = np.fromiter(map(len, each), np.int64, len(each))
     codes, every = pd.factorize(np.array([w for ws in each for w in ws], dtype=object))
-    llr = model.evidence(list(every))[codes] if len(codes) else np.zeros(0)
+    llr = evidence.of(list(every))[codes] if len(codes) else np.zeros(0)
     out = np.zeros((len(each), 3))
     for i, (start, count) in enumerate(zip(np.cumsum(n) - n, n, strict=True)):
         if count:
             own = llr[start : start + count]
             sums = np.concatenate([[0.0], np.cumsum(own)])
             width = min(WINDOW, count)
-            out[i] = own.mean(), (sums[width:] - sums[:-width]).max() / WINDOW, np.partition(own, -2)[-2] if count > 1 else own[0] / 2
-    return np.column_stack([np.minimum(out, MOST), np.log1p(n)]), n
+            best = (sums[width:] - sums[:-width]).max() / WINDOW
+            out[i] = own.mean(), best, np.partition(own, -2)[-2] if count > 1 else min(own[0], 0.0)
+    return np.column_stack([out, np.log1p(n)]), n
 
 
-def features_of(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features_of(evidence: Evidence, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """features() of many texts, taking CHUNK bytes at once, or one text that is longer."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     starts = np.flatnonzero(np.diff(sizes // CHUNK, prepend=-1)).tolist()
-    parts = [features(model, texts[a:b].to_pylist()) for a, b in zip(starts, [*starts[1:], len(texts)], strict=True)] or [features(model, [])]
+    ends = [*starts[1:], len(texts)]
+    parts = [features(evidence, texts[a:b].to_pylist()) for a, b in zip(starts, ends, strict=True)]
+    parts = parts or [features(evidence, [])]
     return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
 
@@ -209,86 +270,137 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> n
     return w
 
 
-def _tables(rows: pd.DataFrame, k: int, *values: str) -> list[Counts]:
-    own = rows[rows["k"] == k].sort_values("slot")
-    keys = own["slot"].to_numpy(np.int64)
-    return [Counts(keys, own[value].to_numpy()) for value in values]
-
-
-def vocabulary_of(labelled: DataFrame, store: Store, name: str) -> DataFrame:
-    """labelled (text, toxic boolean) to (word, toxic, ordinary), saved."""
-    return store.save(labelled.select("text", "toxic").mapInArrow(word_counts, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), name)
-
-
-def learn_counts(labelled: DataFrame, store: Store) -> Model:
-    """labelled: (text, toxic boolean)."""
-    model = model_of(vocabulary_of(labelled, store, "vocabulary"), store)
-    store.drop("vocabulary")
-    return model
-
-
-def model_of(vocabulary: DataFrame, store: Store) -> Model:
-    """vocabulary: (word, toxic, ordinary)."""
-    keys = ["k", "gram", "context", "suffix", "middle"]
-    found = vocabulary.mapInArrow(gram_counts, "k int, gram long, context long, suffix long, middle long, toxic long, ordinary long").groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    found = store.save(found, "grams")
-    one = F.sum(F.lit(1))
-    # each of these has a row per distinct n-gram at most
-    suffixes = found.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("suffix").alias("slot")).agg(one.alias("n")).toArrow().to_pandas()
-    middles = found.where("k > 1").groupBy((F.col("k") - 1).alias("k"), F.col("middle").alias("slot")).agg(one.alias("n")).toArrow().to_pandas()
-    some = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    contexts = found.groupBy("k", F.col("context").alias("slot")).agg(one.alias("types"), F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1"), some("toxic").alias("t0"), some("ordinary").alias("t1")).toArrow().to_pandas()
-    top = found.where(F.col("k") == ORDER).groupBy("k", F.col("gram").alias("slot")).agg(F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1")).toArrow().to_pandas()
-    lower = [(*_tables(suffixes, k, "n"), *_tables(middles, k, "n"), *_tables(contexts, k, "types")) for k in range(1, ORDER)]
-    context = _tables(contexts, ORDER, "n0", "n1", "t0", "t1", "types")
-    characters = found.where("k = 1").count()
-    store.drop("grams")
-    return Model(lower, _tables(top, ORDER, "n0", "n1"), context[:2], context[2:], characters)
-
-
-def scored(docs: DataFrame, model: Model, weights: np.ndarray | None, prior: float) -> DataFrame:
+KEYS = ("k", "gram", "context", "suffix", "middle")
+
+
+def count_grams(labelled: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """labelled (text, fold, toxic as 0 or 1; fold -1: not in the sample) to the n-grams of all documents (KEYS, toxic,
+    ordinary), and those of the sample's parts (KEYS, fold, toxic, ordinary), both saved."""
+    sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
+    found = labelled.select("text", "fold", "toxic").mapInArrow(word_counts, "word string, fold int, toxic long, ordinary long")
+    vocabulary = store.save(found.groupBy("word", "fold").agg(*sums), "vocabulary")
+    grams = store.save(vocabulary.mapInArrow(gram_counts, GRAMS).groupBy(*KEYS, "fold").agg(*sums), "grams")
+    every = store.save(grams.groupBy(*KEYS).agg(*sums), "every")
+    return every, grams.where("fold >= 0")
+
+
+def model_of(every: DataFrame) -> Model:
+    """Gathers the tables of the model on the driver: a row per distinct n-gram at most in each."""
+    one = F.count(F.lit(1))
+    shorter = lambda by, c: ((F.col("k") - by).alias("length"), F.col(c).alias("key"))
+    some = [F.count_if(F.col(c) > 0).alias(f"t{i}") for i, c in enumerate(("toxic", "ordinary"))]
+    sums = [F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1")]
+    tables = {
+        ("n",): every.where("k > 1").groupBy(*shorter(1, "suffix")).agg(one.alias("n")),
+        ("total",): every.where("k > 1").groupBy(*shorter(2, "middle")).agg(one.alias("total")),
+        ("types",): every.where(F.col("k") < ORDER).groupBy(*shorter(1, "context")).agg(one.alias("types")),
+        ("types", "n0", "n1", "t0", "t1"): every.where(F.col("k") == ORDER).groupBy(*shorter(1, "context")).agg(one.alias("types"), *sums, *some),
+        ("n0", "n1"): every.where(F.col("k") == ORDER).select(*shorter(0, "gram"), F.col("toxic").alias("n0"), F.col("ordinary").alias("n1")),
+    }
+    rows = {columns: df.toArrow().to_pandas() for columns, df in tables.items()}
+    of = []
+    for k in range(ORDER + 1):
+        parts = {columns: own[own["length"] == k] for columns, own in rows.items()}
+        keys = np.unique(np.concatenate([own["key"].to_numpy(np.int64) for own in parts.values()]))
+        out = {}
+        for columns, own in parts.items():
+            at = np.searchsorted(keys, own["key"].to_numpy(np.int64))
+            for c in columns if len(own) else ():
+                out[c] = np.zeros(len(keys))
+                out[c][at] = own[c]
+        of.append(Strings(keys, out))
+    return Model(of, len(of[1].keys))
+
+
+def without(model: Model, own: pd.DataFrame) -> Model:
+    """The model without the documents of a part; own: the part's n-grams, with total_toxic and total_ordinary of all documents."""
+    of = list(model.of)
+    toxic, ordinary = own["toxic"], own["ordinary"]
+    lost = (toxic == own["total_toxic"]) & (ordinary == own["total_ordinary"])
+    one = lambda rows: np.ones(len(rows))
+    for k in range(1, ORDER):
+        gone = own[lost & (own["k"] == k)]
+        of[k - 1] = of[k - 1].less(gone["context"].to_numpy(), {"types": one(gone)})
+        longer = own[lost & (own["k"] == k + 1)]
+        of[k] = of[k].less(longer["suffix"].to_numpy(), {"n": one(longer)})
+        of[k - 1] = of[k - 1].less(longer["middle"].to_numpy(), {"total": one(longer)})
+    top = own["k"] == ORDER
+    rows = own[top]
+    of[ORDER] = of[ORDER].less(rows["gram"].to_numpy(), {"n0": rows["toxic"].to_numpy(), "n1": rows["ordinary"].to_numpy()})
+    amounts = {
+        "n0": rows["toxic"].to_numpy(),
+        "n1": rows["ordinary"].to_numpy(),
+        "types": lost[top].to_numpy(),
+        "t0": ((rows["toxic"] > 0) & (rows["toxic"] == rows["total_toxic"])).to_numpy(),
+        "t1": ((rows["ordinary"] > 0) & (rows["ordinary"] == rows["total_ordinary"])).to_numpy(),
+    }
+    of[ORDER - 1] = of[ORDER - 1].less(rows["context"].to_numpy(), amounts)
+    return replace(model, of=of)
+
+
+def scored(docs: DataFrame, model: Model, weights: np.ndarray, prior: float) -> DataFrame:
     """docs (doc_id, text, ...) with the text replaced by score."""
     shared = docs.sparkSession.sparkContext.broadcast((model, weights, prior))  # grows with the distinct n-grams
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
     schema = ", ".join("score double" if f.name == "text" else f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights, prior = shared.value
+        evidence = Evidence(model)
         for batch in batches:
-            x, n = features_of(model, batch.column(at))
-            p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30))) if weights is not None else np.zeros(len(x))
-            score = np.where(n > 0, p, prior)
-            cols = [pa.array(score) if c == at else batch.column(c) for c in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(cols, ["score" if c == "text" else c for c in docs_columns])
+            x, n = features_of(evidence, batch.column(at))
+            p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30)))
+            score = pa.array(np.where(n > 0, p, prior))
+            cols = [score if c == at else batch.column(c) for c in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(cols, ["score" if c == "text" else c for c in names])
 
-    docs_columns = docs.columns
     return docs.mapInArrow(run, schema)
 
 
+def measured(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (text, toxic) to (a, b, c, d, toxic, n): the features, and the words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(shared.value)
+        for batch in batches:
+            x, n = features_of(evidence, batch.column(0))
+            cols = [*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "c", "d", "toxic", "n"])
+
+    return docs.select("text", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int, n long")
+
+
+def learn(labelled: DataFrame, store: Store) -> tuple[Model, np.ndarray]:
+    """labelled (text, fold, toxic), with both classes: the model of all documents, and the weights of the calibration."""
+    every, sample = count_grams(labelled, store)
+    model = model_of(every)
+    total = every.select("k", "gram", F.col("toxic").alias("total_toxic"), F.col("ordinary").alias("total_ordinary"))
+    own = sample.join(total, ["k", "gram"])
+    counts = (F.col("toxic") == F.col("total_toxic")) & (F.col("ordinary") == F.col("total_ordinary"))
+    own = store.save(own.where((F.col("k") == ORDER) | counts), "own")  # the sample's n-grams: a bounded number of documents
+    rows = []
+    for f in range(FOLDS):
+        fold = without(model, own.where(F.col("fold") == f).drop("fold").toArrow().to_pandas())
+        rows.append(measured(labelled.where(F.col("fold") == f), fold).where("n > 0").toArrow().to_pandas())
+    store.drop("vocabulary", "grams", "every", "own")
+    rows = pd.concat(rows)
+    return model, fit(rows[["a", "b", "c", "d"]].to_numpy(), rows["toxic"].to_numpy(float))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, score. labels: (doc_id, toxic); learn_from: which ids' labels may be learned from."""
-    spark, store = docs.sparkSession, Store(docs.sparkSession, "toxicity")
+    store = Store(docs.sparkSession, "toxicity")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    known = store.save(known.where(learn_from).withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("calibrate")), 11) / F.lit(float(1 << 53))), "known")
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn_from)
+    known = store.save(known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")), "known")
     of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(of) < 2:
         return own.select("doc_id", F.lit(0.0).alias("score"))
-    part = min(0.2, sample / sum(of.values()))
-    labelled = own.join(small_side(known, store, "known"), "doc_id")
-    counted = vocabulary_of(labelled.where(F.col("u") >= part), store, "counted")
-    model = model_of(counted, store)
-    shared = spark.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, n = features_of(shared.value, batch.column(0))
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)], ["a", "b", "c", "d", "toxic", "n"])
-
-    rows = labelled.where(F.col("u") < part).select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic boolean, n long").where("n > 0").toPandas()
-    rest = vocabulary_of(labelled.where(F.col("u") < part), store, "rest")
-    model = model_of(counted.unionByName(rest), store)  # of all labelled rows; words of both are summed as n-grams
-    store.drop("known", "counted", "rest")
-    y = rows["toxic"].to_numpy(float)
-    weights = fit(rows[["a", "b", "c", "d"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
-    return scored(own, model, weights, of[True] / sum(of.values()))
+    share = sample / sum(of.values())
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("calibrate")), 11) / F.lit(float(1 << 53)) < F.lit(share)
+    fold = F.when(drawn, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))).otherwise(-1).cast("int")
+    labelled = own.join(small_side(known, store, "known"), "doc_id").select("text", fold.alias("fold"), "toxic")
+    model, weights = learn(labelled, store)
+    store.drop("known")
+    return scored(own, model, weights, of[1] / sum(of.values()))
