@@ -26,7 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.store import Store, small_side
 
 ORDER, DISCOUNT, SHARED = 7, 0.75, 40.0
-WINDOW, SAMPLE, FOLDS = 8, 20_000, 4
+WINDOW, SAMPLE, FOLDS = 8, 10_000, 4
 #: Words a task holds before it gives its sums; bytes of text measured at once; words whose evidence a worker remembers.
 HELD_WORDS, CHUNK, REMEMBERED = 200_000, 2_000_000, 300_000
 START, END = "\x01", "\x02"
@@ -87,60 +87,29 @@ def spelled(every: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.where(at >= ORDER - 1, index, -1)
 
 
-def gram_hash(points: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` characters that end at each place."""
-    h = np.full(len(points), length, np.uint64)
-    for k in range(length - 1, -1, -1):
-        h = (h ^ np.roll(points, k)) * MIX
+def gram_hash(points: list[np.ndarray]) -> np.ndarray:
+    """Hash of strings; points: their first characters, their second ones, and so on."""
+    if not points:
+        return np.zeros(1, np.uint64)
+    h = np.full(len(points[0]), len(points), np.uint64)
+    for x in points:
+        h = (h ^ x) * MIX
         h ^= h >> np.uint64(31)
     return h
 
 
-GRAMS = "k int, gram long, context long, suffix long, middle long, fold int, toxic long, ordinary long"
-
-
-def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, fold, toxic, ordinary) to the n-grams of each order, with the hashes of the n-gram without its last
-    character (context), its first one (suffix) and both (middle)."""
-    names = [x.split()[0] for x in GRAMS.split(", ")]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        fold = batch.column(1).to_numpy()
-        for f in np.unique(fold).tolist():
-            own = batch.filter(pa.array(fold == f))
-            points, index = spelled(own.column(0).to_pylist())
-            here = index >= 0
-            counts = [own.column(c).to_numpy()[index[here]] for c in (2, 3)]
-            hashes = [gram_hash(points, k) for k in range(ORDER + 1)]
-            before = [np.roll(h, 1) for h in hashes]
-            for k in range(1, ORDER + 1):
-                gram, where, back = np.unique(hashes[k][here], return_index=True, return_inverse=True)
-                parts = (before[k - 1], hashes[k - 1], before[max(k - 2, 0)])
-                keys = [gram, *[h[here][where] for h in parts]]
-                sums = [np.bincount(back, c, len(gram)).astype(np.int64) for c in counts]
-                ints = [np.full(len(gram), x, np.int32) for x in (k, f)]
-                cols = [ints[0], *[x.view(np.int64) for x in keys], ints[1], *sums]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
-
-
 class Strings:
-    """Columns of numbers by the hash of a string, 0 for strings that aren't there.
-
-    Keys are in order and their leading bits tell a bucket of about one key, so a string is found in a step or two.
-    """
+    """Where strings stand in a table, by their hashes. The keys are in order and their leading bits tell a bucket of
+    about one key, so a string is found in a step or two."""
 
-    def __init__(self, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
-        keys = keys.view(np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.columns = {c: np.append(x[order], 0).astype(np.float32) for c, x in columns.items()}
-        self.bits = max(1, int(len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(1, len(keys).bit_length())
         marks = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.starts = np.append(np.searchsorted(self.keys, marks), len(keys)).astype(np.uint32)
+        self.starts = np.append(np.searchsorted(keys, marks), len(keys)).astype(np.uint32)
 
     def places(self, h: np.ndarray) -> np.ndarray:
-        """Where each hash stands, or the place of the 0."""
+        """Where each hash stands, or the number of keys."""
         out = np.full(len(h), len(self.keys), np.uint32)
         bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         at, end = self.starts[bucket], self.starts[bucket + 1]
@@ -153,24 +122,60 @@ class Strings:
             left = left[at[left] < end[left]]
         return out
 
-    def less(self, keys: np.ndarray, amounts: dict[str, np.ndarray]) -> Strings:
-        """The same with amounts taken off; keys may repeat."""
-        out = object.__new__(Strings)
-        out.keys, out.bits, out.starts, out.columns = self.keys, self.bits, self.starts, dict(self.columns)
-        at = self.places(keys.view(np.uint64))
-        for c, x in amounts.items():
-            out.columns[c] = self.columns[c].copy()
-            np.subtract.at(out.columns[c], at, x.astype(np.float32))
-            out.columns[c][-1] = 0
-        return out
+
+class Grams:
+    """The distinct n-grams of ORDER characters, and in each the shorter ones: the last k characters of an n-gram are
+    one of order k, and the k before the last one its context. So all counts follow from those of the longest."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        """points: a row of ORDER code points per n-gram."""
+        columns = list(points.astype(np.uint64).T)
+        m = len(points)
+        self.last, self.context, self.of, self.first = [], [], [], []
+        for k in range(ORDER + 1):
+            own = np.broadcast_to(gram_hash(columns[ORDER - k :] if k else []), m)
+            before = np.broadcast_to(gram_hash(columns[ORDER - 1 - k : ORDER - 1] if k else []), m) if k < ORDER else own
+            keys, place = np.unique(np.concatenate([own, before]), return_inverse=True)
+            self.of.append(Strings(keys))
+            self.last.append(place[:m].astype(np.uint32))
+            self.context.append(place[m:].astype(np.uint32))
+            self.first.append(np.unique(self.last[k], return_index=True))
+
+    def model(self, n0: np.ndarray, n1: np.ndarray) -> Model:
+        """n0, n1: the counts of each n-gram by class; those with neither are left out of all counts."""
+        alive = n0 + n1 > 0
+
+        def count(at: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
+            return np.append(np.bincount(at, weights, len(self.of[k].keys)), 0).astype(np.float32)
+
+        def distinct(k: int) -> np.ndarray:
+            """An n-gram of the longest for each one of order k that is alive."""
+            keys, where = self.first[k]
+            return where[np.bincount(self.last[k][alive], minlength=len(self.of[k].keys))[keys] > 0]
+
+        columns: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
+        for k in range(1, ORDER):
+            longer, own = distinct(k + 1), distinct(k)
+            columns[k]["n"] = count(self.last[k][longer], k)
+            columns[k - 1]["total"] = count(self.context[k - 1][longer], k - 1)
+            columns[k - 1]["types"] = count(self.context[k - 1][own], k - 1)
+        context = self.context[ORDER - 1]
+        columns[ORDER - 1]["types"] = count(context[alive], ORDER - 1)
+        for c, n in (("0", n0), ("1", n1)):
+            columns[ORDER]["n" + c] = count(self.last[ORDER], ORDER, n)
+            columns[ORDER - 1]["n" + c] = count(context, ORDER - 1, n)
+            columns[ORDER - 1]["t" + c] = count(context[n > 0], ORDER - 1)
+        return Model(self.of, columns, len(distinct(1)))
 
 
 @dataclass
 class Model:
-    """of[k]: the strings of k characters. Columns: below ORDER n (continuation count) and, as contexts, total and types
-    (for ORDER - 1: n0, n1, t0, t1 by class, and types); of ORDER: n0 and n1. Class 0 is the toxic one."""
+    """columns[k]: of the strings of k characters. Below ORDER n (continuation count) and, as contexts, total and types
+    (for ORDER - 1: n0, n1, t0, t1 by class, and types); of ORDER: n0 and n1. Class 0 is the toxic one. The last entry
+    of a column is 0, for strings that aren't there."""
 
     of: list[Strings]
+    columns: list[dict[str, np.ndarray]]
     characters: int
 
     def __getstate__(self) -> bytes:
@@ -188,18 +193,17 @@ class Model:
     def _evidence(self, every: list[str]) -> np.ndarray:
         points, index = spelled(every)
         here = index >= 0
+        ending = [np.roll(points, k) for k in range(ORDER)][::-1]
         p = np.full(int(here.sum()), 1 / max(self.characters, 1))
-        before = self.of[0].places(np.roll(gram_hash(points, 0), 1)[here])
+        before = np.zeros(len(p), np.uint32)
         for k in range(1, ORDER):
-            at = self.of[k].places(gram_hash(points, k))
-            context = self.of[k - 1].columns
-            total, types = context["total"][before], context["types"][before]
-            p = backed(self.of[k].columns["n"][at[here]], total, types, p, 0.0)
+            at = self.of[k].places(gram_hash(ending[ORDER - k :]))
+            context = self.columns[k - 1]
+            p = backed(self.columns[k]["n"][at[here]], context["total"][before], context["types"][before], p, 0.0)
             before = np.roll(at, 1)[here]
-        top, context = self.of[ORDER].columns, self.of[ORDER - 1].columns
-        at = self.of[ORDER].places(gram_hash(points, ORDER)[here])
-        n = [top[c][at] for c in ("n0", "n1")]
-        total = [context[c][before] for c in ("n0", "n1")]
+        top, context = self.columns[ORDER], self.columns[ORDER - 1]
+        at = self.of[ORDER].places(gram_hash([x[here] for x in ending]))
+        n, total = [top[c][at] for c in ("n0", "n1")], [context[c][before] for c in ("n0", "n1")]
         shared = backed(n[0] + n[1], total[0] + total[1], context["types"][before], p, 0.0)
         logs = [np.log(backed(n[c], total[c], context[f"t{c}"][before], shared, SHARED)) for c in (0, 1)]
         return np.bincount(index[here], logs[0] - logs[1], len(every))
@@ -270,72 +274,27 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> n
     return w
 
 
-KEYS = ("k", "gram", "context", "suffix", "middle")
+def count_grams(labelled: DataFrame) -> DataFrame:
+    """labelled (text, fold, toxic as 0 or 1; fold -1: not in the sample) to (gram, fold, toxic, ordinary): the n-grams
+    of ORDER characters, with one shuffle of each task's distinct ones."""
+    found = labelled.select("text", "fold", "toxic").mapInArrow(word_counts, "word string, fold int, toxic long, ordinary long")
+    padded = F.concat(F.lit(START * (ORDER - 1)), "word", F.lit(END))
+    each = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
+    grams = found.select(F.explode(each).alias("gram"), "fold", "toxic", "ordinary").groupBy("gram", "fold")
+    return grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def count_grams(labelled: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """labelled (text, fold, toxic as 0 or 1; fold -1: not in the sample) to the n-grams of all documents (KEYS, toxic,
-    ordinary), and those of the sample's parts (KEYS, fold, toxic, ordinary), both saved."""
-    sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
-    found = labelled.select("text", "fold", "toxic").mapInArrow(word_counts, "word string, fold int, toxic long, ordinary long")
-    vocabulary = store.save(found.groupBy("word", "fold").agg(*sums), "vocabulary")
-    grams = store.save(vocabulary.mapInArrow(gram_counts, GRAMS).groupBy(*KEYS, "fold").agg(*sums), "grams")
-    every = store.save(grams.groupBy(*KEYS).agg(*sums), "every")
-    return every, grams.where("fold >= 0")
-
-
-def model_of(every: DataFrame) -> Model:
-    """Gathers the tables of the model on the driver: a row per distinct n-gram at most in each."""
-    one = F.count(F.lit(1))
-    shorter = lambda by, c: ((F.col("k") - by).alias("length"), F.col(c).alias("key"))
-    some = [F.count_if(F.col(c) > 0).alias(f"t{i}") for i, c in enumerate(("toxic", "ordinary"))]
-    sums = [F.sum("toxic").alias("n0"), F.sum("ordinary").alias("n1")]
-    tables = {
-        ("n",): every.where("k > 1").groupBy(*shorter(1, "suffix")).agg(one.alias("n")),
-        ("total",): every.where("k > 1").groupBy(*shorter(2, "middle")).agg(one.alias("total")),
-        ("types",): every.where(F.col("k") < ORDER).groupBy(*shorter(1, "context")).agg(one.alias("types")),
-        ("types", "n0", "n1", "t0", "t1"): every.where(F.col("k") == ORDER).groupBy(*shorter(1, "context")).agg(one.alias("types"), *sums, *some),
-        ("n0", "n1"): every.where(F.col("k") == ORDER).select(*shorter(0, "gram"), F.col("toxic").alias("n0"), F.col("ordinary").alias("n1")),
-    }
-    rows = {columns: df.toArrow().to_pandas() for columns, df in tables.items()}
-    of = []
-    for k in range(ORDER + 1):
-        parts = {columns: own[own["length"] == k] for columns, own in rows.items()}
-        keys = np.unique(np.concatenate([own["key"].to_numpy(np.int64) for own in parts.values()]))
-        out = {}
-        for columns, own in parts.items():
-            at = np.searchsorted(keys, own["key"].to_numpy(np.int64))
-            for c in columns if len(own) else ():
-                out[c] = np.zeros(len(keys))
-                out[c][at] = own[c]
-        of.append(Strings(keys, out))
-    return Model(of, len(of[1].keys))
-
-
-def without(model: Model, own: pd.DataFrame) -> Model:
-    """The model without the documents of a part; own: the part's n-grams, with total_toxic and total_ordinary of all documents."""
-    of = list(model.of)
-    toxic, ordinary = own["toxic"], own["ordinary"]
-    lost = (toxic == own["total_toxic"]) & (ordinary == own["total_ordinary"])
-    one = lambda rows: np.ones(len(rows))
-    for k in range(1, ORDER):
-        gone = own[lost & (own["k"] == k)]
-        of[k - 1] = of[k - 1].less(gone["context"].to_numpy(), {"types": one(gone)})
-        longer = own[lost & (own["k"] == k + 1)]
-        of[k] = of[k].less(longer["suffix"].to_numpy(), {"n": one(longer)})
-        of[k - 1] = of[k - 1].less(longer["middle"].to_numpy(), {"total": one(longer)})
-    top = own["k"] == ORDER
-    rows = own[top]
-    of[ORDER] = of[ORDER].less(rows["gram"].to_numpy(), {"n0": rows["toxic"].to_numpy(), "n1": rows["ordinary"].to_numpy()})
-    amounts = {
-        "n0": rows["toxic"].to_numpy(),
-        "n1": rows["ordinary"].to_numpy(),
-        "types": lost[top].to_numpy(),
-        "t0": ((rows["toxic"] > 0) & (rows["toxic"] == rows["total_toxic"])).to_numpy(),
-        "t1": ((rows["ordinary"] > 0) & (rows["ordinary"] == rows["total_ordinary"])).to_numpy(),
-    }
-    of[ORDER - 1] = of[ORDER - 1].less(rows["context"].to_numpy(), amounts)
-    return replace(model, of=of)
+def gathered(counted: DataFrame) -> tuple[Grams, np.ndarray]:
+    """The n-grams of (gram, fold, toxic, ordinary) on the driver, and their counts by fold (the last: of none) and class."""
+    rows = counted.toArrow()
+    grams = rows["gram"].combine_chunks().dictionary_encode()
+    text = "".join(grams.dictionary.to_pylist()).encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(text, np.uint32).reshape(-1, ORDER)
+    counts = np.zeros((FOLDS + 1, 2, len(points)), np.float32)
+    fold, at = rows["fold"].to_numpy(), grams.indices.to_numpy()  # fold -1 is the last
+    for c, name in enumerate(("toxic", "ordinary")):
+        np.add.at(counts, (fold, c, at), rows[name].to_numpy())
+    return Grams(points), counts
 
 
 def scored(docs: DataFrame, model: Model, weights: np.ndarray, prior: float) -> DataFrame:
@@ -373,19 +332,14 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(labelled: DataFrame, store: Store) -> tuple[Model, np.ndarray]:
     """labelled (text, fold, toxic), with both classes: the model of all documents, and the weights of the calibration."""
-    every, sample = count_grams(labelled, store)
-    model = model_of(every)
-    total = every.select("k", "gram", F.col("toxic").alias("total_toxic"), F.col("ordinary").alias("total_ordinary"))
-    own = sample.join(total, ["k", "gram"])
-    counts = (F.col("toxic") == F.col("total_toxic")) & (F.col("ordinary") == F.col("total_ordinary"))
-    own = store.save(own.where((F.col("k") == ORDER) | counts), "own")  # the sample's n-grams: a bounded number of documents
-    rows = []
+    grams, counts = gathered(store.save(count_grams(labelled), "grams"))
+    store.drop("grams")
+    total, rows = counts.sum(axis=0), []
     for f in range(FOLDS):
-        fold = without(model, own.where(F.col("fold") == f).drop("fold").toArrow().to_pandas())
-        rows.append(measured(labelled.where(F.col("fold") == f), fold).where("n > 0").toArrow().to_pandas())
-    store.drop("vocabulary", "grams", "every", "own")
+        part = measured(labelled.where(F.col("fold") == f), grams.model(*(total - counts[f])))
+        rows.append(part.where("n > 0").toArrow().to_pandas())
     rows = pd.concat(rows)
-    return model, fit(rows[["a", "b", "c", "d"]].to_numpy(), rows["toxic"].to_numpy(float))
+    return grams.model(*total), fit(rows[["a", "b", "c", "d"]].to_numpy(), rows["toxic"].to_numpy(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
