@@ -1,14 +1,18 @@
 """Benchmark decontamination by a positional inverted index, with DataFrame functions only.
 
 The index has a posting (term, document key, position) for every place in the corpus of the terms that the test items
-are searched by: the two rarest of each window. Lists are intersected after taking an item's own position off a
-posting's: postings of one alignment of an item with a document meet on (document, item, difference), and a window is
-a candidate where both of its rarest terms meet. Candidates are then compared word by word with the document's text.
-Terms and document keys are 64-bit hashes here; a collision adds a candidate at most, never a match.
+are searched by: the two rarest of each window, and for proximity the three rarest. Within a document, a posting meets
+those of the next WINDOW positions, so two lists are intersected after taking the distance of their terms off the
+positions, and no term's postings meet all of another term's. A window is a candidate where its two rarest terms stand
+at their distance; candidates are then compared with the document's own words, by a SHA-256 of the window. Terms and
+document keys are 64-bit hashes here; a collision adds a candidate at most, never a match.
 
-Proximity matches come from the same postings: of each window's NEAR_TERMS rarest places whose terms the corpus has,
-any two that stand within WINDOW words of each other in a document, in either order. So a window with one word replaced, or one
-inserted, is still matched. They are matches of 64-bit terms, not compared with the text.
+Proximity matches come from the same postings and meetings: of each window's NEAR_TERMS rarest places whose terms the
+corpus has, any two that stand within WINDOW words of each other in a document, in either order. So a window with one
+word replaced, or one inserted, is still matched. They are matches of 64-bit terms, not compared with the text.
+
+The terms that words are looked up in are broadcast, BLOCK_TERMS at a time; with more of them the corpus is read in as
+many passes, and its words are never shuffled. An index may be kept (`index`), and be searched again.
 
 Defined results: null, empty and wordless texts have no words; an item without words has no window; rows that repeat
 id and text share one result; null ids are allowed; with either table empty nothing is hit. Other columns are not
@@ -17,17 +21,19 @@ looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store, small_side
 
 #: What separates words in a text of either case, and once A-Z are lower-cased (fixed by the contract).
-SEPARATOR, UPPER, LOWER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of a window, and the rarest terms of each that are looked up.
-WINDOW, RAREST = 13, 2
-#: The rarest places of a window whose pairs are looked up for proximity; one word changed leaves a pair of three.
-NEAR_TERMS = 3
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a window; the rarest places of a window whose pairs are looked up for proximity (one word changed leaves a
+#: pair of three); terms in one broadcast (some 40 bytes each).
+WINDOW, NEAR_TERMS, BLOCK_TERMS = 13, 3, 1_000_000
 
 
 def words(text: F.Column) -> F.Column:
@@ -37,7 +43,8 @@ def words(text: F.Column) -> F.Column:
 
 def count_words(pieces: F.Column) -> F.Column:
     n = F.size(pieces)
-    return (n - (F.element_at(pieces, 1) == "").cast("int") - ((n > 1) & (F.element_at(pieces, -1) == "")).cast("int")).cast("long")
+    edges = (F.element_at(pieces, 1) == "").cast("int") + ((n > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    return (n - edges).cast("long")
 
 
 def term(word: F.Column) -> F.Column:
@@ -45,120 +52,173 @@ def term(word: F.Column) -> F.Column:
     return F.xxhash64(F.lower(word))
 
 
-def item_words(items: DataFrame, store: Store) -> DataFrame:
-    """(item_id, pieces): each test item's words, lower-cased; distinct, without items that have none."""
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, item, pieces): each test item's words, lower-cased; distinct, without items that have none."""
     pieces = F.filter(words(F.translate("text", UPPER, LOWER)), lambda w: w != "")
-    return store.save(items.select("item_id", pieces.alias("pieces")).where(F.size("pieces") > 0).distinct().withColumn("item", F.xxhash64("item_id", "pieces")), "items")
+    some = items.select("item_id", pieces.alias("pieces")).where(F.size("pieces") > 0).distinct()
+    return some.withColumn("item", F.xxhash64("item_id", "pieces"))
+
 
+def looked_up(found: DataFrame, terms: DataFrame, block: int) -> DataFrame:
+    """The rows of found whose term is among terms (a saved table), by a broadcast join for each block of terms."""
+    blocks = max(1, -(-terms.count() // block))
+    part = F.pmod(F.hash("term"), F.lit(blocks))
+    own = [terms if blocks == 1 else terms.where(part == k) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [found.join(F.broadcast(x), "term", "left_semi") for x in own])
 
-def corpus_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+
+def corpus_counts(docs: DataFrame, terms: DataFrame, block: int = BLOCK_TERMS) -> DataFrame:
     """How often each of the terms occurs in the corpus; one row per term and task is shuffled."""
-    return docs.select(F.explode(words(F.col("text"))).alias("w")).select(term(F.col("w")).alias("term")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select(F.explode(words(F.col("text"))).alias("w")).select(term(F.col("w")).alias("term"))
+    return looked_up(found, terms, block).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
 
+def windows_of(items: DataFrame, counts: DataFrame, window: int, near_terms: int) -> DataFrame:
+    """(item_id, digest, len, a, at_a, b, delta, near): each item's windows whose terms the corpus has.
 
-def with_rarest(items: DataFrame, counts: DataFrame, window: int, rarest: int) -> DataFrame:
-    """(item, windows): for each window its start, length and the places of its rarest terms; windows with a term the corpus lacks are gone."""
-    placed = items.select("item", F.posexplode("pieces").alias("at", "w")).select("item", "at", term(F.col("w")).alias("term")).join(counts, "term", "left")
-    x = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("t"))
+    b, the term of one of the two rarest places, stands delta words behind a, the other's, which is the at_a-th of the
+    window; a one-word window has the same for both. near: the terms of the near_terms rarest places that occur.
+    """
+    placed = items.select("item", F.posexplode("pieces").alias("at", "w")).select("item", "at", term(F.col("w")).alias("term"))
+    own = F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term")
+    x = placed.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(own)).alias("t")).join(items, "item")
     wins = F.expr(f"""
         transform(sequence(0, greatest(size(t) - {window}, 0)), s -> struct(
             s AS start, least(size(t), {window}) AS len,
-            transform(slice(array_sort(transform(slice(t, s + 1, {window}), e -> struct(e.n AS n, e.at AS at, e.term AS term))), 1, {rarest}), e -> struct(e.n AS n, e.at AS at, e.term AS term)) AS rare))""")
-    return x.select("item", F.filter(wins, lambda w: w["rare"][0]["n"] > 0).alias("windows")).where(F.size("windows") > 0)
+            unhex(sha2(concat_ws(' ', slice(pieces, s + 1, {window})), 256)) AS digest,
+            array_sort(transform(slice(t, s + 1, {window}), e -> struct(e.n AS n, e.at AS at, e.term AS term))) AS by_n))""")
+    x = x.select("item_id", F.explode(wins).alias("w")).select("item_id", "w.*")
+    first, second = F.col("by_n")[0], F.coalesce(F.get("by_n", F.lit(1)), F.col("by_n")[0])
+    pair = F.array_sort(F.array(*[F.struct(r["at"].alias("at"), r["term"].alias("term")) for r in (first, second)]))
+    x = x.select("item_id", "digest", "len", "start", pair.alias("pair"), first["n"].alias("least"), F.slice(F.filter("by_n", lambda r: r["n"] > 0), 1, near_terms)["term"].alias("near"))
+    a, b = F.col("pair")[0], F.col("pair")[1]
+    return x.select("item_id", "digest", "len", "least", "near", a["term"].alias("a"), (a["at"] - F.col("start")).alias("at_a"), b["term"].alias("b"), (b["at"] - a["at"]).alias("delta"))
 
 
-def near_pairs(items: DataFrame, counts: DataFrame, window: int, rarest: int = NEAR_TERMS) -> DataFrame:
-    """(item, term, term2): the pairs among each window's rarest places, of those whose terms the corpus has."""
-    placed = items.select("item", F.posexplode("pieces").alias("at", "w")).select("item", "at", term(F.col("w")).alias("term")).join(counts, "term", "left")
-    x = placed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("t"))
-    wins = F.expr(f"""
-        transform(sequence(0, greatest(size(t) - {window}, 0)), s ->
-            slice(array_sort(transform(filter(slice(t, s + 1, {window}), e -> e.n > 0), e -> struct(e.n AS n, e.at AS at, e.term AS term))), 1, {rarest}))""")
-    rare = x.select("item", F.explode(F.array_distinct(wins)).alias("rare"))
-    two = rare.select("item", "rare", F.explode("rare").alias("a")).select("item", "a", F.explode("rare").alias("b")).where("a.at < b.at")
-    return two.select("item", F.least("a.term", "b.term").alias("term"), F.greatest("a.term", "b.term").alias("term2")).distinct()
+def near_pairs(wins: DataFrame) -> DataFrame:
+    """(term, term2, item_id): the pairs among each window's rarest places, the lesser term first."""
+    rare = wins.select("item_id", "near").distinct().select("item_id", F.posexplode("near").alias("i", "x"), "near")
+    two = rare.select("item_id", "i", "x", F.posexplode("near").alias("j", "y")).where("i < j")
+    return two.select(F.least("x", "y").alias("term"), F.greatest("x", "y").alias("term2"), "item_id").distinct()
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, terms: DataFrame, block: int = BLOCK_TERMS) -> DataFrame:
     """The postings (term, dkey, pos) of the terms; docs has (dkey, text). pos counts from the first piece of the text."""
-    return docs.select("dkey", F.posexplode(words(F.col("text"))).alias("pos", "w")).select("dkey", "pos", term(F.col("w")).alias("term")).join(terms, "term").select("term", "dkey", "pos")
+    found = docs.select("dkey", F.posexplode(words(F.col("text"))).alias("pos", "w"))
+    return looked_up(found.select("dkey", "pos", term(F.col("w")).alias("term")), terms, block).select("term", "dkey", "pos")
 
 
-def alignments(postings: DataFrame, places: DataFrame) -> DataFrame:
-    """(dkey, item, shift, places): an item's places whose terms stand at place + shift in the document."""
-    met = postings.join(places, "term").select("dkey", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
-    return met.groupBy("dkey", "item", "shift").agg(F.collect_set("at").alias("places"))
+def meetings(postings: DataFrame, within: int) -> DataFrame:
+    """(dkey, term, pos, term2, pos2): each posting with those of its document up to `within` positions further on."""
+    ahead = Window.partitionBy("dkey").orderBy("pos").rangeBetween(1, within)
+    once = postings.dropDuplicates(["dkey", "pos"])  # rows that repeat id and text share postings
+    x = once.withColumn("next", F.collect_list(F.struct(F.col("term").alias("term2"), F.col("pos").alias("pos2"))).over(ahead))
+    return x.select("dkey", "term", "pos", F.explode("next").alias("m")).select("dkey", "term", "pos", "m.*")
 
 
-def proximity_matches(postings: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
-    """Where two terms of an item stand within so many words of each other, in either order: (dkey, item, pos, pos2).
-
-    pairs has (item, term, term2). Positions are dealt into stretches of `within` words, so the join is on equal keys.
-    """
-    stretch = F.floor(F.col("pos") / F.lit(within))
-    a = postings.join(pairs, "term").select("dkey", "item", "term2", "pos", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch"))
-    b = postings.select("dkey", F.col("term").alias("term2"), F.col("pos").alias("pos2"), stretch.alias("stretch"))
-    near = F.abs(F.col("pos") - F.col("pos2")).between(1, within)
-    return a.join(b, ["dkey", "term2", "stretch"]).where(near).select("dkey", "item", "pos", "pos2").distinct()
+def candidates(postings: DataFrame, met: DataFrame, wins: DataFrame) -> DataFrame:
+    """(dkey, start, len, digest): the places where a window's two rarest terms stand at their distance."""
+    apart = F.col("pos2") - F.col("pos") == F.col("delta")
+    x = met.join(wins, (F.col("term") == F.col("a")) & (F.col("term2") == F.col("b")) & apart)
+    alone = postings.join(wins.where("delta = 0"), F.col("term") == F.col("a"))
+    cols = ["dkey", (F.col("pos") - F.col("at_a")).alias("start"), "len", "digest"]
+    return x.select(*cols).unionByName(alone.select(*cols)).where("start >= 0")
 
 
-def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact phrase matches: one row per document: doc_id, n_words, n_hit, n_items, items_sha256, items (ids found)."""
-    return search(docs, benchmark, window, rarest, 0, id_col, text_col)[0]
+def proximity_matches(met: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Where two terms of a pair meet, in either order: (dkey, term, term2, pos, pos2), pos being that of term, the lesser."""
+    flip = F.col("term") > F.col("term2")
+    either = lambda x, y: F.when(flip, F.col(x)).otherwise(F.col(y))
+    x = met.select("dkey", either("term2", "term").alias("term"), either("term", "term2").alias("term2"), either("pos2", "pos").alias("pos"), either("pos", "pos2").alias("pos2"))
+    return x.join(pairs, ["term", "term2"], "left_semi")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, within: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """phrase_hits, and the proximity matches (doc_id, item_id, pos, pos2), distinct, of terms within so many words of each other (0: none are looked for).
+def verified(keyed: DataFrame, maybe: DataFrame) -> DataFrame:
+    """(dkey, n_hit, digests): the words hit and the windows found, of the documents whose own words confirm a candidate.
 
-    pos and pos2 count from the text's first piece, pos being of the lesser term.
+    maybe: (dkey, maybe) with a document's distinct candidates, which are no more than its places and the windows whose
+    two rarest terms stand there.
+    """
+    own = F.explode(F.array(words(F.translate("text", UPPER, LOWER)))).alias("own")  # once a document, not once a candidate
+    texts = keyed.join(maybe, "dkey").select("dkey", "maybe", own).dropDuplicates(["dkey"])
+    sure = F.expr("filter(maybe, c -> unhex(sha2(concat_ws(' ', slice(own, c.start + 1, c.len)), 256)) = c.digest)")
+    covered = F.expr("""
+        aggregate(array_sort(transform(sure, c -> struct(CAST(c.start AS bigint) AS start, c.len AS len))),
+            struct(CAST(0 AS bigint) AS n, CAST(0 AS bigint) AS to),
+            (a, s) -> struct(a.n + greatest(CAST(0 AS bigint), s.start + s.len - greatest(a.to, s.start)) AS n,
+                             greatest(a.to, s.start + s.len) AS to)).n""")
+    x = texts.select("dkey", F.explode(F.array(sure)).alias("sure")).where(F.size("sure") > 0)
+    return x.select("dkey", covered.alias("n_hit"), F.array_distinct(F.transform("sure", lambda c: c["digest"])).alias("digests"))
+
+
+def search(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    within: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_terms: int = BLOCK_TERMS,
+    index: str | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Exact phrase matches, a row per document: doc_id, n_words, n_hit, n_items, items_sha256, items, dkey; and, unless
+    `within` is 0, the proximity matches (doc_id, dkey, item_id, pos, pos2) of terms within so many words of each other.
+
+    pos and pos2 count from the text's first piece, pos being of the lesser term. index: a folder that keeps the postings.
     """
     store = Store(docs.sparkSession, "decontaminate")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("dkey", F.xxhash64("doc_id", "text"))
-    items = item_words(benchmark, store)
+    items = store.save(item_words(benchmark), "items")
     vocabulary = store.save(items.select(F.explode("pieces").alias("w")).select(term(F.col("w")).alias("term")).distinct(), "vocabulary")
-    counts = store.save(corpus_counts(docs, small_side(vocabulary, store, "vocabulary")), "counts")
-    rare = store.save(with_rarest(items, counts, window, rarest), "rare")
-    places = store.save(rare.select("item", F.explode("windows").alias("w")).select("item", F.explode("w.rare").alias("r")).select("item", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct(), "places")
-    pairs = store.save(near_pairs(items, counts, window), "pairs") if within else None
-    wanted = places.select("term").union(pairs.select("term")).union(pairs.select("term2")) if within else places.select("term")
-    terms = store.save(wanted.distinct(), "terms")
-    postings = store.save(build_index(keyed, small_side(terms, store, "terms")), "postings")
-    near = None
+    counts = store.save(corpus_counts(docs, vocabulary, block_terms), "counts")
+    wins = store.save(windows_of(items, small_side(counts, store, "counts"), window, NEAR_TERMS), "windows")
+    exact = store.save(wins.where("least > 0").select("digest", "len", "a", "at_a", "b", "delta").distinct(), "exact")
+    terms = exact.select(F.col("a").alias("term")).union(exact.select("b"))
     if within:
-        met = proximity_matches(postings, small_side(pairs, store, "pairs"), within)
-        own = met.join(items.select("item", "item_id"), "item").join(keyed.select("doc_id", "dkey"), "dkey")
-        near = store.save(own.select("doc_id", "item_id", "pos", "pos2").distinct(), "near")
-    met = alignments(postings, small_side(places, store, "places"))
-    starts = F.expr("transform(filter(windows, w -> forall(w.rare, r -> array_contains(places, r.at))), w -> struct(w.start AS start, w.len AS len))")
-    both = met.join(small_side(rare, store, "rare"), "item").select("dkey", "item", "shift", starts.alias("starts")).where(F.size("starts") > 0)
-    maybe = store.save(both.join(small_side(items, store, "items"), "item").groupBy("dkey").agg(F.collect_list(F.struct("item_id", "shift", "pieces", "starts")).alias("maybe")), "maybe")
-    texts = keyed.join(small_side(maybe, store, "maybe"), "dkey").select("doc_id", "dkey", words(F.translate("text", UPPER, LOWER)).alias("own"), "maybe")
-    sure = F.expr("""
-        filter(transform(maybe, m -> struct(CAST(m.item_id AS string) AS item, transform(
-            filter(m.starts, s -> m.shift + s.start >= 0 AND slice(own, m.shift + s.start + 1, s.len) = slice(m.pieces, s.start + 1, s.len)),
-            s -> struct(m.shift + s.start AS start, s.len AS len)) AS at)), m -> size(m.at) > 0)""")
-    covered = F.expr("""
-        aggregate(array_sort(flatten(transform(sure, m -> m.at))), struct(CAST(0 AS bigint) AS n, CAST(0 AS bigint) AS to),
-            (a, s) -> struct(a.n + greatest(CAST(0 AS bigint), s.start + s.len - greatest(a.to, CAST(s.start AS bigint))) AS n, greatest(a.to, CAST(s.start + s.len AS bigint)) AS to)).n""")
-    hits = texts.select("doc_id", "dkey", sure.alias("sure")).where(F.size("sure") > 0).select("doc_id", "dkey", covered.alias("n_hit"), F.expr("array_sort(array_distinct(transform(sure, m -> m.item)))").alias("items"))
-    hits = store.save(hits.dropDuplicates(["dkey", "doc_id"]).withColumnRenamed("doc_id", "hit_id"), "hits")
-    store.drop("items", "vocabulary", "counts", "rare", "places", "terms", "postings", "maybe", "pairs")
+        pairs = store.save(near_pairs(wins), "pairs")
+        terms = terms.union(pairs.select("term")).union(pairs.select("term2"))
+    terms = store.save(terms.distinct(), "terms")
+    postings = build_index(keyed, terms, block_terms)
+    if index:
+        postings.write.mode("overwrite").parquet(index)
+        postings = docs.sparkSession.read.parquet(index)
+    else:
+        postings = store.save(postings, "postings")
+    met = meetings(postings, max(within, window - 1))
+    met = store.save(met, "met") if within else met
+    maybe = candidates(postings, met, small_side(exact, store, "exact")).groupBy("dkey").agg(F.collect_set(F.struct("start", "len", "digest")).alias("maybe"))
+    maybe = store.save(maybe, "maybe")
+    hits = store.save(verified(keyed, small_side(maybe, store, "maybe")), "hits")
+    of = store.save(wins.select("digest", F.col("item_id").cast("string").alias("item")).distinct(), "of")
+    items_of = hits.select("dkey", F.explode("digests").alias("digest")).join(small_side(of, store, "of"), "digest")
+    found = items_of.groupBy("dkey").agg(F.array_sort(F.collect_set("item")).alias("items")).join(hits.select("dkey", "n_hit"), "dkey")
+    found = store.save(found.withColumnRenamed("dkey", "hit_key"), "found")
     counted = keyed.select("doc_id", "dkey", count_words(words(F.col("text"))).alias("n_words"))
-    x = counted.join(small_side(hits, store, "hits").withColumnRenamed("dkey", "hit_key"), (F.col("dkey") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    found = F.coalesce("items", F.array().cast("array<string>"))
-    return x.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", found), 256).alias("items_sha256"), found.alias("items"), "dkey"), near
+    x = counted.join(small_side(found, store, "found"), F.col("dkey") == F.col("hit_key"), "left")
+    own = F.coalesce("items", F.array().cast("array<string>"))
+    x = x.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), own.alias("items"), "dkey")
+    near = None
+    if within:
+        of_pairs = small_side(pairs, store, "pairs")
+        near = store.save(proximity_matches(met.where(F.col("pos2") - F.col("pos") <= within), of_pairs).join(of_pairs, ["term", "term2"]).select("dkey", "item_id", "pos", "pos2").distinct(), "near")
+    store.drop("items", "vocabulary", "counts", "windows", "exact", "terms", "maybe", "hits", "of", "met", *(() if index else ("postings",)))
+    return x, near
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **columns: str) -> DataFrame:
-    """phrase_hits with contaminated: some word is hit, and at least one in `share` words."""
-    return judged(phrase_hits(docs, benchmark, window, **columns), share)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, within: int = WINDOW, **columns: str) -> tuple[DataFrame, DataFrame]:
-    """What decontaminate gives, and the proximity matches (doc_id, item_id, pos, pos2), from the same postings."""
-    hits, near = search(docs, benchmark, window, within=within, **columns)
-    return judged(hits, share), near
+    """Exact phrase matches, with contaminated: some word is hit, and at least one in `share` words."""
+    return judged(search(docs, benchmark, window, 0, **columns)[0], share)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, within: int = WINDOW, id_col: str = "doc_id", **columns: str) -> tuple[DataFrame, DataFrame]:
+    """What decontaminate gives, with n_near (items whose rare words stand near each other in the document), and the
+    proximity matches (doc_id, item_id, pos, pos2) themselves, all from the same postings."""
+    hits, near = search(docs, benchmark, window, within, id_col, **columns)
+    n_near = near.select("dkey", "item_id").distinct().groupBy("dkey").agg(F.count(F.lit(1)).alias("n_near")).withColumnRenamed("dkey", "near_key")
+    x = judged(hits, share).join(n_near, F.col("dkey") == F.col("near_key"), "left").drop("near_key")
+    owners = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, columns.get("text_col", "text")).alias("dkey")).distinct()
+    return x.withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long")), near.join(owners, "dkey").select("doc_id", "item_id", "pos", "pos2")
 
 
 def judged(hits: DataFrame, share: int) -> DataFrame:

@@ -54,8 +54,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return x.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    x, _ = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return x.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +99,19 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, s, array_to_string(ws[s + 1 : s + n], ' ') AS win FROM w, sizes, range(0, len(ws) - n + 1) t(s) WHERE len(ws) >= n),
 hit AS (SELECT doc_id, item_id, s, n FROM dw JOIN bw USING (n, win)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, s + i AS p FROM hit, range(0, n) t(i)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id),
+-- proximity: pairs of the three rarest places of each window that occur, within 13 words of each other
+terms AS (SELECT doc_id, p, lower(ws[p]) AS t FROM w, range(1, len(ws) + 1) r(p)),
+seen AS (SELECT t, count(*) AS n FROM terms GROUP BY t),
+places AS (SELECT DISTINCT b.item_id, ws, s, i AS place, lower(ws[s + i]) AS t FROM b, range(0, greatest(len(ws) - 13, 0) + 1) x(s), range(1, least(len(ws), 13) + 1) y(i)),
+ranked AS (SELECT item_id, ws, s, t, row_number() OVER (PARTITION BY item_id, ws, s ORDER BY n, place) AS r FROM places JOIN seen USING (t)),
+pairs AS (SELECT DISTINCT a.item_id, least(a.t, z.t) AS t1, greatest(a.t, z.t) AS t2 FROM ranked a JOIN ranked z ON a.item_id = z.item_id AND a.ws = z.ws AND a.s = z.s AND a.r < z.r AND z.r <= 3),
+rare AS (SELECT * FROM terms WHERE t IN (SELECT t1 FROM pairs UNION SELECT t2 FROM pairs)),
+met AS (SELECT DISTINCT a.doc_id, least(a.t, z.t) AS t1, greatest(a.t, z.t) AS t2 FROM (SELECT doc_id, t, p + d AS p FROM rare, range(1, 14) g(d)) a JOIN rare z USING (doc_id, p)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM met JOIN pairs USING (t1, t2) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id"""
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN its ON w.doc_id = its.doc_id LEFT JOIN near ON w.doc_id = near.doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_token_files, op4_license_scan, op5_language, op6_warc, op7_decontaminate, op8_simhash, op9_mixing, op10_exact_dedup)}
 ORACLE: dict[str, str] = {"op4_license_scan": OP4_SQL, "op6_warc": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_exact_dedup": OP10_SQL}

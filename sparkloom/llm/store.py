@@ -7,8 +7,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -64,13 +65,33 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
-#: A saved table is broadcast up to this many stored bytes and rows; beyond, the same join shuffles.
-BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
+#: A saved table is broadcast if its rows take up to this many bytes in memory; beyond, the same join shuffles.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 32
+
+
+def width(col: Column, kind: DataType) -> Column:
+    """Bytes that a value takes in memory, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long") + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            each = F.transform(col, lambda x: width(x, kind.elementType))
+            return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)) + 24
+        return F.greatest(F.size(col), F.lit(0)).cast("long") * 8 + 24
+    if isinstance(kind, StructType):
+        return sum((width(col[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def memory(df: DataFrame) -> int:
+    """Bytes that the rows of df take in memory, about, as a broadcast would hold them."""
+    each = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    return df.agg(F.sum(each)).first()[0] or 0
 
 
 def small_side(df: DataFrame, store: Store, name: str) -> DataFrame:
-    """df, the saved table of that name, with a broadcast hint if its size allows that."""
-    return F.broadcast(df) if store.bytes(name) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
+    """df, the saved table of that name, with a broadcast hint if its size in memory allows that."""
+    return F.broadcast(df) if store.bytes(name) <= BROADCAST_BYTES and memory(df) <= BROADCAST_BYTES else df
 
 
 def parts(rows: int, per_task: int, least: int = 1) -> int:

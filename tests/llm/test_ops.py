@@ -232,20 +232,26 @@ def test_decontamination(spark):
     assert sum(x[2] > 0 for x in want) > 20
 
 
-def test_decontamination_beyond_the_broadcast_limit(spark, monkeypatch):
+def test_decontamination_beyond_the_broadcast_limit(spark, monkeypatch, tmp_path):
     from sparkloom.llm import store
 
-    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
-    items = [(1, " ".join(f"w{i}" for i in range(20)))]
-    df = spark.createDataFrame([(1, "a b " + items[0][1]), (2, "w1 w2 w3"), (3, " ".join(f"w{i}" for i in range(4, 20)))], "doc_id long, text string")
-    got = {x.doc_id: x.n_hit for x in decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {1: 20, 2: 0, 3: 16}
+    monkeypatch.setattr(store, "BROADCAST_BYTES", 0)
+    items = [(1, " ".join(f"w{i}" for i in range(20))), (2, "w1 w2 w3 w1 w2 w3 w1")]
+    own = [(1, "a b " + items[0][1]), (2, "w1 w2 w3"), (3, " ".join(f"w{i}" for i in range(4, 20))), (4, (items[1][1] + " x ") * 10_000), (4, (items[1][1] + " x ") * 10_000)]
+    df, bench = spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((x.doc_id, x.n_hit, x.n_items) for x in decontaminate.decontaminate(df, bench, block_terms=3).collect())
+    assert got == {(1, 20, 1): 1, (2, 0, 0): 1, (3, 16, 1): 1, (4, 70_000, 1): 2}
+    hits, near = decontaminate.search(df, bench, index=str(tmp_path / "index"))
+    assert {(x.doc_id, x.n_hit) for x in hits.collect()} == {(1, 20), (2, 0), (3, 16), (4, 70_000)}
+    assert spark.read.parquet(str(tmp_path / "index")).columns == ["term", "dkey", "pos"]
 
 
-def test_proximity(spark):
+def test_meetings_and_proximity(spark):
     postings = spark.createDataFrame([(1, 7, 0), (2, 7, 3), (2, 7, 9), (1, 8, 5), (2, 8, 1)], "term long, dkey long, pos int")
-    pairs = spark.createDataFrame([(5, 1, 2)], "item long, term long, term2 long")
-    assert sorted(map(tuple, decontaminate.proximity_matches(postings, pairs, 4).collect())) == [(7, 5, 0, 3), (8, 5, 5, 1)]
+    met = decontaminate.meetings(postings, 4)
+    assert sorted(map(tuple, met.collect())) == [(7, 1, 0, 2, 3), (8, 2, 1, 1, 5)]
+    pairs = spark.createDataFrame([(5, 1, 2)], "item_id long, term long, term2 long")
+    assert sorted(map(tuple, decontaminate.proximity_matches(met, pairs).select("dkey", "pos", "pos2").collect())) == [(7, 0, 3), (8, 5, 1)]
 
 
 def test_proximity_matches_of_changed_passages(spark):
@@ -260,7 +266,8 @@ def test_proximity_matches_of_changed_passages(spark):
     rows = near.collect()
     assert {r.item_id for r in rows} == {7} and {r.doc_id for r in rows} == set(texts) - {5, 6}
     assert all(0 < abs(r.pos - r.pos2) <= decontaminate.WINDOW for r in rows) and len(rows) == len(set(rows))
-    assert sorted(map(str, hits.drop("dkey").collect())) == sorted(map(str, decontaminate.decontaminate(docs, benchmark).drop("dkey").collect()))
+    assert {r.doc_id for r in hits.where("n_near > 0").collect()} == set(texts) - {5, 6}
+    assert sorted(map(str, hits.drop("dkey", "n_near").collect())) == sorted(map(str, decontaminate.decontaminate(docs, benchmark).drop("dkey").collect()))
 
 
 # --- licences
