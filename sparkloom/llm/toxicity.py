@@ -129,58 +129,64 @@ class Grams:
 
     def __init__(self, points: np.ndarray) -> None:
         """points: a row of ORDER code points per n-gram."""
-        columns = list(points.astype(np.uint64).T)
-        m = len(points)
-        self.last, self.context, self.of, self.first = [], [], [], []
+        columns = [np.ascontiguousarray(x, np.uint64) for x in points.T]
+        self.last, self.context, self.size, self.first = [], [], [], []
         for k in range(ORDER + 1):
-            own = np.broadcast_to(gram_hash(columns[ORDER - k :] if k else []), m)
-            before = np.broadcast_to(gram_hash(columns[ORDER - 1 - k : ORDER - 1] if k else []), m) if k < ORDER else own
-            keys, place = np.unique(np.concatenate([own, before]), return_inverse=True)
-            self.of.append(Strings(keys))
-            self.last.append(place[:m].astype(np.uint32))
-            self.context.append(place[m:].astype(np.uint32))
-            self.first.append(np.unique(self.last[k], return_index=True))
+            own = np.broadcast_to(gram_hash(columns[ORDER - k :] if k else []), len(points))
+            keys, first, place = np.unique(own, return_index=True, return_inverse=True)
+            self.last.append(place.astype(np.uint32))
+            self.first.append(first)
+            if k < ORDER:
+                before = np.broadcast_to(gram_hash(columns[ORDER - 1 - k : ORDER - 1] if k else []), len(points))
+                contexts, place = np.unique(before, return_inverse=True)
+                self.context.append(place.astype(np.uint32))
+                self.size.append(len(contexts))
+        self.keys, self.contexts = Strings(keys), Strings(contexts)  # of ORDER and ORDER - 1 characters
 
     def model(self, n0: np.ndarray, n1: np.ndarray) -> Model:
         """n0, n1: the counts of each n-gram by class; those with neither are left out of all counts."""
         alive = n0 + n1 > 0
 
-        def count(at: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
-            return np.append(np.bincount(at, weights, len(self.of[k].keys)), 0).astype(np.float32)
-
         def distinct(k: int) -> np.ndarray:
             """An n-gram of the longest for each one of order k that is alive."""
-            keys, where = self.first[k]
-            return where[np.bincount(self.last[k][alive], minlength=len(self.of[k].keys))[keys] > 0]
+            return self.first[k][np.bincount(self.last[k][alive], minlength=len(self.first[k])) > 0]
+
+        def count(k: int, at: np.ndarray | slice, weights: np.ndarray | None = None) -> np.ndarray:
+            """For each n-gram, how many of those `at` have its context of k characters."""
+            own = self.context[k]
+            return np.bincount(own[at], weights, self.size[k])[own]
 
-        columns: list[dict[str, np.ndarray]] = [{} for _ in range(ORDER + 1)]
+        p = np.full(len(n0), 1 / max(len(distinct(1)), 1))
         for k in range(1, ORDER):
             longer, own = distinct(k + 1), distinct(k)
-            columns[k]["n"] = count(self.last[k][longer], k)
-            columns[k - 1]["total"] = count(self.context[k - 1][longer], k - 1)
-            columns[k - 1]["types"] = count(self.context[k - 1][own], k - 1)
-        context = self.context[ORDER - 1]
-        columns[ORDER - 1]["types"] = count(context[alive], ORDER - 1)
-        for c, n in (("0", n0), ("1", n1)):
-            columns[ORDER]["n" + c] = count(self.last[ORDER], ORDER, n)
-            columns[ORDER - 1]["n" + c] = count(context, ORDER - 1, n)
-            columns[ORDER - 1]["t" + c] = count(context[n > 0], ORDER - 1)
-        return Model(self.of, columns, len(distinct(1)))
+            n = np.bincount(self.last[k][longer], minlength=len(self.first[k]))[self.last[k]]
+            p = backed(n, count(k - 1, longer), count(k - 1, own), p, 0.0)
+        every, k = slice(None), ORDER - 1
+        total = [count(k, every, n) for n in (n0, n1)]
+        types = [count(k, n > 0) for n in (n0, n1)]
+        shared = backed(n0 + n1, total[0] + total[1], count(k, alive), p, 0.0)
+        logs = [np.log(backed(n, total[c], types[c], shared, SHARED)) for c, n in enumerate((n0, n1))]
+        rest = [np.log(backed(0.0, total[c], types[c], 1.0, SHARED)) for c in (0, 1)]
+        grams, contexts = np.zeros(len(self.keys.keys) + 1, np.float32), np.zeros(len(self.contexts.keys) + 1, np.float32)
+        contexts[self.context[k]] = rest[0] - rest[1]
+        grams[self.last[ORDER]] = np.where(alive, logs[0] - logs[1], contexts[self.context[k]])
+        return Model(self.keys, grams, self.contexts, contexts)
 
 
 @dataclass
 class Model:
-    """columns[k]: of the strings of k characters. Below ORDER n (continuation count) and, as contexts, total and types
-    (for ORDER - 1: n0, n1, t0, t1 by class, and types); of ORDER: n0 and n1. Class 0 is the toxic one. The last entry
-    of a column is 0, for strings that aren't there."""
+    """What each n-gram of ORDER characters adds to a word's evidence; and, as both classes back an n-gram that neither
+    has off to the same probability, what any other one after a known context adds. Others add nothing."""
 
-    of: list[Strings]
-    columns: list[dict[str, np.ndarray]]
-    characters: int
+    grams: Strings
+    of_gram: np.ndarray
+    contexts: Strings
+    of_context: np.ndarray
 
     def __getstate__(self) -> bytes:
         """What is broadcast is compressed."""
-        return zstandard.compress(pickle.dumps(self.__dict__, protocol=5))
+        own = {k: v for k, v in self.__dict__.items() if k != "remembered"}
+        return zstandard.compress(pickle.dumps(own, protocol=5))
 
     def __setstate__(self, state: bytes) -> None:
         self.__dict__ = pickle.loads(zstandard.decompress(state))
@@ -192,36 +198,33 @@ class Model:
 
     def _evidence(self, every: list[str]) -> np.ndarray:
         points, index = spelled(every)
-        here = index >= 0
-        ending = [np.roll(points, k) for k in range(ORDER)][::-1]
-        p = np.full(int(here.sum()), 1 / max(self.characters, 1))
-        before = np.zeros(len(p), np.uint32)
-        for k in range(1, ORDER):
-            at = self.of[k].places(gram_hash(ending[ORDER - k :]))
-            context = self.columns[k - 1]
-            p = backed(self.columns[k]["n"][at[here]], context["total"][before], context["types"][before], p, 0.0)
-            before = np.roll(at, 1)[here]
-        top, context = self.columns[ORDER], self.columns[ORDER - 1]
-        at = self.of[ORDER].places(gram_hash([x[here] for x in ending]))
-        n, total = [top[c][at] for c in ("n0", "n1")], [context[c][before] for c in ("n0", "n1")]
-        shared = backed(n[0] + n[1], total[0] + total[1], context["types"][before], p, 0.0)
-        logs = [np.log(backed(n[c], total[c], context[f"t{c}"][before], shared, SHARED)) for c in (0, 1)]
-        return np.bincount(index[here], logs[0] - logs[1], len(every))
-
-
-def backed(count: np.ndarray, total: np.ndarray, types: np.ndarray, below: np.ndarray, more: float) -> np.ndarray:
+        here = np.flatnonzero(index >= 0)
+        at = self.grams.places(gram_hash([points[here - k] for k in range(ORDER - 1, -1, -1)]))
+        out = self.of_gram[at]
+        new = np.flatnonzero(at == len(self.grams.keys))
+        out[new] = self.of_context[self.contexts.places(gram_hash([points[here[new] - k] for k in range(ORDER - 1, 0, -1)]))]
+        return np.bincount(index[here], out, len(every))
+
+
+def backed(count: np.ndarray | float, total: np.ndarray, types: np.ndarray, below: np.ndarray | float, more: float) -> np.ndarray:
     """Discounted probabilities, backed off to those below, which count as `more` observations besides."""
-    seen = total > 0
-    own = np.maximum(count - DISCOUNT, 0) + (DISCOUNT * types + more) * below
-    return np.where(seen, own / np.where(seen, total + more, 1), below)
+    own = np.maximum(np.subtract(count, DISCOUNT), 0) + (DISCOUNT * types + more) * below
+    return np.where(total > 0, own / np.where(total > 0, total + more, 1), below)
 
 
 class Evidence:
-    """A worker's evidence of words: each is computed once while it is remembered, in two generations."""
+    """A worker's evidence of words, from task to task: each is computed once while it is remembered, in two generations."""
 
     def __init__(self, model: Model, remembered: int = REMEMBERED) -> None:
         self.model, self.remembered, self.new, self.old = model, remembered, {}, {}
 
+    @classmethod
+    def by(cls, model: Model) -> Evidence:
+        """The one that goes with a model in this process."""
+        if "remembered" not in model.__dict__:
+            model.remembered = cls(model)
+        return model.remembered
+
     def of(self, every: list[str]) -> np.ndarray:
         if len(self.new) > self.remembered:
             self.old, self.new = self.new, {}
@@ -305,7 +308,7 @@ def scored(docs: DataFrame, model: Model, weights: np.ndarray, prior: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights, prior = shared.value
-        evidence = Evidence(model)
+        evidence = Evidence.by(model)
         for batch in batches:
             x, n = features_of(evidence, batch.column(at))
             p = 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ weights, -30, 30)))
@@ -321,7 +324,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(shared.value)
+        evidence = Evidence.by(shared.value)
         for batch in batches:
             x, n = features_of(evidence, batch.column(0))
             cols = [*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)]
