@@ -1,12 +1,14 @@
 """Language ID by bit-sliced Bloom filters over character n-grams.
 
 Each slot of the filter is a bit mask with one bit per language, so the AND of an n-gram's slots gives all languages
-that contain it at once; a mask has as many 64-bit words as the languages need. Over a document's n-grams each language's bits are counted, the count is corrected for the
-share of false positives that the language's filter has, and the largest corrected count decides.
+that contain it at once; a mask has as many 64-bit words as the languages need, and there are SLOTS_A_GRAM slots or more
+for each n-gram of the language that has most. Over a document's n-grams each language's bits are counted, the count is
+corrected for the share of false positives that the language's filter has, and the largest corrected count decides.
 
-Learning takes a bounded sample: about SAMPLE documents of each language, drawn by a hash, whole texts; of their
-n-grams those in at least SEEN of the language's documents, and with at least NEAR times the share of documents that
-the language with most has (mislabelled documents would add other languages' n-grams), the most frequent GRAMS of them. All languages are learned.
+Learning takes a bounded sample: about SAMPLE documents of each language, drawn by a hash, whole texts. A language
+contains an n-gram if the share of its documents with it is at least NEAR times that of the language with most; so
+lines in another language, or wrong labels, in a few documents don't make it a part of theirs. All languages are
+learned, and all n-grams are held.
 
 Defined results: null texts and texts without a letter are "und" with score 0; languages whose counts are equal
 rank by their number of documents; with nothing to learn from all are "und"; repeated rows and null ids
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.store import Store
 
-SAMPLE, GRAMS, SEEN, NEAR, UNKNOWN = 4000, 50_000, 0.002, 0.1, "und"
-ORDERS, SLOTS, HASHES = (3, 4), 1 << 20, 3
+SAMPLE, NEAR, UNKNOWN = 4000, 0.1, "und"
+#: The share of its n-grams that a kept document's language contains at least.
+LEAST = 0.4
+#: Slots of a filter: so many for each n-gram, and at least this many.
+SLOTS_A_GRAM, LEAST_SLOTS = 16, 1 << 16
+ORDERS, HASHES = (3, 4), 3
 #: Characters that are hashed at once, so that the arrays stay in a core's cache.
 CHUNK = 1 << 16
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -62,8 +68,9 @@ def grams(points: np.ndarray, order: int) -> np.ndarray:
     return h[whole]
 
 
-def slots(h: np.ndarray, k: int) -> np.ndarray:
-    return ((h * np.uint64(ODD[k] | 1)) >> np.uint64(64 - 20)).astype(np.int64) & (SLOTS - 1)
+def slots(h: np.ndarray, k: int, n: int) -> np.ndarray:
+    """The k-th slot of each hash, of n slots, a power of two."""
+    return ((h * np.uint64(ODD[k] | 1)) >> np.uint64(65 - n.bit_length())).astype(np.int64)
 
 
 @dataclass
@@ -75,10 +82,11 @@ class Filters:
     @classmethod
     def build(cls, names: list[str], found: list[np.ndarray]) -> Filters:
         """found: the hashes of each language's n-grams."""
-        masks = np.zeros((SLOTS, max(1, -(-len(names) // 64))), np.uint64)
+        n = 1 << (max(LEAST_SLOTS, SLOTS_A_GRAM * max(map(len, found), default=0)) - 1).bit_length()
+        masks = np.zeros((n, max(1, -(-len(names) // 64))), np.uint64)
         for bit, h in enumerate(found):
             for k in range(HASHES):
-                masks[slots(h, k), bit >> 6] |= np.uint64(1 << (bit & 63))
+                masks[slots(h, k, n), bit >> 6] |= np.uint64(1 << (bit & 63))
         fill = np.array([cls.bit(masks, b).mean() for b in range(len(names))])
         return cls(names, masks, fill**HASHES)
 
@@ -88,9 +96,9 @@ class Filters:
 
     def contained(self, h: np.ndarray) -> np.ndarray:
         """The mask of the languages that contain each n-gram."""
-        got = self.masks.take(slots(h, 0), axis=0)
+        got = self.masks.take(slots(h, 0, len(self.masks)), axis=0)
         for k in range(1, HASHES):
-            got &= self.masks.take(slots(h, k), axis=0)
+            got &= self.masks.take(slots(h, k, len(self.masks)), axis=0)
         return got
 
     def judge(self, text: str | None) -> tuple[str, float]:
@@ -129,22 +137,24 @@ def gram_counts(names: list[str]):
     return run
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS, seen: float = SEEN) -> Filters:
+def learn(docs: DataFrame, sample: int = SAMPLE, near: float = NEAR) -> Filters:
     """docs: the (doc_id, text, lang) to learn from."""
-    store = Store(docs.sparkSession, "language")
+    spark, store = docs.sparkSession, Store(docs.sparkSession, "language")
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Filters.build([], [])
     names = [r["lang"] for r in counts]  # in this order where counts are equal
-    each = [(r["lang"], min(1.0, sample / r["count"]), max(2.0 if r["count"] > 50 else 1.0, seen * min(r["count"], sample)), float(min(r["count"], sample))) for r in counts]
-    sizes = F.broadcast(docs.sparkSession.createDataFrame(each, "lang string, share double, floor double, drawn double"))  # a row per language
-    drawn = usable.join(sizes, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53)) < F.col("share"))
-    table = store.save(drawn.select("lang", "text").mapInArrow(gram_counts(names), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    each = [(r["lang"], min(1.0, sample / r["count"]), float(min(r["count"], sample))) for r in counts]
+    sizes = F.broadcast(spark.createDataFrame(each, "lang string, share double, drawn double"))  # a row per language
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53))
+    drawn = usable.join(sizes, "lang").where(u < F.col("share")).select("lang", "text")
+    found = drawn.mapInArrow(gram_counts(names), "lang string, gram long, n long")
+    table = store.save(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     rate = F.col("n") / F.col("drawn")
-    table = table.join(sizes, "lang").withColumn("most", F.max(rate).over(Window.partitionBy("gram"))).where(rate >= NEAR * F.col("most"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = table.where(F.col("n") >= F.col("floor")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "gram").toPandas()
+    most = F.max(rate).over(Window.partitionBy("gram"))  # a row per language at most
+    kept = table.join(sizes, "lang").withColumn("most", most).where(rate >= near * F.col("most"))
+    kept = kept.select("lang", "gram").toArrow().to_pandas()  # the n-grams of a bounded number of documents
     store.drop("grams")
     found = {name: own.to_numpy(np.int64).view(np.uint64) for name, own in kept.groupby("lang")["gram"]}
     return Filters.build(names, [found.get(name, np.zeros(0, np.uint64)) for name in names])
@@ -152,7 +162,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = GRAMS, seen: float
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the share of its n-grams that the language contains), and text_hash."""
-    model = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 languages
+    model = docs.sparkSession.sparkContext.broadcast(filters)  # of a bounded number of documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = model.value.judge
@@ -164,14 +174,21 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return own.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, that are in a learned language, with a score of at least `least`."""
-    model, at, schema = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index(text_col), docs.schema
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, that are in a learned language, which is written over lang_col.
+
+    A text is in none if it has no letter, or if no language contains a share of `least` of its n-grams.
+    """
+    model, schema = docs.sparkSession.sparkContext.broadcast(filters), docs.schema
+    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.value.judge(x.as_py()) for x in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
+            langs = pa.array([lang for lang, _ in got], pa.string()).cast(batch.column(lang_at).type)
+            cols = [langs if k == lang_at else x for k, x in enumerate(batch.columns)]
+            known = pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(known)
 
     return docs.mapInArrow(run, schema)
 

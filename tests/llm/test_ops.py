@@ -410,8 +410,36 @@ def test_language(spark):
     assert [got[i].lang_pred for i in (2000, 2001, 2002)] == ["und"] * 3
     assert got[2004].lang_pred == "aa" and got[None].lang_pred == "aa"
     assert all(0 <= x.score <= 1 for x in got.values())
-    kept = language.keep_known(spark.createDataFrame(held + odd, "doc_id long, text string, lang string"), filters)
-    assert {x.doc_id for x in kept.collect()} == {i for i, *_ in held} | {2003, 2004, None}
+    kept = language.keep_known(spark.createDataFrame(held + odd, "doc_id long, text string, lang string"), filters).collect()
+    assert {x.doc_id for x in kept} == {i for i, *_ in held} | {2004, None}
+    assert all(x.lang == got[x.doc_id].lang_pred for x in kept)
+
+
+def test_predictions_are_those_of_brute_sets(spark):
+    """Sets of strings in place of hashes and filters, and counts of documents in place of a sample."""
+    r = random.Random(11)
+    own = {x: ["".join(r.choice("abcdeéßñ") for _ in range(3)) for _ in range(9)] for x in ("aa", "bb", "cc", "dd")}
+    say = lambda x, n: " ".join(r.choice(own[x]) + r.choice(own[x]) for _ in range(n))
+    rows = [(i, say(x, 15) + (" " + say("dd", 4) if r.random() < 0.05 else ""), x if r.random() > 0.04 else "aa") for i, x in enumerate(["aa", "bb", "cc", "dd", "dd"] * 60)]
+
+    def grams(t):
+        s = re.sub(r"[\W\d_]", " ", f" {t.lower()} ")
+        every = [s[k : k + n] for n in (3, 4) for k in range(len(s) - n + 1)]
+        return [g for g in every if " " not in g[1:-1]]
+
+    docs = Counter(x for _, _, x in rows)
+    seen = Counter((x, g) for _, t, x in rows for g in set(grams(t)))
+    best = defaultdict(float)
+    for (x, g), n in seen.items():
+        best[g] = max(best[g], n / docs[x])
+    has = {x: {g for (y, g), n in seen.items() if y == x and n / docs[x] >= language.NEAR * best[g]} for x in docs}
+    held = [(1000 + i, say(x, r.randint(1, 9)) + r.choice(("", " xyz qqq", " 12")), x) for i, x in enumerate(["aa", "bb", "cc", "dd"] * 25)]
+    filters = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {x.doc_id: x for x in language.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), filters).collect()}
+    for i, t, _ in held:
+        every = grams(t)
+        counts = {x: sum(g in has[x] for g in every) / len(every) for x in docs}
+        assert counts[got[i].lang_pred] >= max(counts.values()) - 0.02 and got[i].score == pytest.approx(counts[got[i].lang_pred], abs=0.02)
 
 
 def test_bloom_filters_have_no_false_negatives():
@@ -428,7 +456,7 @@ def test_over_64_languages_are_learned(spark):
     own = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöüßéñ") for _ in range(6)) for _ in range(12)] for k in range(130)}
     rows = [(i, " ".join(r.choice(own[x]) for _ in range(20)), x) for i, x in enumerate(list(own) * 4)]
     filters = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert filters.masks.shape == (language.SLOTS, 3) and sorted(filters.names) == list(own)
+    assert filters.masks.shape[1] == 3 and sorted(filters.names) == list(own)
     held = [(i, " ".join(r.choice(own[x]) for _ in range(10)), x) for i, x in enumerate(own)]
     got = language.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), filters).collect()
     assert [x.lang_pred for x in sorted(got, key=lambda x: x.doc_id)] == list(own)
