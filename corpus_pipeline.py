@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 from sparkloom.llm import decontaminate, language, mixing, queries, simhash, token_files
 from sparkloom.llm.store import Store, small_side
 
-#: Columns of the documents that stages hand on.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Columns of the documents that stages hand on, and their types where a table lacks one.
+COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
+    """The columns of documents; one that the table lacks is null throughout."""
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter. Learns from documents whose crc32(doc_id) mod 5 isn't 0."""
+    """Each document's lang becomes the language found in its text, and documents in no learned language go: null texts,
+    texts without a letter, and texts of which no language contains language.LEAST of the n-grams. Learns from documents
+    whose crc32(doc_id) mod 5 isn't 0."""
     docs = _documents(docs)
     filters = language.learn(docs.where(~language.held_out("doc_id", 5, 0)).select("doc_id", "text", "lang"))
     return language.keep_known(docs, filters)
