@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm.store import Store, small_side
 
 ORDER, DISCOUNT, SHARED = 7, 0.75, 40.0
-WINDOW, SAMPLE, FOLDS = 8, 10_000, 4
+WINDOW, SAMPLE, FOLDS = 8, 6_000, 4
 #: Words a task holds before it gives its sums; bytes of text measured at once; words whose evidence a worker remembers.
-HELD_WORDS, CHUNK, REMEMBERED = 200_000, 2_000_000, 300_000
+HELD_WORDS, CHUNK, REMEMBERED = 100_000, 2_000_000, 150_000
 START, END = "\x01", "\x02"
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,7 +93,8 @@ def gram_hash(points: list[np.ndarray]) -> np.ndarray:
         return np.zeros(1, np.uint64)
     h = np.full(len(points[0]), len(points), np.uint64)
     for x in points:
-        h = (h ^ x) * MIX
+        h ^= x.astype(np.uint64, copy=False)
+        h *= MIX
         h ^= h >> np.uint64(31)
     return h
 
@@ -129,13 +130,13 @@ class Grams:
 
     def __init__(self, points: np.ndarray) -> None:
         """points: a row of ORDER code points per n-gram."""
-        columns = [np.ascontiguousarray(x, np.uint64) for x in points.T]
+        columns = [np.ascontiguousarray(x) for x in points.T]
         self.last, self.context, self.size, self.first = [], [], [], []
         for k in range(ORDER + 1):
             own = np.broadcast_to(gram_hash(columns[ORDER - k :] if k else []), len(points))
             keys, first, place = np.unique(own, return_index=True, return_inverse=True)
             self.last.append(place.astype(np.uint32))
-            self.first.append(first)
+            self.first.append(first.astype(np.uint32))
             if k < ORDER:
                 before = np.broadcast_to(gram_hash(columns[ORDER - 1 - k : ORDER - 1] if k else []), len(points))
                 contexts, place = np.unique(before, return_inverse=True)
@@ -287,17 +288,35 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def gathered(counted: DataFrame) -> tuple[Grams, np.ndarray]:
-    """The n-grams of (gram, fold, toxic, ordinary) on the driver, and their counts by fold (the last: of none) and class."""
-    rows = counted.toArrow()
-    grams = rows["gram"].combine_chunks().dictionary_encode()
-    text = "".join(grams.dictionary.to_pylist()).encode("utf-32-le", "surrogatepass")
-    points = np.frombuffer(text, np.uint32).reshape(-1, ORDER)
-    counts = np.zeros((FOLDS + 1, 2, len(points)), np.float32)
-    fold, at = rows["fold"].to_numpy(), grams.indices.to_numpy()  # fold -1 is the last
-    for c, name in enumerate(("toxic", "ordinary")):
-        np.add.at(counts, (fold, c, at), rows[name].to_numpy())
-    return Grams(points), counts
+@dataclass
+class Counted:
+    """Counted n-grams on the driver: which one a row is of, its fold (-1: not in the sample) and its counts."""
+
+    grams: Grams
+    at: np.ndarray
+    fold: np.ndarray
+    counts: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def gather(cls, counted: DataFrame) -> Counted:
+        """counted: (gram, fold, toxic, ordinary)."""
+        rows = counted.toArrow().combine_chunks()
+        counts = tuple(rows[c].to_numpy().astype(np.float32) for c in ("toxic", "ordinary"))
+        fold = rows["fold"].to_numpy().astype(np.int8)
+        grams = rows["gram"].combine_chunks().dictionary_encode()
+        del rows
+        at, text = grams.indices.to_numpy().astype(np.uint32), grams.dictionary
+        _, offsets, data = text.buffers()
+        ends = np.frombuffer(offsets, np.int32)[[text.offset, text.offset + len(text)]] if len(text) else (0, 0)
+        own = data[ends[0] : ends[1]].to_pybytes().decode("utf-8", "surrogatepass") if len(text) else ""
+        points = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+        return cls(Grams(points), at, fold, counts)
+
+    def model(self, without: int | None = None) -> Model:
+        """The model of all documents, or of those outside a fold."""
+        mine = slice(None) if without is None else self.fold != without
+        own = [np.bincount(self.at[mine], x[mine], len(self.grams.last[0])) for x in self.counts]
+        return self.grams.model(*own)
 
 
 def scored(docs: DataFrame, model: Model, weights: np.ndarray, prior: float) -> DataFrame:
@@ -335,14 +354,13 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(labelled: DataFrame, store: Store) -> tuple[Model, np.ndarray]:
     """labelled (text, fold, toxic), with both classes: the model of all documents, and the weights of the calibration."""
-    grams, counts = gathered(store.save(count_grams(labelled), "grams"))
+    counted, rows = Counted.gather(store.save(count_grams(labelled), "grams")), []
     store.drop("grams")
-    total, rows = counts.sum(axis=0), []
     for f in range(FOLDS):
-        part = measured(labelled.where(F.col("fold") == f), grams.model(*(total - counts[f])))
+        part = measured(labelled.where(F.col("fold") == f), counted.model(f))
         rows.append(part.where("n > 0").toArrow().to_pandas())
     rows = pd.concat(rows)
-    return grams.model(*total), fit(rows[["a", "b", "c", "d"]].to_numpy(), rows["toxic"].to_numpy(float))
+    return counted.model(), fit(rows[["a", "b", "c", "d"]].to_numpy(), rows["toxic"].to_numpy(float))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, learn_from: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -546,7 +546,7 @@ def counted(spark, toxic):
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
     rows = docs.join(known, "doc_id").select("doc_id", "text", F.pmod("doc_id", F.lit(5)).cast("int").alias("fold"), "toxic")
     rows = rows.withColumn("fold", F.when(F.col("fold") < toxicity.FOLDS, F.col("fold")).otherwise(-1)).cache()
-    return rows.collect(), *toxicity.gathered(toxicity.count_grams(rows))
+    return rows.collect(), toxicity.Counted.gather(toxicity.count_grams(rows))
 
 
 def brute_words(rows):
@@ -555,8 +555,8 @@ def brute_words(rows):
 
 
 def test_evidence_is_that_of_brute_kneser_ney(counted):
-    rows, grams, counts = counted
-    model, brute = grams.model(*counts.sum(axis=0)), BruteKneserNey(brute_words(rows))
+    rows, own = counted
+    model, brute = own.model(), BruteKneserNey(brute_words(rows))
     some = ["graghan", "theor", "graghzz", "x", "anthe", "ouesesin", "日本", "blurkou", "g"] + [w for w, *_ in brute_words(rows)[:200]]
     assert np.allclose(model.evidence(some), [brute.evidence(w) for w in some], atol=1e-4)
     assert model.evidence(["graghan"])[0] > 2 > abs(model.evidence(["theor"])[0])
@@ -564,8 +564,8 @@ def test_evidence_is_that_of_brute_kneser_ney(counted):
 
 
 def test_a_part_is_left_out_exactly(counted):
-    rows, grams, counts = counted
-    model = grams.model(*(counts.sum(axis=0) - counts[2]))
+    rows, own = counted
+    model = own.model(2)
     brute = BruteKneserNey(brute_words([r for r in rows if r.fold != 2]))
     some = ["graghan", "theor", "graghzz"] + [w for w, *_ in brute_words(rows)[:200]]
     assert np.allclose(model.evidence(some), [brute.evidence(w) for w in some], atol=1e-4)
@@ -580,7 +580,7 @@ def test_scores_from_few_toxic_documents_rise_with_toxicity(spark, toxic):
 
 
 def test_remembered_evidence_stays_right(counted):
-    model = counted[1].model(*counted[2].sum(axis=0))
+    model = counted[1].model()
     every = ["graghan", "theor", "x", "blurkou", "anthe"]
     evidence, want = toxicity.Evidence(model, remembered=2), model.evidence(every)
     for _ in range(3):
