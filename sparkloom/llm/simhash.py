@@ -5,10 +5,13 @@ and on the other 18 bits the code with one word. Each fingerprint is sent to the
 compared at each anchor. Sending to all anchors within covering radius plus threshold on one side would do; it is
 enough to go half the threshold beyond the radius on both sides: two fingerprints at distance t or less have a word
 between them that is t/2 (rounded up) or less from either, and the anchor nearest to that word is within reach of both.
-So every link is found, and a fingerprint has about 60 anchors of 16.7 million for a threshold of 4.
+So every link is found, and a fingerprint has about 60 anchors of 16.7 million for a threshold of 4. From DENSE distinct
+fingerprints on, a third block of 15 bits has the Hamming code, of radius 1: some 150 anchors of 34 billion, so that
+what is compared at an anchor stays little. The links are the same.
 
 Only distinct fingerprints are sent. Fingerprints at one anchor are joined to a forest, not to all their pairs. An
-anchor with more than CELL of them is split into cells, one for each two parts of it.
+anchor with more than CELL of them is split into cells, one for each two parts of it. Which are split is told by a table
+of 2^24 bytes, by a hash of the anchor, whatever the number of fingerprints.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like others; fewer words than a shingle
 are one shingle; rows that repeat an id are each returned; null ids never name a component that has another id; an
@@ -18,12 +21,14 @@ empty table gives no rows. Other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +38,24 @@ from sparkloom.llm.store import Store, parts
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints of an anchor that are compared in one cell; entries that a task compares; shingles whose bits are summed at once.
 CELL, TASK_ENTRIES, CHUNK = 20_000, 1_500_000, 1 << 17
-#: The Golay code's generator polynomial: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
-GENERATOR, BLOCK, CHECK_BITS, RADIUS = 0xC75, 23, 11, 3
+#: Distinct fingerprints from which on a third block is coded; bits of the hash that tells whether an anchor is split, and of a part's number.
+DENSE, SLOT_BITS, PART_BITS = 50_000_000, 24, 14
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass(frozen=True)
+class Code:
+    """A perfect cyclic code: its length, check bits, generator polynomial and covering radius."""
+
+    bits: int
+    check: int
+    generator: int
+    radius: int
+
+
+#: Fixed values. The generators are x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 and x^4 + x + 1.
+GOLAY, HAMMING = Code(23, 11, 0xC75, 3), Code(15, 4, 0x13, 1)
+BLOCKS = {False: (GOLAY, GOLAY), True: (GOLAY, GOLAY, HAMMING)}
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -89,97 +110,120 @@ def fingerprints(batches: Iterator[pa.RecordBatch], size: int = SHINGLE) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
-def _remainder(v: int) -> int:
-    for k in range(BLOCK - 1, CHECK_BITS - 1, -1):
-        if v >> k & 1:
-            v ^= GENERATOR << (k - CHECK_BITS)
-    return v
-
-
 @cache
-def golay(beyond: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The syndrome of each 23-bit word, and for 0..beyond the patterns, by syndrome and padded by -1, that lead to the
-    code words at a distance of RADIUS + that (at 0: RADIUS or less)."""
+def tables(code: Code, beyond: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The syndrome of each word, and for 0..beyond the patterns, by syndrome and padded by -1, that lead to the code
+    words at a distance of radius + that (at 0: radius or less)."""
     syndromes = np.zeros(1, np.int16)
-    for k in range(BLOCK):
-        syndromes = np.concatenate([syndromes, syndromes ^ np.int16(_remainder(1 << k))])
-    tables = []
+    for k in range(code.bits):
+        v = 1 << k
+        for j in range(k, code.check - 1, -1):
+            if v >> j & 1:
+                v ^= code.generator << (j - code.check)
+        syndromes = np.concatenate([syndromes, syndromes ^ np.int16(v)])
+    out = []
     for excess in range(beyond + 1):
-        by: list[list[int]] = [[] for _ in range(1 << CHECK_BITS)]
-        for weight in range(0 if not excess else RADIUS + excess, RADIUS + excess + 1):
-            for bits in combinations(range(BLOCK), weight):
+        by: list[list[int]] = [[] for _ in range(1 << code.check)]
+        for weight in range(0 if not excess else code.radius + excess, code.radius + excess + 1):
+            for bits in combinations(range(code.bits), weight):
                 e = sum(1 << b for b in bits)
                 by[syndromes[e]].append(e)
         table = np.full((len(by), max(map(len, by))), -1, np.int32)
         for s, found in enumerate(by):
             table[s, : len(found)] = found
-        tables.append(table)
-    return syndromes, tables
-
-
-def anchors(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors in reach of each fingerprint: (anchor, index into fps). A code word is told by its upper 12 bits."""
-    beyond = -(-distance // 2)
-    syndromes, tables = golay(beyond)
-    blocks = [((fps >> np.uint64(k)) & np.uint64((1 << BLOCK) - 1)).astype(np.int32) for k in (0, BLOCK)]
-    near = [[(table[syndromes[v]], v) for table in tables] for v in blocks]
+        out.append(table)
+    return syndromes, out
+
+
+def anchors(fps: np.ndarray, distance: int, dense: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors in reach of each fingerprint: (anchor, index into fps). A code word is told by what isn't its check bits."""
+    beyond, start, near = -(-distance // 2), 0, []
+    for code in BLOCKS[dense]:
+        syndromes, patterns = tables(code, beyond)
+        v = ((fps >> np.uint64(start)) & np.uint64((1 << code.bits) - 1)).astype(np.int32)
+        near.append([(code.bits - code.check, p >= 0, (v[:, None] ^ p) >> code.check) for p in (t[syndromes[v]] for t in patterns)])
+        start += code.bits
     found, index = [], []
-    for i in range(beyond + 1):
-        for j in range(beyond + 1 - i):
-            (e, v), (f, w) = near[0][i], near[1][j]
-            pairs = ((v[:, None] ^ e) >> CHECK_BITS)[:, :, None] << 12 | ((w[:, None] ^ f) >> CHECK_BITS)[:, None, :]
-            keep = (e >= 0)[:, :, None] & (f >= 0)[:, None, :]
-            found.append(pairs[keep])
-            index.append(np.broadcast_to(np.arange(len(fps))[:, None, None], keep.shape)[keep])
+    for excess in product(range(beyond + 1), repeat=len(near)):
+        if sum(excess) > beyond:
+            continue
+        anchor, keep = np.zeros((len(fps), 1), np.int64), np.ones((len(fps), 1), bool)
+        for bits, fits, word in (near[k][e] for k, e in enumerate(excess)):
+            anchor = (anchor[:, :, None] << bits | word[:, None, :]).reshape(len(fps), -1)
+            keep = (keep[:, :, None] & fits[:, None, :]).reshape(len(fps), -1)
+        found.append(anchor[keep])
+        index.append(np.broadcast_to(np.arange(len(fps))[:, None], keep.shape)[keep])
     return np.concatenate(found), np.concatenate(index)
 
 
+def _slot(anchor: np.ndarray) -> np.ndarray:
+    """Where an anchor stands in the table of parts."""
+    return ((anchor.view(np.uint64) * ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _part(fps: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The part, of n, of an anchor that is split."""
-    return ((fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+    return ((fps * ODD) >> np.uint64(33)).astype(np.int64) % n
 
 
-def count_anchors(distance: int, floor: float):
-    """Anchors that a task sends at least floor fingerprints to."""
+def count_anchors(distance: int, dense: bool, floor: float):
+    """Slots of the anchors that a task sends at least floor fingerprints to: (slot, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << 24, np.int32)
+        n = np.zeros(1 << SLOT_BITS, np.int32)
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for k in range(0, len(fps), 20_000):
-                np.add.at(n, anchors(fps[k : k + 20_000], distance)[0], 1)
+            for k in range(0, len(fps), 5_000):
+                found = _slot(anchors(fps[k : k + 5_000], distance, dense)[0])
+                own, counts = np.unique(found, return_counts=True)
+                n[own] += counts.astype(np.int32)
         many = np.flatnonzero(n >= max(floor, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(many.astype(np.int64)), pa.array(n[many].astype(np.int64))], ["anchor", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(many.astype(np.int64)), pa.array(n[many].astype(np.int64))], ["slot", "n"])
 
     return run
 
 
-def send(distance: int, tasks: int, split: dict[int, int]):
-    """Packs (cell, fp) entries for each task that compares: (task, cells, fps). split: the parts of anchors with more than one."""
-    hot = np.array(sorted(split), np.int64)
-    hot_parts = np.array([split[k] for k in sorted(split)], np.int64)
+def parts_of(counted: DataFrame, cell: int) -> np.ndarray | None:
+    """For each slot the logarithm of the parts that its anchors are split into; None if none is.
+
+    counted: (slot, n), a row per task and slot at most. What is gathered is an integer a slot, 2^24 of them at most.
+    """
+    log = F.least(F.ceil(F.log2(F.col("n") / F.lit(cell / 2))), F.lit(PART_BITS))
+    many = counted.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > cell / 2)
+    rows = many.select((F.col("slot") * 16 + log).cast("int").alias("x")).toArrow()["x"].to_numpy()
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out[rows >> 4] = rows & 15
+    return out if out.any() else None
+
+
+def send(distance: int, dense: bool, tasks: int, parts: Broadcast | None):
+    """Packs (cell, fp) entries for each task that compares: (task, cells, fps). parts: as parts_of() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = None if parts is None else parts.value
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for k in range(0, len(fps), 20_000):
-                own = fps[k : k + 20_000]
-                anchor, index = anchors(own, distance)
-                cell, fp = anchor.astype(np.int64) << 32, own[index]
-                if len(hot):
-                    place = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-                    is_hot = hot[place] == anchor
-                    n, part, base, many = hot_parts[place[is_hot]], _part(fp[is_hot], hot_parts[place[is_hot]]), cell[is_hot], fp[is_hot]
+            for k in range(0, len(fps), 5_000):
+                own = fps[k : k + 5_000]
+                anchor, index = anchors(own, distance, dense)
+                cell, fp = anchor << 2 * PART_BITS, own[index]
+                if split is not None:
+                    n = np.left_shift(1, split[_slot(anchor)].astype(np.int64))
+                    hot = n > 1
+                    n, base, many = n[hot], cell[hot], fp[hot]
+                    part = _part(many, n)
                     row = np.repeat(np.arange(len(n)), n)
                     other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                     low, high = np.minimum(part[row], other), np.maximum(part[row], other)
-                    cell, fp = np.concatenate([cell[~is_hot], base[row] | low << 16 | high]), np.concatenate([fp[~is_hot], many[row]])
+                    cell = np.concatenate([cell[~hot], base[row] | low << PART_BITS | high])
+                    fp = np.concatenate([fp[~hot], many[row]])
                 task = ((cell.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64) % tasks
                 order = np.argsort(task, kind="stable")
                 task, cell, fp = task[order], cell[order], fp[order]
                 edges = np.flatnonzero(np.diff(task, prepend=-1))
-                ends = np.append(edges[1:], len(task))
-                yield pa.RecordBatch.from_arrays([pa.array(task[edges]), pa.array([cell[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()), pa.array([fp[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary())], ["task", "cells", "fps"])
+                spans = list(zip(edges, np.append(edges[1:], len(task)), strict=True))
+                packs = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (cell, fp)]
+                yield pa.RecordBatch.from_arrays([pa.array(task[edges]), *packs], ["task", "cells", "fps"])
 
     return run
 
@@ -256,23 +300,42 @@ def compare(distance: int, small: int = 24):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, cell: int = CELL, task_entries: int = TASK_ENTRIES) -> DataFrame:
+def links_of(fps: DataFrame, rows: int, distance: int, cell: int, task_entries: int, dense: bool) -> DataFrame:
+    """(a, b): links that join the fingerprints (fp), distinct ones, as all pairs within distance would."""
+    sc = fps.sparkSession.sparkContext
+    tasks = parts(rows, 50_000, 6)
+    fps = fps.repartition(tasks)
+    split = None
+    if rows > cell:
+        split = parts_of(fps.mapInArrow(count_anchors(distance, dense, cell / 2 / tasks), "slot long, n long"), cell)
+        split = None if split is None else sc.broadcast(split)
+    comparing = parts(rows * (155 if dense else 62), task_entries, 12)
+    packs = fps.mapInArrow(send(distance, dense, comparing, split), "task long, cells binary, fps binary")
+    return packs.repartition(comparing, "task").mapInArrow(compare(distance), "a long, b long")
+
+
+def near_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    distance: int = DISTANCE,
+    cell: int = CELL,
+    task_entries: int = TASK_ENTRIES,
+    dense_from: int = DENSE,
+) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id, n_links (distinct fingerprints of its component besides its own), text_hash."""
     store = Store(docs.sparkSession, "near_dedup")
-    marked = store.save(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(lambda b: fingerprints(b, size), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, fp long"), "marked")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    marked = store.save(own.mapInArrow(lambda b: fingerprints(b, size), f"doc_id {kind}, text_hash long, fp long"), "marked")
     distinct = store.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     rows = distinct.count()
-    tasks = parts(rows, 50_000, 6)
-    fps = distinct.select("fp").repartition(tasks)
-    counted = fps.mapInArrow(count_anchors(distance, cell / 2 / tasks), "anchor long, n long") if rows > cell else None
-    split = {x.anchor: -(-x.n // (cell // 2)) for x in counted.groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > cell / 2).collect()} if counted is not None else {}
-    several = {k: n for k, n in split.items() if n > 1}
-    comparing = parts(rows * 62, task_entries, 12)
-    packs = fps.mapInArrow(send(distance, comparing, several), "task long, cells binary, fps binary")
-    links = packs.repartition(comparing, "task").mapInArrow(compare(distance), "a long, b long")
+    links = links_of(distinct.select("fp"), rows, distance, cell, task_entries, rows >= dense_from)
     roots = store.save(components(links, store), "roots")
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
     named = store.save(named.join(ids, "root").select("fp", "component_id", "n_links"), "named")
     store.drop("distinct", "roots")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "text_hash")
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return marked.join(named, "fp").select("doc_id", fingerprint, "component_id", "n_links", "text_hash")

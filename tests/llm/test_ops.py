@@ -337,8 +337,14 @@ def test_all_null_ids_have_no_component(spark):
     assert [r.component_id for r in got] == [None, None]
 
 
-@pytest.mark.parametrize("split", [{}, {1: 3}])
-def test_links_are_complete(split):
+class Given:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("split", [False, True])
+def test_links_are_complete(split, dense):
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
     fps = [*base]
@@ -351,8 +357,8 @@ def test_links_are_complete(split):
     fps = np.unique(np.array(fps, np.uint64))
     import pyarrow as pa
 
-    parts = {int(a): 3 for a in np.unique(simhash.anchors(fps, 4)[0])[::2]} if split else {}
-    sent = list(simhash.send(4, 3, parts)(iter([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])])))
+    parts = Given(r.integers(0, 3, 1 << simhash.SLOT_BITS).astype(np.uint8)) if split else None
+    sent = list(simhash.send(4, dense, 3, parts)(iter([pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], ["fp"])])))
     links = []
     for task in range(3):
         mine = [b.filter(pa.array([t == task for t in b.column(0).to_pylist()])) for b in sent]
@@ -383,8 +389,9 @@ def test_split_anchors_give_the_same(spark):
         texts.append(" ".join(t))
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     a = simhash.near_dedup(df).collect()
-    b = simhash.near_dedup(df, cell=20, task_entries=2000).collect()
-    assert Counter(map(tuple, a)) == Counter(map(tuple, b))
+    for dense_from in (1, simhash.DENSE):
+        b = simhash.near_dedup(df, cell=20, task_entries=20_000, dense_from=dense_from).collect()
+        assert Counter(map(tuple, a)) == Counter(map(tuple, b))
     assert max(Counter(r.component_id for r in a).values()) > 50
 
 
@@ -394,6 +401,29 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == {i: 0 for i in range(1, 41)} | {100: 50, 60: 50, 201: 200}
 
 
+def test_components_with_hot_nodes(spark):
+    r = random.Random(8)
+    links = [(5000, i) for i in range(3000)] + [(r.randrange(4000, 5000), r.randrange(4000, 5000)) for _ in range(400)] + [(7000 + i // 9, 9000 + i) for i in range(900)] + [(2999, 7001)]
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links, "a long, b long"), Store(spark, "test")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_codes_cover():
+    for code in (simhash.GOLAY, simhash.HAMMING):
+        syndromes, patterns = simhash.tables(code, 0)
+        assert len(syndromes) == 1 << code.bits and (patterns[0] >= 0).all() and patterns[0].shape == (1 << code.check, 1)
+
+
 # --- language
 
 
