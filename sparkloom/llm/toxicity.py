@@ -137,6 +137,7 @@ class Grams:
             keys, first, place = np.unique(own, return_index=True, return_inverse=True)
             self.last.append(place.astype(np.uint32))
             self.first.append(first.astype(np.uint32))
+            del own, first, place
             if k < ORDER:
                 before = np.broadcast_to(gram_hash(columns[ORDER - 1 - k : ORDER - 1] if k else []), len(points))
                 contexts, place = np.unique(before, return_inverse=True)
@@ -155,12 +156,12 @@ class Grams:
         def count(k: int, at: np.ndarray | slice, weights: np.ndarray | None = None) -> np.ndarray:
             """For each n-gram, how many of those `at` have its context of k characters."""
             own = self.context[k]
-            return np.bincount(own[at], weights, self.size[k])[own]
+            return np.bincount(own[at], weights, self.size[k]).astype(np.float32)[own]
 
-        p = np.full(len(n0), 1 / max(len(distinct(1)), 1))
+        p = np.full(len(n0), 1 / max(len(distinct(1)), 1), np.float32)
         for k in range(1, ORDER):
             longer, own = distinct(k + 1), distinct(k)
-            n = np.bincount(self.last[k][longer], minlength=len(self.first[k]))[self.last[k]]
+            n = np.bincount(self.last[k][longer], minlength=len(self.first[k])).astype(np.float32)[self.last[k]]
             p = backed(n, count(k - 1, longer), count(k - 1, own), p, 0.0)
         every, k = slice(None), ORDER - 1
         total = [count(k, every, n) for n in (n0, n1)]
@@ -288,6 +289,16 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
+def code_points(grams: pa.StringArray) -> np.ndarray:
+    """A row of ORDER code points per n-gram."""
+    if not len(grams):
+        return np.zeros((0, ORDER), np.uint32)
+    _, offsets, data = grams.buffers()
+    first, last = np.frombuffer(offsets, np.int32)[[grams.offset, grams.offset + len(grams)]]
+    text = data[first:last].to_pybytes().decode("utf-8", "surrogatepass")
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+
+
 @dataclass
 class Counted:
     """Counted n-grams on the driver: which one a row is of, its fold (-1: not in the sample) and its counts."""
@@ -300,22 +311,20 @@ class Counted:
     @classmethod
     def gather(cls, counted: DataFrame) -> Counted:
         """counted: (gram, fold, toxic, ordinary)."""
-        rows = counted.toArrow().combine_chunks()
-        counts = tuple(rows[c].to_numpy().astype(np.float32) for c in ("toxic", "ordinary"))
-        fold = rows["fold"].to_numpy().astype(np.int8)
+        kinds = {"gram": "string", "fold": "tinyint", "toxic": "float", "ordinary": "float"}
+        rows = counted.select(*[F.col(c).cast(kind) for c, kind in kinds.items()]).toArrow()
+        fold, *counts = (rows[c].to_numpy() for c in ("fold", "toxic", "ordinary"))
         grams = rows["gram"].combine_chunks().dictionary_encode()
         del rows
-        at, text = grams.indices.to_numpy().astype(np.uint32), grams.dictionary
-        _, offsets, data = text.buffers()
-        ends = np.frombuffer(offsets, np.int32)[[text.offset, text.offset + len(text)]] if len(text) else (0, 0)
-        own = data[ends[0] : ends[1]].to_pybytes().decode("utf-8", "surrogatepass") if len(text) else ""
-        points = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-        return cls(Grams(points), at, fold, counts)
+        at, points = grams.indices.to_numpy().astype(np.uint32), code_points(grams.dictionary)
+        del grams
+        pa.default_memory_pool().release_unused()
+        return cls(Grams(points), at, fold, tuple(counts))
 
     def model(self, without: int | None = None) -> Model:
         """The model of all documents, or of those outside a fold."""
         mine = slice(None) if without is None else self.fold != without
-        own = [np.bincount(self.at[mine], x[mine], len(self.grams.last[0])) for x in self.counts]
+        own = [np.bincount(self.at[mine], x[mine], len(self.grams.last[0])).astype(np.float32) for x in self.counts]
         return self.grams.model(*own)
 
 
