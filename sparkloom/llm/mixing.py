@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.store import Store, parts
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Weights by a source's place in code point order, repeating; words in the mix over words in the input; the most epochs of a source; rows in a bucket.
-WEIGHTS, SHARE, EPOCHS, BUCKET_ROWS = (3, 1, 2), 1.5, 2, 20_000
+#: Weights by a source's place in code point order, repeating; words in the mix over words in the input; the most epochs of a source.
+WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
+#: Rows in a bucket, and the least number of buckets, so that also a source with most of few rows is spread over tasks.
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
 
 
 def order_key(doc_id: F.Column, text_hash: F.Column) -> F.Column:
@@ -52,7 +54,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text_hash = F.xxhash64(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_hash.alias("text_hash"))
     sized = store.save(sized.withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).withColumn("key", order_key(F.col("doc_id"), F.col("text_hash"))), "sized")
-    buckets = min(parts(sized.count(), bucket_rows, 8), 1 << 30)
+    buckets = min(parts(sized.count(), bucket_rows, LEAST_BUCKETS), 1 << 30)
     sized = sized.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 31))
     sums = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
     each = targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))).withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).drop("source")
