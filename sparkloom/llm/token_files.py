@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.store import Store, parts
 
 MAGIC, FOOTER = b"SLPLANE1", struct.Struct("<QQI8s")
-#: Ids of a block; zstandard's level; ids after which a task begins another file; documents of a task; pretokens that a worker remembers.
-BLOCK, LEVEL, FILE_IDS, TASK_DOCS, REMEMBERED = 1 << 16, 3, 1 << 25, 20_000, 300_000
+#: Ids of a block; zstandard's level; ids after which a task begins another file; documents of a task, and bytes of their texts; pretokens that a worker remembers.
+BLOCK, LEVEL, FILE_IDS, TASK_DOCS, TASK_BYTES, REMEMBERED = 1 << 16, 3, 1 << 25, 20_000, 16 << 20, 300_000
 #: How the byte-level tokenizer cuts a text before it merges (fixed by its file), told by the classes of the characters
 #: up to U+02AF: letters, numbers, white space. A text with any other character is encoded whole.
 LETTERS, NUMBERS, SPACES = r"A-Za-zªµºÀ-ÖØ-öø-ʯ", r"0-9²³¹¼-¾", r"\t-\r \xA0"
@@ -263,11 +263,13 @@ def read_back(folder: str):
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", bits: bool = False, task_docs: int = TASK_DOCS, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes the documents' files to folder, which all executors share; a row per file: part, file, name, n_docs, n_ids, start (ids of the files before it).
 
-    Tasks get ranges of the ids that hold about task_docs documents each; the ranges' order is the order of the ids.
+    Tasks get ranges of the ids that hold about task_docs documents or TASK_BYTES each, whichever is less; the ranges'
+    order is the order of the ids.
     """
     store = Store(docs.sparkSession, "token_files")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tasks = parts(own.count(), task_docs)
+    rows, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    tasks = max(parts(rows, task_docs, 1), parts(size or 0, TASK_BYTES, 1))
     ranged = own.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(write(tokenizer, end_id, folder, bits, file_ids), "part int, file int, name string, n_docs long, n_ids long")
     files = store.save(written, "files")
