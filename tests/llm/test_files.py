@@ -72,6 +72,17 @@ def test_encoder_is_the_librarys(text):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_is_the_librarys_on_every_character_and_pair():
+    """All the characters that the cut knows by class, each alone, doubled, within letters and before and behind any other."""
+    known = [chr(c) for c in range(0x2B0) if not tf.OTHER.search(chr(c))]
+    texts = [x for c in known for x in (c, c * 2, f"a{c}b", f" {c}", f"{c} ", f"1{c}2", f"'{c}", f"\n{c}")] + [f"{a}{b}" for a in known for b in known]
+    e = tf.encoder(PATH)
+    for k in range(0, len(texts), 50_000):
+        some = texts[k : k + 50_000]
+        want = e.tokenizer.encode_batch(some, add_special_tokens=False)
+        assert all(np.frombuffer(e.encode(t), "<u4").tolist() == w.ids for t, w in zip(some, want, strict=True))
+
+
 def test_remembered_pieces_stay_right():
     e = tf.Encoder(PATH, remembered=3)
     for _ in range(3):
@@ -144,6 +155,14 @@ def test_bad_records(change, error):
         warc.page(RECORDS[1].replace(*change, 1))
 
 
+def test_slices_for_the_dictionary_have_a_bound(spark):
+    pages = [(i, f"<p>{i}</p>" + "x" * 20_000) for i in range(400)] + [(7, "equal " * 3000)] * 3000
+    own = spark.createDataFrame(pages, "page_id long, html string")
+    got = [r.s for r in warc.drawn(own, len(pages), 200).collect()]
+    assert 2 <= len(got) <= 300 and all(len(s) <= warc.SLICE for s in got)
+    assert len(warc.drawn(own, len(pages), 10_000).collect()) == 401
+
+
 def test_pages(spark):
     rows = [(i, f"http://p/{i}", f"<html>{i % 40}é</html>", "x") for i in range(200)] + [(500, None, None, "x"), (501, "u", "", "x"), (7, "http://p/7", "<html>7é</html>", "x"), (None, "n", "<i>only</i>", "x"), (900, "big", "z" * 3_000_000, "x")]
     rows += [(1000 + i, "hot", "hot", "x") for i in range(150)]
