@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,15 +85,30 @@ def _raw_key(name: str) -> str:
     return name.replace("\\", "\\\\").replace('"', '\\"')
 
 
-def rows_of(records: DataFrame, path: Path) -> DataFrame:
-    """records (rec, value) to (at, label, value, scalar); the work is a task's own, and rows keep the records' order."""
+ROWS = "array<struct<label:string,value:string,scalar:boolean,types:array<struct<key:string,type:string>>>>"
 
-    @F.pandas_udf("array<struct<label:string,value:string,scalar:boolean>>")
-    def found(lines: pd.Series, record: pd.Series) -> pd.Series:
-        return pd.Series([[{"label": a, "value": b, "scalar": c} for a, b, c in follow(x or "", path, str(r))] for x, r in zip(lines, record, strict=True)])
 
-    exploded = records.select("rec", F.posexplode(found("value", F.col("rec").cast("string"))).alias("k", "r"))
-    return exploded.select("rec", "k", "r.label", "r.value", "r.scalar")
+def rows_of(records: DataFrame, path: Path, typed: bool = False) -> DataFrame:
+    """records (rec, value) to (rec, k, label, value, scalar); the work is a task's own, and rows keep the records' order.
+
+    typed: with the keys of each row's object and the names of their values' types, found in the same call.
+    """
+
+    def found(lines: pa.Array, record: pa.Array) -> pa.Array:
+        out = []
+        for line, r in zip(lines.to_pylist(), record.to_pylist(), strict=True):
+            rows = follow(line or "", path, str(r))
+            if typed:
+                out.append([{"scalar": c, "types": [{"key": k, "type": t} for k, t in jsontext.types(b)]} for _, b, c in rows])
+            else:
+                out.append([{"label": a, "value": b, "scalar": c} for a, b, c in rows])
+        return pa.array(out, pa.list_(STRUCT))
+
+    exploded = records.select("rec", F.posexplode(F.arrow_udf(found, ROWS)("value", F.col("rec").cast("string"))).alias("k", "r"))
+    return exploded.select("rec", "k", "r.scalar", "r.types") if typed else exploded.select("rec", "k", "r.label", "r.value", "r.scalar")
+
+
+STRUCT = pa.struct([("label", pa.string()), ("value", pa.string()), ("scalar", pa.bool_()), ("types", pa.list_(pa.struct([("key", pa.string()), ("type", pa.string())])))])
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -103,25 +118,84 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def aggregate_schema(rows: DataFrame, format: DataFormat) -> TableSchema:
-    """The union of the rows' keys in the order they are first seen. Nulls, and values that aren't in an object, give no type; without any a column is text."""
-    keyed = rows.select("rec", "k", "scalar", F.explode(readers.key_types(F.col("value"))).alias("t"))
+    """The union of the rows' keys in the order they are first seen. Nulls, and values that aren't in an object, give no type; without any a column is text.
+
+    rows as rows_of() gives them when typed. One pass: an entry without a key stands for each row, so rows are counted with the keys.
+    """
+    row = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit("").alias("type")))
+    keyed = rows.select("rec", "k", "scalar", F.posexplode(F.concat(row, "types")).alias("at", "t"))
     votes = F.when(~F.col("scalar"), F.col("t.type"))
-    seen = keyed.groupBy(F.col("t.key").alias("key")).agg(F.collect_set(votes).alias("types"), F.count(F.when(F.col("scalar"), "").otherwise(F.col("t.type"))).alias("n"), F.min(F.struct("rec", "k", "t.at")).alias("first"))
-    total = rows.count()
+    seen = keyed.groupBy(F.col("t.key").alias("key")).agg(
+        F.collect_set(votes).alias("types"),
+        F.count(F.when(F.col("scalar"), "").otherwise(F.col("t.type"))).alias("n"),
+        F.min(F.struct("rec", "k", "at")).alias("first"),
+    )
+    found = seen.orderBy("first").collect()  # a row per key
+    total = sum(r.n for r in found if r.key is None)
     if not total:
         raise DrillDownError("The path leads to no rows")
-    columns = [(r.key, join_all([LogicalType[t] for t in sorted(r.types)]) if r.types else LogicalType.Text, r.n < total) for r in seen.orderBy("first").collect()]  # a row per key
+    kind = lambda types: join_all([LogicalType[t] for t in sorted(types)]) if types else LogicalType.Text
+    columns = [(r.key, kind(r.types), r.n < total) for r in found if r.key is not None]
     if not columns:
         raise DrillDownError("The path leads to no columns")
     return TableSchema.of(columns, format)
 
 
+@dataclass(frozen=True)
+class Tree:
+    """A file shown as a tree of its records; table() and tree() of a JSON Lines table are two views of the same records."""
+
+    spark: SparkSession
+    file: str
+    actions: tuple = ()
+
+    @classmethod
+    def open(cls, spark: SparkSession, file: str) -> Tree:
+        format = readers.detect(spark, file)
+        if format is DataFormat.Csv:
+            raise DrillDownError("A CSV file has no tree")
+        return cls(spark, file)
+
+    def roots(self) -> DataFrame:
+        """(pos, label, value): the nodes at the top: lines by their number from 1, elements by their place, members by their key."""
+        format = readers.detect(self.spark, self.file)
+        if format is DataFormat.JsonLines:
+            return numbered_lines(self.spark, self.file).select(F.col("rec").alias("pos"), F.col("rec").cast("string").alias("label"), "value")
+        if format is DataFormat.JsonArray:
+            found = readers.array_elements(self.spark, self.file)
+            return found.select("pos", F.concat(F.lit("["), "pos", F.lit("]")).alias("label"), "value")
+        return readers.object_entries(self.spark, self.file).select("pos", F.col("key").alias("label"), "value")
+
+    def table(self) -> Table:
+        """The same records as a table, with the stack that they had as one; of JSON Lines only."""
+        if readers.detect(self.spark, self.file) is not DataFormat.JsonLines:
+            raise DrillDownError("Only JSON Lines can be shown as a table and as a tree")
+        return Table.open(self.spark, self.file).then(*self.actions)
+
+    def drill(self, path: Path) -> DrilledTable:
+        """The table that a path leads to; back() of it is this tree."""
+        if readers.detect(self.spark, self.file) is DataFormat.JsonObject:
+            return replace(drill_node(self.spark, self.file, path), parent=self)
+        return replace(drill(self.spark, self.file, path), parent=self)
+
+
+def as_tree(spark: SparkSession, file: str, table: Table) -> Tree:
+    """A JSON Lines table as a tree of its records; its stack comes back with table()."""
+    if table.schema.format is not DataFormat.JsonLines:
+        raise DrillDownError("Only JSON Lines can be shown as a table and as a tree")
+    return Tree(spark, file, table.actions)
+
+
 @dataclass(frozen=True)
 class DrilledTable(Table):
-    """A table with the position label of each row; parent is where it came from."""
+    """A table with the position label of each row; parent is where it came from: a file, or a table and the mode that showed it."""
 
     parent: object = None
 
+    def back(self, spark: SparkSession) -> Table | Tree:
+        """What was shown before the drill-down, with its stack of actions and its mode."""
+        return Tree.open(spark, self.parent) if isinstance(self.parent, str) else self.parent
+
     def focused(self) -> DataFrame:
         """The label in column #, then the cells as shown."""
         names = [c.name for c in self.schema.columns]
@@ -130,8 +204,8 @@ class DrilledTable(Table):
 
 
 def drill_records(records: DataFrame, path: Path, format: DataFormat, parent: object = None) -> DrilledTable:
-    rows = rows_of(records, path)
-    return DrilledTable(JsonRecords(rows, aggregate_schema(rows, format)), parent=parent)
+    schema = aggregate_schema(rows_of(records, path, typed=True), format)
+    return DrilledTable(JsonRecords(rows_of(records, path), schema), parent=parent)
 
 
 def drill(spark: SparkSession, file: str, path: Path) -> DrilledTable:
@@ -148,9 +222,26 @@ def drill_node(spark: SparkSession, file: str, path: Path) -> DrilledTable:
     """Turns one array of objects in a JSON Object file into a table."""
     if not path or not isinstance(path[0], Key):
         raise DrillDownError("The path must start with a key")
-    node = readers.object_entries(spark, file).where(F.col("key") == path[0].name).select("value").collect()
-    value = jsontext.value_at(node[0].value, 0)[0] if node else None
-    for x in path[1:]:
+    node = readers.object_entries(spark, file).where(F.col("key") == path[0].name).select("value")
+    found = node.select(F.arrow_udf(lambda values: pa.array([_items(x, path[1:]) for x in values.to_pylist()], NODE), NODE_TYPE)("value").alias("n"))
+    problem = found.select("n.problem").first()
+    if problem is None or problem.problem:
+        raise DrillDownError(problem.problem if problem else NOWHERE)
+    rows = found.select(F.lit(0).cast("long").alias("rec"), F.posexplode("n.items").alias("k", "value"), F.lit(False).alias("scalar"))
+    typed = rows.select("rec", "k", "scalar", readers.key_types(F.col("value")).alias("types"))
+    typed = typed.withColumn("types", F.transform("types", lambda t: F.struct(t["key"].alias("key"), t["type"].alias("type"))))
+    labelled = rows.withColumn("label", F.concat(F.lit("["), "k", F.lit("]")))
+    return DrilledTable(JsonRecords(labelled, aggregate_schema(typed, DataFormat.JsonObject)), parent=file)
+
+
+NOWHERE = "The path leads nowhere"
+NODE, NODE_TYPE = pa.struct([("problem", pa.string()), ("items", pa.list_(pa.string()))]), "struct<problem:string,items:array<string>>"
+
+
+def _items(text: str, path: Path) -> dict[str, object]:
+    """The objects of the array that the path leads to from a value, or what is wrong with it; a task's own work."""
+    value: jsontext.Value | None = jsontext.value_at(text, 0)[0]
+    for x in path:
         if value is not None and isinstance(x, Key):
             value = _step(value, x.name)
         elif value is not None:
@@ -158,14 +249,12 @@ def drill_node(spark: SparkSession, file: str, path: Path) -> DrilledTable:
             place = x.label.strip("[]")
             value = found[int(place)] if place.isdigit() and int(place) < len(found) else None
     if value is None:
-        raise DrillDownError("The path leads nowhere")
+        return {"problem": NOWHERE}
     if value.kind != "array":
-        raise DrillDownError("Only an array can be drilled into here")
+        return {"problem": "Only an array can be drilled into here"}
     items = list(jsontext.elements(value.raw))
     if not items:
-        raise DrillDownError("The array is empty")
+        return {"problem": "The array is empty"}
     if any(v.kind != "object" for v in items):
-        raise DrillDownError("The array has elements that are not objects")
-    rows = spark.createDataFrame([(0, k, f"[{k}]", v.raw, False) for k, v in enumerate(items)], "rec long, k int, label string, value string, scalar boolean")
-    return DrilledTable(JsonRecords(rows, aggregate_schema(rows, DataFormat.JsonObject)), parent=file)
-
+        return {"problem": "The array has elements that are not objects"}
+    return {"items": [v.raw for v in items]}

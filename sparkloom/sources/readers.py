@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import jsontext
 from sparkloom.functions.inference import infer_text, infer_token, infer_whole
+from sparkloom.sources.pieces import array_elements, object_entries  # noqa: F401
 from sparkloom.sources.records import JsonRecords, TextRecords
 from sparkloom.types import DataFormat, LogicalType, TableSchema, join_all, join_types
 
@@ -38,7 +39,7 @@ def detect(spark: SparkSession, path: str) -> DataFormat:
         return DataFormat.JsonLines
     if not lower.endswith(".json"):
         raise SourceError(f"Unsupported file format: {path}")
-    first = spark.read.text(path).select(F.regexp_extract("value", rf"^[{BOM}\s]*(\S)", 1).alias("c")).where("c <> ''").limit(1).collect()
+    first = spark.read.option("lineSep", ",").text(path).select(F.regexp_extract("value", rf"^[{BOM}\s]*(\S)", 1).alias("c")).where("c <> ''").limit(1).collect()
     formats = {"[": DataFormat.JsonArray, "{": DataFormat.JsonObject}
     if not first or first[0].c not in formats:
         raise SourceError(f"Neither an array nor an object: {path}")
@@ -207,31 +208,8 @@ def _widened(columns: dict[str, tuple[LogicalType, bool]], lines: DataFrame) ->
     return out
 
 
-# --- JSON arrays and objects: a file is one value, so one task reads it
-
-
-def _split_array(texts: pd.Series) -> pd.Series:
-    return pd.Series([[jsontext.source(v) for v in jsontext.elements((x or "").lstrip(BOM))] for x in texts])
-
-
-def _split_object(texts: pd.Series) -> pd.Series:
-    def last_wins(text: str) -> list[dict[str, str]]:
-        return [{"key": k, "value": v} for k, v in {k: jsontext.source(v) for k, v in jsontext.members(text.lstrip(BOM))}.items()]
-
-    return pd.Series([last_wins(x or "") for x in texts])
-
-
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): the elements of the file's array as written, primitives too."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.pandas_udf(_split_array, "array<string>")("value")).alias("pos", "value"))
-
-
-def object_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, key, value): the members of the file's object as written; of a repeated key the last value, in the first one's place."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.pandas_udf(_split_object, "array<struct<key:string,value:string>>")("value")).alias("pos", "e")).select("pos", "e.key", "e.value")
+# --- JSON arrays and objects
 
 
 def read_json_array(spark: SparkSession, path: str, scope: int | None = HEAD) -> JsonRecords:
     return json_records(array_elements(spark, path).select("value"), scope, DataFormat.JsonArray)
-
-
