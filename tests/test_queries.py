@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sparkloom import queries
+from sparkloom import file_queries, queries  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
