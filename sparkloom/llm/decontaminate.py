@@ -30,6 +30,7 @@ from sparkloom.llm.store import Store, small_side
 
 #: What separates words in a text of either case, and once A-Z are lower-cased (fixed by the contract).
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = SEPARATOR.replace("[", "[^", 1)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window; the rarest places of a window whose pairs are looked up for proximity (one word changed leaves a
 #: pair of three); terms in one broadcast (some 40 bytes each).
@@ -41,10 +42,8 @@ def words(text: F.Column) -> F.Column:
     return F.split(F.coalesce(text, F.lit("")), SEPARATOR)
 
 
-def count_words(pieces: F.Column) -> F.Column:
-    n = F.size(pieces)
-    edges = (F.element_at(pieces, 1) == "").cast("int") + ((n > 1) & (F.element_at(pieces, -1) == "")).cast("int")
-    return (n - edges).cast("long")
+def count_words(text: F.Column) -> F.Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def term(word: F.Column) -> F.Column:
@@ -160,11 +159,13 @@ def search(
     text_col: str = "text",
     block_terms: int = BLOCK_TERMS,
     index: str | None = None,
+    only_hits: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Exact phrase matches, a row per document: doc_id, n_words, n_hit, n_items, items_sha256, items, dkey; and, unless
     `within` is 0, the proximity matches (doc_id, dkey, item_id, pos, pos2) of terms within so many words of each other.
 
     pos and pos2 count from the text's first piece, pos being of the lesser term. index: a folder that keeps the postings.
+    only_hits: documents without a match are left out, so that only the others' words are counted.
     """
     store = Store(docs.sparkSession, "decontaminate")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -194,10 +195,9 @@ def search(
     items_of = hits.select("dkey", F.explode("digests").alias("digest")).join(small_side(of, store, "of"), "digest")
     found = items_of.groupBy("dkey").agg(F.array_sort(F.collect_set("item")).alias("items")).join(hits.select("dkey", "n_hit"), "dkey")
     found = store.save(found.withColumnRenamed("dkey", "hit_key"), "found")
-    counted = keyed.select("doc_id", "dkey", count_words(words(F.col("text"))).alias("n_words"))
-    x = counted.join(small_side(found, store, "found"), F.col("dkey") == F.col("hit_key"), "left")
+    x = keyed.join(small_side(found, store, "found"), F.col("dkey") == F.col("hit_key"), "inner" if only_hits else "left")
     own = F.coalesce("items", F.array().cast("array<string>"))
-    x = x.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), own.alias("items"), "dkey")
+    x = x.select("doc_id", count_words(F.col("text")).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), own.alias("items"), "dkey")
     near = None
     if within:
         of_pairs = small_side(pairs, store, "pairs")
@@ -206,9 +206,9 @@ def search(
     return x, near
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **columns: str) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **options: object) -> DataFrame:
     """Exact phrase matches, with contaminated: some word is hit, and at least one in `share` words."""
-    return judged(search(docs, benchmark, window, 0, **columns)[0], share)
+    return judged(search(docs, benchmark, window, 0, **options)[0], share)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, within: int = WINDOW, id_col: str = "doc_id", **columns: str) -> tuple[DataFrame, DataFrame]:
