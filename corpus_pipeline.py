@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     store, docs = Store(spark, "stage_decontaminate"), _documents(docs)
-    judged = decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+    judged = decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), only_hits=True)
     bad = store.save(judged.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("dkey").alias("bad_key")).distinct(), "bad")
     same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("bad_key"))
     return docs.join(small_side(bad, store, "bad"), same, "left_anti")
