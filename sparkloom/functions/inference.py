@@ -48,8 +48,35 @@ def inferred_type(c: Column) -> Column:
     )
 
 
+#: Shapes that are told by one pattern: most cells have one of them. The rest, OTHER, are read in full.
+WHOLE, FLOAT, TIMESTAMP, TEXT, BLANK, OTHER = (1 << k for k in range(6))
+SHAPES = {WHOLE: LogicalType.WholeNumber, FLOAT: LogicalType.FloatingPoint, TIMESTAMP: LogicalType.Timestamp, TEXT: LogicalType.Text}
+PLAIN_TIMESTAMP = r"^(?!0000)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,7})?)?)?$"
+WORDS = r"(?i)^\s*[-+]?(?:nan|infinity|true|false)\s*$"
+
+
+def shape(c: Column) -> Column:
+    return (
+        F.when(c.isNull() | (c == ""), BLANK)
+        .when(c.rlike(r"^[-+]?[0-9]{1,18}$"), WHOLE)
+        .when(c.rlike(r"^[-+]?[0-9]{1,15}\.[0-9]{1,15}$"), FLOAT)
+        .when(c.rlike(PLAIN_TIMESTAMP), TIMESTAMP)
+        .when(~c.rlike(r"\S"), BLANK)
+        .when(~c.rlike(r"[0-9∞]") & ~c.rlike(WORDS), TEXT)
+        .otherwise(OTHER)
+    )
+
+
 def infer_whole(df: DataFrame) -> dict[str, tuple[LogicalType, bool]]:
-    """The type and nullability of every string column, over all rows, in one aggregation of a row per task."""
-    aggs = [x for k, c in enumerate(df.columns) for x in (F.collect_set(inferred_type(F.col(f"`{c}`"))).alias(f"t{k}"), F.max(S.is_blank(F.col(f"`{c}`"))).alias(f"n{k}"))]
-    got = df.agg(*aggs).first()
-    return {c: (join_all([LogicalType[t] for t in sorted(got[f"t{k}"])]) if got[f"t{k}"] else LogicalType.Text, got[f"n{k}"] is not False) for k, c in enumerate(df.columns)}
+    """The type and nullability of every string column, over all rows: one aggregation of a number for each column, and
+    another over the columns, if any, that have cells of no plain shape."""
+    of = [F.col(f"`{c}`") for c in df.columns]
+    got = df.agg(*[F.bit_or(shape(c)).alias(f"s{k}") for k, c in enumerate(of)]).first()
+    shapes = [got[k] or 0 for k in range(len(of))]
+    rest = [k for k, s in enumerate(shapes) if s & OTHER]
+    more = df.agg(*[F.collect_set(F.when(shape(of[k]) == OTHER, inferred_type(of[k]))).alias(f"t{k}") for k in rest]).first() if rest else None
+    out = {}
+    for k, c in enumerate(df.columns):
+        types = [t for s, t in SHAPES.items() if shapes[k] & s] + ([LogicalType[t] for t in sorted(more[f"t{k}"])] if k in rest else [])
+        out[c] = (join_all(types) if types else LogicalType.Text, bool(shapes[k] & BLANK) or not shapes[k])
+    return out

@@ -144,15 +144,20 @@ class _Number(str):
 _flat = json.JSONDecoder(object_pairs_hook=list, parse_constant=_no_constant, parse_int=_Number, parse_float=_Number)
 
 
-def _flat_members(line: str) -> list[tuple[str, Value]] | None:
-    """members() of a line without nested values or escapes, which a plain decoder can read; None for any other line."""
+def _flat_pairs(line: str) -> list[tuple[str, object]] | None:
+    """Keys and values of a line without nested values or escapes, which a plain decoder can read; None for any other line."""
     if "\\" in line or "[" in line or line.count("{") != 1:
         return None
     try:
         pairs = _flat.decode(line)
     except ValueError:
         return None
-    if type(pairs) is not list:
+    return pairs if type(pairs) is list else None
+
+
+def _flat_members(line: str) -> list[tuple[str, Value]] | None:
+    """members() of such a line."""
+    if (pairs := _flat_pairs(line)) is None:
         return None
     out = []
     for key, v in pairs:
@@ -161,18 +166,37 @@ def _flat_members(line: str) -> list[tuple[str, Value]] | None:
     return out
 
 
-def find(line: str, keys: list[str], shown: bool = True) -> list[tuple[str, str | None, str | None]]:
-    """For each key its first value in the line's object: (kind, text, display). The kind is missing or invalid where there is none; without shown there is no display."""
+Cell = tuple[str, str | None, str | None]
+LACKING: Cell = (MISSING, None, NULL_TEXT)
+
+
+def _plain_cell(v: object, shown: bool) -> Cell:
+    """The cell of a value that a plain decoder has read."""
+    if type(v) is str:
+        return ("string", v, v)
+    if type(v) is _Number:
+        return ("number", str(v), display(Value("number", str(v))) if shown else None)
+    if v is None:
+        return ("null", None, NULL_TEXT)
+    text = "true" if v else "false"
+    return ("bool", text, text.title())
+
+
+def find(line: str, keys: list[str], shown: bool = True) -> list[Cell]:
+    """For each key its first value in the line's object: (kind, text, display). The kind is missing or invalid where there is none; without shown a display may be lacking."""
+    if (pairs := _flat_pairs(line)) is not None:
+        first = dict(reversed(pairs))
+        return [_plain_cell(first[k], shown) if k in first else LACKING for k in keys]
     wanted, found, broken = set(keys), {}, False
     try:
-        for key, value in _flat_members(line) or members(line):
+        for key, value in members(line):
             if key in wanted and key not in found:
                 found[key] = value
                 if len(found) == len(wanted):
                     break
     except Malformed:
         broken = True
-    lack = (MALFORMED, None, ERROR_TEXT) if broken else (MISSING, None, NULL_TEXT)
+    lack = (MALFORMED, None, ERROR_TEXT) if broken else LACKING
     cell = {k: (v.kind, None if v.kind == "null" else unescaped(v.raw) if v.kind == "string" else v.raw, display(v) if shown else None) for k, v in found.items()}
     return [cell.get(k, lack) for k in keys]
 

@@ -20,6 +20,8 @@ ANY = r"^\s*[(]?\s*¤?\s*[-+]?\s*¤?(?:[0-9][0-9,]*\.?[0-9]*|\.[0-9]+)(?:[eE][-+
 SIMPLE = r"^\s*[-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?\s*$"
 CANONICAL = r"^-?(?:0|[1-9][0-9]{0,17}|[1-9][0-9]{0,8}\.[0-9]{0,4}[1-9]|0\.[0-9]{0,3}[1-9])$"
 TRAILING = r"^-?(?:0|[1-9][0-9]{0,8})\.[0-9]{0,3}0$"
+#: All that may be a number or a boolean, and no text with other characters, nor what looks like a date.
+TYPED = r"(?i)^(?![0-9]+[-/][0-9])(?:[\s(¤+\-.0-9][\s()¤+\-.,0-9e]*|\s*[-+]?(?:nan|infinity|∞|true|false)\s*)$"
 #: How text starts that may be a number or a boolean.
 MAYBE_TYPED = r"^[\s(¤+\-.0-9tTfFnNiI∞]"
 NAMED = r"(?i)^\s*[-+]?(?:nan|infinity|∞)\s*$"
@@ -142,7 +144,7 @@ def json_scalar(c: Column) -> Column:
     """Text as a JSON value: booleans and numbers in canonical form, else a string."""
     real = let(parse_double(c), lambda x: F.when(~F.isnan(x) & (F.abs(x) < math.inf), double_text(x)))
     typed = F.coalesce(parse_bool(c).cast("string"), parse_long(c).cast("string"), real, json_string(c))
-    return F.when(c.rlike(CANONICAL) & (c != "-0"), c).when(c.rlike(TRAILING), F.regexp_replace(c, r"\.?0+$", "")).when(c.rlike(MAYBE_TYPED), typed).otherwise(json_string(c))
+    return F.when(c.rlike(CANONICAL) & (c != "-0"), c).when(c.rlike(TRAILING), F.regexp_replace(c, r"\.?0+$", "")).when(c.rlike(TYPED), typed).otherwise(json_string(c))
 
 
 def json_string(c: Column) -> Column:

@@ -21,13 +21,9 @@ def find_cells(keys: list[str], shown: bool = True):
 
     @F.arrow_udf(CELL)
     def cells(lines: pa.Array) -> pa.Array:
-        kinds, texts, displays = [], [], []
-        for line in lines.to_pylist():
-            for kind, text, display in jsontext.find(line or "", keys, shown):
-                kinds.append(kind)
-                texts.append(text)
-                displays.append(display)
-        found = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (kinds, texts, displays)], ["kind", "text", "shown"])
+        found = [cell for line in lines.to_pylist() for cell in jsontext.find(line or "", keys, shown)]
+        columns = zip(*found, strict=True) if found else [[]] * 3
+        found = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in columns], ["kind", "text", "shown"])
         return pa.ListArray.from_arrays(pa.array([k * len(keys) for k in range(len(lines) + 1)], pa.int32()), found)
 
     return cells
