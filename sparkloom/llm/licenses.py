@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.license_texts import KNOWN
 
-#: Applied in this order to the lower-cased text; patterns mean the same to Java and to RE2.
-STEPS: tuple[tuple[str, str], ...] = (
+#: Fixed values, applied in this order to the lower-cased text: what goes from it as written, and what doesn't count in it.
+LINES: tuple[tuple[str, str], ...] = (
     (r"(?m)^[ \t]*((portions )?copyright\b|\(c\)|©)[^\n]*$", " "),
     (r"\ball rights reserved\b\.?", " "),
     (r"https://", "http://"),
-    (r"[\x{2018}\x{2019}\x{201C}\x{201D}\x{2010}-\x{2015}\x{00A9}\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "),
+)
+PUNCTUATION = r"[\x{2018}\x{2019}\x{201C}\x{201D}\x{2010}-\x{2015}\x{00A9}\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Spellings, once words stand with one space between them.
+SPELLINGS: tuple[tuple[str, str], ...] = (
     (r"\blicence(s|d|e|es)?\b", r"license$1"),
     (r"\bsub license", "sublicense"),
     (r"\bnon infringement\b", "noninfringement"),
@@ -29,23 +32,22 @@ STEPS: tuple[tuple[str, str], ...] = (
     (r"\bfavour", "favor"),
     (r"\bwhilst\b", "while"),
     (r"\bper cent\b", "percent"),
-    (r" +", " "),
 )
+#: A text without any of these is not changed by the lines above, or by the spellings; most texts have none.
+HAS_LINES = r"copyright|\(c\)|©|all rights reserved|https://"
+HAS_SPELLINGS = r"licence|sub licen|non infringement|copyright owner|authoris|authors|organis|recognis|favour|whilst|per cent"
 
 
-def canonical(text: F.Column) -> F.Column:
-    out = F.lower(text)
-    for pattern, to in STEPS:
+def replaced(text: F.Column, steps: tuple[tuple[str, str], ...], hint: str) -> F.Column:
+    out = text
+    for pattern, to in steps:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return F.when(text.rlike(hint), out).otherwise(text)
 
 
-def canonical_sql(text: str) -> str:
-    """The same in DuckDB."""
-    out = f"lower({text})"
-    for pattern, to in STEPS:
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
-    return f"trim({out}, ' ')"
+def canonical(text: F.Column) -> F.Column:
+    out = F.regexp_replace(replaced(F.lower(text), LINES, HAS_LINES), PUNCTUATION, " ")
+    return F.trim(replaced(out, SPELLINGS, HAS_SPELLINGS))
 
 
 def known_licenses(spark: SparkSession, known: dict[str, str] = KNOWN) -> DataFrame:

@@ -75,10 +75,27 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
 
+def canonical_sql(text: str) -> str:
+    """licenses.canonical in DuckDB, said another way: by lists of lines and of words, and plain replacing of pairs of words."""
+    lines = f"list_filter(string_split(lower({text}), chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t]*((portions )?copyright\\b|[(]c[)]|©)'))"
+    kept = f"regexp_replace(replace(array_to_string({lines}, chr(10)), 'https://', 'http://'), '\\ball rights reserved\\b', ' ', 'g')"
+    words = f"regexp_extract_all(translate({kept}, '‘’“”‐‑‒–—―©', '           '), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    spelled = f"""list_transform({words}, lambda x: CASE
+        WHEN x IN ('licence', 'licences', 'licenced', 'licencee', 'licencees') THEN 'license' || substr(x, 8)
+        WHEN starts_with(x, 'favour') THEN 'favor' || substr(x, 7)
+        WHEN x = 'whilst' THEN 'while'
+        WHEN regexp_full_match(x, '(author|authori|organi|recogni)s(ation|ed|e|ing)') THEN regexp_replace(x, 's(ation|ed|e|ing)$', 'z\\1')
+        ELSE x END)"""
+    out = f"' ' || array_to_string({spelled}, '  ') || ' '"
+    for pair, to in ((" sub  license", " sublicense"), (" non  infringement ", " noninfringement "), (" copyright  owner ", " copyright  holder "), (" copyright  owners ", " copyright  holders "), (" per  cent ", " percent ")):
+        out = f"replace({out}, '{pair}', '{to}')"
+    return f"trim(replace({out}, '  ', ' '), ' ')"
+
+
 OP4_SQL = f"""
 WITH k(license_id, text) AS (VALUES {", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in KNOWN.items())}),
-known AS (SELECT license_id, sha256({licenses.canonical_sql("text")}) AS canonical_sha256 FROM k),
-d AS (SELECT doc_id, sha256({licenses.canonical_sql("text")}) AS canonical_sha256 FROM documents)
+known AS (SELECT license_id, sha256({canonical_sql("text")}) AS canonical_sha256 FROM k),
+d AS (SELECT doc_id, sha256({canonical_sql("text")}) AS canonical_sha256 FROM documents)
 SELECT doc_id, canonical_sha256, license_id FROM d LEFT JOIN known USING (canonical_sha256)"""
 
 OP6_SQL = """

@@ -286,6 +286,21 @@ def test_licenses(spark):
     assert licenses.known_licenses(spark).select("canonical_sha256").distinct().count() == len(KNOWN)
 
 
+def test_canonical_texts_are_those_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from sparkloom.llm.queries import canonical_sql
+
+    r = random.Random(3)
+    words_ = ["licence", "Licenced", "sub", "license", "sub licence", "non-infringement", "non", "infringement", "copyright owner", "Copyright", "owners", "(c)", "© 2020", "\n", "\n  copyright 2001 me\n", "\nPortions Copyright x", "All Rights Reserved.", "https://x.y/z", "organisation", "authorised", "recognise", "authors", "favourable", "whilst", "per", "cent", "per cent", "’quoted’", "—", "élicence", "日本", "x_y", "", "\t", "\r\n", "ris", "a.b"]
+    texts = [" ".join(r.choice(words_) for _ in range(r.randint(0, 30))) for _ in range(400)] + [*KNOWN.values()][:60]
+    got = [x.c for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", licenses.canonical(F.col("t")).alias("c")).orderBy("i").collect()]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (i INT, t VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    want = [x for (x,) in c.execute(f"SELECT {canonical_sql('t')} FROM t ORDER BY i").fetchall()]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="needs the system's licence texts")
 def test_complete_licenses_are_known(spark):
     whole = {n: open(f"/usr/share/common-licenses/{n}").read() for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0")}
