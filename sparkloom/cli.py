@@ -30,23 +30,23 @@ class Arguments:
 
 def parse_arguments(args: list[str]) -> Arguments:
     if not args:
-        raise UsageError("No arguments provided")
+        raise UsageError("nothing to do; give --input, --recipe and --output")
     got: dict[str, str] = {}
     rest = iter(args)
     for flag in rest:
         if not flag.startswith("--"):
-            raise UsageError(f"Invalid flag: '{flag}'")
+            raise UsageError(f"expected a flag in place of '{flag}'")
         if flag == "--cli":
             continue
         if flag not in FLAGS:
-            raise UsageError(f"Unknown flag: {flag}")
+            raise UsageError(f"there is no flag {flag}")
         value = next(rest, "--")
         if value.startswith("--"):
-            raise UsageError(f"Missing value for {flag}")
+            raise UsageError(f"{flag} needs a value")
         got[flag] = value
     for flag in FLAGS:
         if not got.get(flag, "").strip():
-            raise UsageError(f"Missing required flag: {flag}")
+            raise UsageError(f"{flag} is needed")
     return Arguments(*(got[f] for f in FLAGS))
 
 
@@ -71,11 +71,11 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         wanted = parse_arguments(args)
         run(spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), wanted)
     except recipes.RecipeError as e:
-        print(f"Error loading recipe: {e}", file=sys.stderr)
+        print(f"the recipe can't be read: {e}", file=sys.stderr)
     except PlanError as e:
-        print(f"Error building output schema: {e}", file=sys.stderr)
+        print(f"the recipe doesn't fit the table: {e}", file=sys.stderr)
     except Exception as e:  # noqa: BLE001  a run ends with 0 or 1
-        print(f"Error: {e}", file=sys.stderr)
+        print(f"failed: {e}", file=sys.stderr)
     else:
         return SUCCESS
     return FAILURE

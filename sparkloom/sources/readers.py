@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,7 +101,10 @@ def read_csv(spark: SparkSession, path: str, scope: int | None = HEAD, sep: str
 
 
 def _csv_literal(spark: SparkSession, path: str, scope: int | None, sep: str) -> TextRecords:
-    fields = F.split("value", rf'{"[" + sep + "]"}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    # a separator and what follows it up to the next one outside of quotes, in one pass over the line
+    one = re.escape(sep)
+    pattern = rf'{one}((?:[^"{one}]++|"[^"]*+"|"[^"]*+$)*+)'
+    fields = F.regexp_extract_all(F.concat(F.lit(sep), "value"), F.lit(pattern), 1)
     lines = spark.read.text(path).select(F.regexp_replace("value", f"^{BOM}", "").alias("value"))
     numbered = with_row_index(lines)
     head = numbered.where("row = 0").select(fields.alias("f")).collect()
