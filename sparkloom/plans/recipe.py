@@ -26,7 +26,7 @@ class Recipe:
 
     def __post_init__(self) -> None:
         if not self.name.strip():
-            raise RecipeError("Recipe name must not be blank")
+            raise RecipeError("a recipe needs a name")
 
 
 ITEM, ROOT_KEYS = "  - type: ", ("name", "description", "lastModified")
@@ -63,23 +63,23 @@ def read_enum(kind: type[Enum], text: str) -> Enum:
 def build_action(fields: dict[str, str]) -> Action:
     kind = fields.get("type", "")
     if kind not in KINDS:
-        raise RecipeError(f"Unknown action type: '{kind}'")
+        raise RecipeError(f"there is no action '{kind}'")
     cls, wanted = KINDS[kind]
     values = []
     for name, read in wanted.items():
         if name not in fields:
-            raise RecipeError(f"Missing required field '{name}' for {kind} action")
+            raise RecipeError(f"a {kind} action needs {name}")
     for name, read in wanted.items():
         text = fields[name]
         if read is str:
             if name == "targetFormat" and not text.strip():
-                raise RecipeError(f"Field '{name}' must not be empty for {kind} action")
+                raise RecipeError(f"{name} of a {kind} action is blank")
             values.append(text)
             continue
         try:
             values.append(read_enum(read, text))
         except ValueError as e:
-            raise RecipeError(f"Invalid enum value for {name}: '{text}'") from e
+            raise RecipeError(f"'{text}' is no {name}") from e
     return cls(*values)
 
 
@@ -88,7 +88,7 @@ def _timestamp(value: str) -> str:
     try:
         datetime.fromisoformat(text)
     except ValueError as e:
-        raise RecipeError(f"Invalid lastModified value: '{value}'") from e
+        raise RecipeError(f"lastModified is no time: '{value}'") from e
     return unquote(value)
 
 
@@ -103,11 +103,11 @@ def parse(text: str) -> Recipe:
             if line == "actions:":
                 items = []
             elif line != "actions: []":
-                key, value = _pair(line, f"Malformed root-level line: '{line}'")
+                key, value = _pair(line, f"a line that is no key and value: '{line}'")
                 if key not in ROOT_KEYS:
-                    raise RecipeError(f"Unknown root-level key: '{key}'")
+                    raise RecipeError(f"a recipe has no key '{key}'")
                 if root.get(key) if key == "name" else key in root:
-                    raise RecipeError(f"Duplicate root-level key: '{key}'")
+                    raise RecipeError(f"the key '{key}' stands twice")
                 root[key] = _timestamp(value) if key == "lastModified" else unquote(value)
         elif line.startswith(ITEM):
             items.append({"type": line.removeprefix(ITEM)})
@@ -115,10 +115,10 @@ def parse(text: str) -> Recipe:
             key, value = _pair(line[4:], f"Malformed action field: '{line}'")
             items[-1][key] = unquote(value)
         else:
-            raise RecipeError(f"Unexpected line in actions context: '{line}'")
+            raise RecipeError(f"a line that belongs to no action: '{line}'")
     actions = tuple(map(build_action, items or []))
     if not root.get("name"):
-        raise RecipeError("Missing required field: 'name'")
+        raise RecipeError("a recipe needs a name")
     return Recipe(root["name"], actions, root.get("description"), root.get("lastModified"))
 
 
@@ -149,7 +149,7 @@ def from_json(text: str) -> Recipe:
 
 def load(path: str) -> Recipe:
     if not Path(path).exists():
-        raise RecipeError(f"Recipe file not found: {path}")
+        raise RecipeError(f"no recipe at {path}")
     return parse(Path(path).read_text("utf-8-sig"))
 
 

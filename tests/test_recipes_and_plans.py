@@ -25,19 +25,19 @@ def test_round_trips():
 @pytest.mark.parametrize(
     "text,error",
     [
-        ("actions: []", "Missing required field: 'name'"),
-        ("name: a\nname: b", "Duplicate root-level key: 'name'"),
-        ("name: a\nfoo: b", "Unknown root-level key: 'foo'"),
-        ("name: a\nfoo", "Malformed root-level line"),
-        ("name: a\nlastModified: soon", "Invalid lastModified value"),
-        ("name: a\nactions:\n  - type: sort", "Unknown action type: 'sort'"),
-        ("name: a\nactions:\n- type: delete", "Unexpected line in actions context"),
-        ("name: a\nactions:\n    columnName: x", "Unexpected line in actions context"),
+        ("actions: []", "a recipe needs a name"),
+        ("name: a\nname: b", "the key 'name' stands twice"),
+        ("name: a\nfoo: b", "a recipe has no key 'foo'"),
+        ("name: a\nfoo", "no key and value"),
+        ("name: a\nlastModified: soon", "lastModified is no time"),
+        ("name: a\nactions:\n  - type: sort", "there is no action 'sort'"),
+        ("name: a\nactions:\n- type: delete", "belongs to no action"),
+        ("name: a\nactions:\n    columnName: x", "belongs to no action"),
         ("name: a\nactions:\n  - type: delete\n    columnName", "Malformed action field"),
-        ("name: a\nactions:\n  - type: rename\n    oldName: x", "Missing required field 'newName' for rename action"),
-        ("name: a\nactions:\n  - type: cast\n    columnName: x\n    targetType: boolean", "Invalid enum value for targetType: 'boolean'"),
-        ("name: a\nactions:\n  - type: filter\n    columnName: x\n    operator: like\n    value: y", "Invalid enum value for operator: 'like'"),
-        ('name: a\nactions:\n  - type: format_timestamp\n    columnName: x\n    targetFormat: " "', "must not be empty"),
+        ("name: a\nactions:\n  - type: rename\n    oldName: x", "a rename action needs newName"),
+        ("name: a\nactions:\n  - type: cast\n    columnName: x\n    targetType: boolean", "'boolean' is no targetType"),
+        ("name: a\nactions:\n  - type: filter\n    columnName: x\n    operator: like\n    value: y", "'like' is no operator"),
+        ('name: a\nactions:\n  - type: format_timestamp\n    columnName: x\n    targetFormat: " "', "is blank"),
     ],
 )
 def test_refused_recipes(text, error):
