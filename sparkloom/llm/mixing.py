@@ -11,6 +11,8 @@ others; sources without words have target 0; an empty table gives none. Other co
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows in a bucket, and the least number of buckets, so that also a source with most of few rows is spread over tasks.
 BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
+#: Sources in a range whose places are counted in one task.
+SOURCES = 100_000
 
 
 def order_key(doc_id: F.Column, text_hash: F.Column) -> F.Column:
@@ -28,20 +32,32 @@ def order_key(doc_id: F.Column, text_hash: F.Column) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, text_hash, F.lit("mix")), 1)
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
-    """Adds target (double) to (source, source_size): share by weight, none above epochs times its size, the excess given to the others by weight.
+def targets(sources: DataFrame, store: Store, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """Adds target (double) to (source, source_size), a saved table: share by weight, none above epochs times its size, the
+    excess given to the others by weight.
 
-    In order of size/weight the capped sources come first, so the level at which the rest share follows from running sums.
-    The windows without a key hold one row per source, not per document.
+    Places in code point order come from ranges of sources, so no task has all of them. The level up to which sources
+    are filled, in words a weight, rises from round to round as sources that it fills are set aside; a round is a sum.
     """
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    every = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = sources.select("source", "source_size", weight.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(float(epochs))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x = x.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - before) / F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    x = x.withColumn("level", F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(every))
-    return x.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    order = F.col("source").asc_nulls_last()
+    ranged = sources.repartitionByRange(parts(sources.count(), SOURCES), order).sortWithinPartitions(order)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = store.save(ranged.select("source", "source_size", F.spark_partition_id().alias("part"), at.alias("at")), "ranged")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))  # a row per range
+    place = ((F.col("before") + F.col("at")) % len(weights) + 1).cast("int")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), place)
+    x = ranged.join(F.broadcast(offsets), "part").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(epochs))).alias("cap"))
+    total, level = x.agg(F.sum("source_size")).first()[0], 0.0
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        capped, rest = x.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        higher = ((total or 0) * share - capped) / rest if rest else math.inf
+        if not rest or higher <= level:
+            break
+        level = higher
+    target = F.least("cap", F.lit(level) * F.col("weight")) if rest else F.col("cap")
+    return x.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -57,7 +73,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = min(parts(sized.count(), bucket_rows, LEAST_BUCKETS), 1 << 30)
     sized = sized.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 31))
     sums = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
-    each = targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))).withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).drop("source")
+    sums = store.save(sums, "sums")
+    sources = store.save(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")), "sources")
+    each = targets(sources, store, weights, share, epochs).withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).drop("source")
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = store.save(sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("ahead")).join(each, "skey"), "cuts")
     within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)

@@ -126,6 +126,17 @@ def test_mixing(docs):
     assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in again)
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 60)
+    r = random.Random(4)
+    sizes = {f"host{i}.example": int(r.paretovariate(0.6) * 10) for i in range(500)} | {None: 70, "": 0, "Z": 5}
+    store = Store(spark, "test")
+    sources = store.save(spark.createDataFrame([*sizes.items()], "source string, source_size long").repartition(3), "sources")
+    got = {x.source: x.target for x in mixing.targets(sources, store).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
 def test_cuts_take_whole_documents(docs):
     mixed = mixing.mix(docs)
     cuts = {r.source: r for r in mixing.cuts(mixed).collect()}
