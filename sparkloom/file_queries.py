@@ -359,6 +359,14 @@ def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return port.rows(customers)
 
 
+@query('SELECT row_number() OVER (ORDER BY event_id) - 1 AS "row", \'{"event_id":\' || event_id || \'}\' AS value FROM events ORDER BY "row" LIMIT 40 OFFSET 500')
+def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of a file's records by their places, from a store in which they are numbered once."""
+    file = json_file(spark, read(spark, sf_dir, "events", "event_id").orderBy("event_id"))
+    store = navigation.RowStore.build(readers.read_json_lines(spark, file).frame, scratch(spark, "rows"))
+    return store.rows(500, 40)
+
+
 @query("SELECT n_nationkey, unnest(['n: ' || n_nationkey, 's: \"a\\\"b\\n\"', 'z: <null>', 'f: 1.50', 'o: {Object: 2 properties}', 'l: [Array: 0 items]', 'b: true']) AS node FROM nation")
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers keep their decimals, and strings are quoted and escaped."""

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import jsontext
@@ -67,6 +67,33 @@ def in_range(records: DataFrame, number: int, size: int = RANGE) -> DataFrame:
     return with_row_index(records, "row").where((F.col("row") >= number * size) & (F.col("row") < (number + 1) * size))
 
 
+@dataclass(frozen=True)
+class RowStore:
+    """Records with their places, kept in a folder so that any range of them is read by itself.
+
+    The places are in order within the files and pages of the folder, whose statistics tell a scan what to skip; so a
+    range costs its own pages, wherever it stands, and the records are numbered once.
+    """
+
+    frame: DataFrame
+
+    @classmethod
+    def build(cls, records: DataFrame, folder: str) -> RowStore:
+        with_row_index(records, "row").write.parquet(folder)
+        return cls.open(records.sparkSession, folder)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> RowStore:
+        return cls(spark.read.parquet(folder))
+
+    def rows(self, first: int, n: int) -> DataFrame:
+        """The records at the places first to first + n - 1, in order."""
+        return self.frame.where((F.col("row") >= first) & (F.col("row") < first + n)).orderBy("row")
+
+    def range(self, number: int, size: int = RANGE) -> DataFrame:
+        return self.rows(number * size, size)
+
+
 def tree_text(label: str, value: jsontext.Value) -> str:
     """A node as a tree shows it."""
     if value.kind == "string":

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions.predicates import Operator as Op
 from sparkloom.operators import drilldown as D
@@ -170,3 +171,14 @@ def test_json_files(spark, file):
     assert rows(readers.object_entries(spark, file("o.json", '{"b":1,"a":2,"b":3}'))) == [(0, "b", "3"), (1, "a", "2")]
     assert D.path_of([("object", "a"), ("array", "[0]"), ("object", "[1]")]) == (D.Key("a"), D.Index("[0]"), D.Key("[1]"))
     assert D.path_text((D.Key("a"), D.Index("[0]"), D.Key("b"))) == "a[*] > b" and D.path_text(()) == "root"
+
+
+def test_row_store_reads_a_range_by_itself(spark, tmp_path):
+    from sparkloom.operators.navigation import RowStore
+
+    frame = spark.range(5000).select(F.concat(F.lit("v"), "id").alias("value")).coalesce(3)
+    store = RowStore.build(frame, str(tmp_path / "rows"))
+    assert [tuple(r) for r in RowStore.open(spark, str(tmp_path / "rows")).rows(2999, 3).select("row", "value").collect()] == [(k, f"v{k}") for k in (2999, 3000, 3001)]
+    assert [r.row for r in store.range(4, 1000).select("row").collect()] == list(range(4000, 5000))
+    plan = store.rows(10, 5)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(row,10)" in plan and "LessThan(row,15)" in plan  # pushed to the scan
