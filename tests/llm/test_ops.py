@@ -191,6 +191,22 @@ def test_a_group_of_more_bytes_than_a_shard_is_split(spark):
     assert got[got["doc_id"] >= 5000]["shard"].nunique() > 1 and sizes.max() <= 1.1 * sizes.mean()
 
 
+@pytest.mark.parametrize("weights", [(1.0, 1.0, 1.0), sharding.WEIGHTS])
+def test_packing_is_that_of_plain_loops(weights):
+    r = np.random.default_rng(5)
+    sizes, shards, turn = r.random((300, 3)) / 100, 7, 3
+    left = [[1 / shards] * 3 for _ in range(shards)]
+    want = []
+    for own in sizes:
+        score = lambda k: sum(w * x * y for w, x, y in zip(weights, left[k], own, strict=True))
+        best = max(((k + turn) % shards for k in range(shards)), key=lambda k: round(score(k), 15))
+        left[best] = [x - y for x, y in zip(left[best], own, strict=True)]
+        want.append(best)
+    residual = np.full((shards, 3), 1 / shards)
+    got = sharding.pack(sizes, residual, turn, weights)
+    assert got.tolist() == want and np.allclose(residual, left)
+
+
 def test_packing_takes_the_highest_dot_product():
     residual = np.array([[1.0, 0.1], [0.1, 1.0]])
     assert sharding.pack(np.array([[0.5, 0.0], [0.0, 0.5]]), residual, 0, (1.0, 1.0)).tolist() == [0, 1]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -10,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from sparkloom.llm import decontaminate, language, mixing, queries, simhash
+import test_ops
+from sparkloom.llm import language, queries
 from sparkloom.llm.store import Store
 
 duckdb = pytest.importorskip("duckdb")
@@ -90,18 +93,36 @@ def test_stages(spark, documents):
     assert sum((rows(docs) - rows(kept)).values()) > 4
 
     unique = store.save(stages["simhash_near_dedup"](spark, kept, SF), "b")
-    found = {r.doc_id: r.component_id for r in simhash.near_dedup(kept).collect()}
-    assert rows(unique) == Counter({k: 1 for k in rows(kept) if found[k[0]] == k[0]})
+    some = sorted(rows(kept), key=lambda k: (k[0] is None, k[0] or 0))
+    same = test_ops.brute_components([test_ops.brute_fingerprint(k[1]) for k in some], [math.inf if k[0] is None else k[0] for k in some])
+    assert rows(unique) == Counter({k: 1 for k, c in zip(some, same, strict=True) if c == (math.inf if k[0] is None else k[0])})
 
     clean = store.save(stages["decontamination"](spark, unique, SF), "c")
-    bad = {r.doc_id for r in decontaminate.decontaminate(unique, queries.table(spark, SF, "benchmark")).where("contaminated").collect()}
-    assert bad and rows(clean) == Counter({k: n for k, n in rows(unique).items() if k[0] not in bad})
+    windows = {}
+    for r in queries.table(spark, SF, "benchmark").collect():
+        w = test_ops.words(r.text)
+        for k in range(max(len(w) - 13, 0) + 1 if w else 0):
+            windows.setdefault(len(w[k : k + 13]), set()).add(tuple(w[k : k + 13]))
+
+    def contaminated(text):
+        w = test_ops.words(text)
+        hit = {p for n, own in windows.items() for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in own for p in range(k, k + n)}
+        return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+    bad = {k for k in rows(unique) if contaminated(k[1])}
+    assert bad and rows(clean) == Counter({k: n for k, n in rows(unique).items() if k not in bad})
 
     mixed = store.save(stages["mixing"](spark, clean, SF), "d")
-    taken = {r.doc_id: r for r in mixing.mix(clean).collect()}
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    sizes, taken, longest = Counter(), Counter(), Counter()
+    for k, n in rows(clean).items():
+        sizes[k[3]] += size(k[1]) * n
+        longest[k[3]] = max(longest[k[3]], size(k[1]))
     for k, n in rows(mixed).items():
-        assert taken[k[0]].size == 0 or abs(n - taken[k[0]].taken / taken[k[0]].size) <= 0.5
-    assert {k[0] for k in rows(mixed)} >= {i for i, r in taken.items() if r.size and r.taken > r.size / 2}
+        taken[k[3]] += size(k[1]) * n
+        assert n <= 2 and k in rows(clean)
+    target = test_ops.brute_targets(sizes)
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1 for s in sizes)
 
     tokens = stages["token_files"](spark, mixed, SF).orderBy("start").collect()
     assert len(tokens) == mixed.count()
