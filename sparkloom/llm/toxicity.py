@@ -347,28 +347,40 @@ def scored(docs: DataFrame, model: Model, weights: np.ndarray, prior: float) ->
     return docs.mapInArrow(run, schema)
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, toxic) to (a, b, c, d, toxic, n): the features, and the words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+@dataclass
+class Folds:
+    """The models of the sample's parts, which share their strings."""
+
+    models: list[Model]
+
+    def __getstate__(self) -> bytes:
+        return zstandard.compress(pickle.dumps([m.__dict__ for m in self.models], protocol=5))
+
+    def __setstate__(self, state: bytes) -> None:
+        self.models = [Model(**own) for own in pickle.loads(zstandard.decompress(state))]
+
+
+def measured(sample: DataFrame, folds: Folds) -> DataFrame:
+    """sample (text, fold, toxic) to (a, b, c, d, toxic, n): the features by the model of the document's part, and the words."""
+    shared = sample.sparkSession.sparkContext.broadcast(folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence.by(shared.value)
         for batch in batches:
-            x, n = features_of(evidence, batch.column(0))
-            cols = [*[pa.array(x[:, k]) for k in range(4)], batch.column(1), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "c", "d", "toxic", "n"])
+            for f in pc.unique(batch.column(1)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(1), f))
+                x, n = features_of(Evidence.by(shared.value.models[f]), own.column(0))
+                cols = [*[pa.array(x[:, k]) for k in range(4)], own.column(2), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "c", "d", "toxic", "n"])
 
-    return docs.select("text", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int, n long")
+    return sample.select("text", "fold", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int, n long")
 
 
 def learn(labelled: DataFrame, store: Store) -> tuple[Model, np.ndarray]:
     """labelled (text, fold, toxic), with both classes: the model of all documents, and the weights of the calibration."""
-    counted, rows = Counted.gather(store.save(count_grams(labelled), "grams")), []
+    counted = Counted.gather(store.save(count_grams(labelled), "grams"))
     store.drop("grams")
-    for f in range(FOLDS):
-        part = measured(labelled.where(F.col("fold") == f), counted.model(f))
-        rows.append(part.where("n > 0").toArrow().to_pandas())
-    rows = pd.concat(rows)
+    folds = Folds([counted.model(f) for f in range(FOLDS)])
+    rows = measured(labelled.where("fold >= 0"), folds).where("n > 0").toArrow().to_pandas()
     return counted.model(), fit(rows[["a", "b", "c", "d"]].to_numpy(), rows["toxic"].to_numpy(float))
 
 
