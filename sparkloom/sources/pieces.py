@@ -13,9 +13,11 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,52 +118,32 @@ def starts(pieces: DataFrame) -> tuple[dict[int, Start], int]:
 CUT = "pos long, part int, whole boolean, text string"
 
 
-def cut(start: dict[int, Start], last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cut(told: Broadcast, first_part: int, last_part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(value, part) to what lies between the commas of depth 1: (pos, part, whole, text); not whole: some other part has more of it."""
-    first_part, last_part = min(start), max(start)
+
+    def rows(out: list[tuple[int, int, bool, str]]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.bool_(), pa.string())
+        cols = zip(*out, strict=True) if out else [[]] * 4
+        arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CUT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, opened = None, [], False
-        out: list[tuple[int, int, bool, str]] = []
-        scan = place = None
-
-        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal part, scan, place, opened
-            for batch in batches:
-                if batch.num_rows and part is None:
-                    part = batch.column(1)[0].as_py()
-                    scan, place, opened = Scan(start[part].within, start[part].depth), start[part].place, part == first_part
-                if batch.num_rows:
-                    yield batch
-
-        def rows() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            types = (pa.int64(), pa.int32(), pa.bool_(), pa.string())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in CUT.split(", ")])
-            out.clear()
-            return made
-
-        batches = numbered(batches)
-        head = next(batches, None)
-        if head is None:
+        batches = (b for b in batches if b.num_rows)
+        if (head := next(batches, None)) is None:
             return
-
-        def every() -> Iterator[pa.RecordBatch]:
-            yield head
-            yield from batches
-
-        for text in _texts(every(), part == first_part):
-            raw = text.encode("utf-8", "surrogatepass")
+        part = head.column(1)[0].as_py()
+        begin, opened = told.value[part], part == first_part
+        scan, place, held = Scan(begin.within, begin.depth), begin.place, []
+        for text in _texts(chain([head], batches), opened):
+            raw, at, out = text.encode("utf-8", "surrogatepass"), 0, []
             found, depths = scan.commas(np.frombuffer(raw, np.uint8))
-            at = 0
             for k in found[depths == 1].tolist():
                 held.append(raw[at:k].decode("utf-8", "surrogatepass"))
                 out.append((place, part, opened, "".join(held)))
                 held, opened, place, at = [], True, place + 1, k + 1
             held.append(raw[at:].decode("utf-8", "surrogatepass"))
-            yield rows()
-        out.append((place, part, opened and part == last_part, "".join(held)))
-        yield rows()
+            yield rows(out)
+        yield rows([(place, part, opened and part == last_part, "".join(held))])
 
     return run
 
@@ -170,7 +152,7 @@ def fragments(spark: SparkSession, path: str, opening: str) -> DataFrame:
     """(pos, text): what lies between the commas of depth 1 of a file's array or object, in order, without its brackets."""
     pieces = spark.read.option("lineSep", ",").text(path).withColumn("part", F.spark_partition_id())
     start, last = starts(pieces)
-    found = pieces.mapInArrow(cut(start, last), CUT)
+    found = pieces.mapInArrow(cut(spark.sparkContext.broadcast(start), min(start), max(start)), CUT)
     if len(start) > 1:
         spanning = found.where("NOT whole").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("t"))
         joined = spanning.select("pos", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
