@@ -30,7 +30,6 @@ from sparkloom.llm.store import Store, small_side
 
 #: What separates words in a text of either case, and once A-Z are lower-cased (fixed by the contract).
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = SEPARATOR.replace("[", "[^", 1)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a window; the rarest places of a window whose pairs are looked up for proximity (one word changed leaves a
 #: pair of three); terms in one broadcast (some 40 bytes each).
@@ -42,8 +41,10 @@ def words(text: F.Column) -> F.Column:
     return F.split(F.coalesce(text, F.lit("")), SEPARATOR)
 
 
-def count_words(text: F.Column) -> F.Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+def count_words(pieces: F.Column) -> F.Column:
+    n = F.size(pieces)
+    edges = (F.element_at(pieces, 1) == "").cast("int") + ((n > 1) & (F.element_at(pieces, -1) == "")).cast("int")
+    return (n - edges).cast("long")
 
 
 def term(word: F.Column) -> F.Column:
@@ -161,8 +162,9 @@ def search(
     index: str | None = None,
     only_hits: bool = False,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Exact phrase matches, a row per document: doc_id, n_words, n_hit, n_items, items_sha256, items, dkey; and, unless
-    `within` is 0, the proximity matches (doc_id, dkey, item_id, pos, pos2) of terms within so many words of each other.
+    """Exact phrase matches, a row per document: doc_id, n_words, n_hit, n_items, items_sha256, items, n_near, dkey; and,
+    unless `within` is 0, the proximity matches (dkey, item_id, pos, pos2) of terms within so many words of each other,
+    of whose items n_near are in the document.
 
     pos and pos2 count from the text's first piece, pos being of the lesser term. index: a folder that keeps the postings.
     only_hits: documents without a match are left out, so that only the others' words are counted.
@@ -194,31 +196,36 @@ def search(
     of = store.save(wins.select("digest", F.col("item_id").cast("string").alias("item")).distinct(), "of")
     items_of = hits.select("dkey", F.explode("digests").alias("digest")).join(small_side(of, store, "of"), "digest")
     found = items_of.groupBy("dkey").agg(F.array_sort(F.collect_set("item")).alias("items")).join(hits.select("dkey", "n_hit"), "dkey")
-    found = store.save(found.withColumnRenamed("dkey", "hit_key"), "found")
-    x = keyed.join(small_side(found, store, "found"), F.col("dkey") == F.col("hit_key"), "inner" if only_hits else "left")
-    own = F.coalesce("items", F.array().cast("array<string>"))
-    x = x.select("doc_id", count_words(F.col("text")).alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(own).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", own), 256).alias("items_sha256"), own.alias("items"), "dkey")
-    near = None
+    near, counts_near = None, F.lit(0).cast("long").alias("n_near")
     if within:
         of_pairs = small_side(pairs, store, "pairs")
-        near = store.save(proximity_matches(met.where(F.col("pos2") - F.col("pos") <= within), of_pairs).join(of_pairs, ["term", "term2"]).select("dkey", "item_id", "pos", "pos2").distinct(), "near")
+        close = proximity_matches(met.where(F.col("pos2") - F.col("pos") <= within), of_pairs).join(of_pairs, ["term", "term2"])
+        near = store.save(close.select("dkey", "item_id", "pos", "pos2").distinct(), "near")
+        n_near = near.groupBy("dkey").agg(F.count_distinct("item_id").alias("n_near"))
+        found, counts_near = found.join(n_near, "dkey", "full"), "n_near"
+    found = store.save(found.select(F.col("dkey").alias("hit_key"), "items", "n_hit", counts_near), "found")
+    side, same = small_side(found, store, "found"), F.col("dkey") == F.col("hit_key")
+    x = keyed.join(side, same) if only_hits else keyed
+    # the words stand in a column of their own, so that they are found once, whatever is asked of them
+    x = x.withColumn("pieces", F.explode(F.array(words(F.col("text"))))).withColumn("n_words", count_words(F.col("pieces"))).drop("text", "pieces")
+    x = x if only_hits else x.join(side, same, "left")  # without the text, which then is not shuffled
+    own, some = F.coalesce("items", F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    digest = F.sha2(F.concat_ws(",", own), 256).alias("items_sha256")
+    x = x.select("doc_id", "n_words", some("n_hit"), F.size(own).cast("long").alias("n_items"), digest, own.alias("items"), some("n_near"), "dkey")
     store.drop("items", "vocabulary", "counts", "windows", "exact", "terms", "maybe", "hits", "of", "met", *(() if index else ("postings",)))
     return x, near
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **options: object) -> DataFrame:
     """Exact phrase matches, with contaminated: some word is hit, and at least one in `share` words."""
-    return judged(search(docs, benchmark, window, 0, **options)[0], share)
+    return judged(search(docs, benchmark, window, 0, **options)[0], share).drop("n_near")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, within: int = WINDOW, id_col: str = "doc_id", **columns: str) -> tuple[DataFrame, DataFrame]:
-    """What decontaminate gives, with n_near (items whose rare words stand near each other in the document), and the
-    proximity matches (doc_id, item_id, pos, pos2) themselves, all from the same postings."""
-    hits, near = search(docs, benchmark, window, within, id_col, **columns)
-    n_near = near.select("dkey", "item_id").distinct().groupBy("dkey").agg(F.count(F.lit(1)).alias("n_near")).withColumnRenamed("dkey", "near_key")
-    x = judged(hits, share).join(n_near, F.col("dkey") == F.col("near_key"), "left").drop("near_key")
-    owners = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, columns.get("text_col", "text")).alias("dkey")).distinct()
-    return x.withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long")), near.join(owners, "dkey").select("doc_id", "item_id", "pos", "pos2")
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, within: int = WINDOW, id_col: str = "doc_id", **options: object) -> tuple[DataFrame, DataFrame]:
+    """What decontaminate gives, with n_near, and the proximity matches (doc_id, item_id, pos, pos2) themselves, all from the same postings."""
+    hits, near = search(docs, benchmark, window, within, id_col, **options)
+    owners = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, options.get("text_col", "text")).alias("dkey")).distinct()
+    return judged(hits, share), near.join(owners, "dkey").select("doc_id", "item_id", "pos", "pos2")
 
 
 def judged(hits: DataFrame, share: int) -> DataFrame:
