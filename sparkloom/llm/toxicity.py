@@ -281,12 +281,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> n
 
 def count_grams(labelled: DataFrame) -> DataFrame:
     """labelled (text, fold, toxic as 0 or 1; fold -1: not in the sample) to (gram, fold, toxic, ordinary): the n-grams
-    of ORDER characters, with one shuffle of each task's distinct ones."""
+    of ORDER characters. A shuffle of each task's distinct words, and one of the n-grams of the distinct words of all."""
+    sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
     found = labelled.select("text", "fold", "toxic").mapInArrow(word_counts, "word string, fold int, toxic long, ordinary long")
     padded = F.concat(F.lit(START * (ORDER - 1)), "word", F.lit(END))
     each = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
-    grams = found.select(F.explode(each).alias("gram"), "fold", "toxic", "ordinary").groupBy("gram", "fold")
-    return grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    grams = found.groupBy("word", "fold").agg(*sums).select(F.explode(each).alias("gram"), "fold", "toxic", "ordinary")
+    return grams.groupBy("gram", "fold").agg(*sums)
 
 
 def code_points(grams: pa.StringArray) -> np.ndarray:
