@@ -140,7 +140,7 @@ def verified(keyed: DataFrame, maybe: DataFrame) -> DataFrame:
     two rarest terms stand there.
     """
     own = F.explode(F.array(words(F.translate("text", UPPER, LOWER)))).alias("own")  # once a document, not once a candidate
-    texts = keyed.join(maybe, "dkey").select("dkey", "maybe", own).dropDuplicates(["dkey"])
+    texts = keyed.join(maybe, "dkey").select("dkey", "maybe", own)
     sure = F.expr("filter(maybe, c -> unhex(sha2(concat_ws(' ', slice(own, c.start + 1, c.len)), 256)) = c.digest)")
     covered = F.expr("""
         aggregate(array_sort(transform(sure, c -> struct(CAST(c.start AS bigint) AS start, c.len AS len))),
@@ -148,7 +148,8 @@ def verified(keyed: DataFrame, maybe: DataFrame) -> DataFrame:
             (a, s) -> struct(a.n + greatest(CAST(0 AS bigint), s.start + s.len - greatest(a.to, s.start)) AS n,
                              greatest(a.to, s.start + s.len) AS to)).n""")
     x = texts.select("dkey", F.explode(F.array(sure)).alias("sure")).where(F.size("sure") > 0)
-    return x.select("dkey", covered.alias("n_hit"), F.array_distinct(F.transform("sure", lambda c: c["digest"])).alias("digests"))
+    x = x.select("dkey", covered.alias("n_hit"), F.array_distinct(F.transform("sure", lambda c: c["digest"])).alias("digests"))
+    return x.dropDuplicates(["dkey"])  # rows that repeat id and text; their words are gone by now
 
 
 def search(
