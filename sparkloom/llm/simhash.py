@@ -37,7 +37,7 @@ from sparkloom.llm.store import Store, parts
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints of an anchor that are compared in one cell; entries that a task compares; shingles whose bits are summed at once.
-CELL, TASK_ENTRIES, CHUNK = 20_000, 1_500_000, 1 << 17
+CELL, TASK_ENTRIES, CHUNK = 20_000, 750_000, 1 << 17
 #: Distinct fingerprints from which on a third block is coded; bits of the hash that tells whether an anchor is split, and of a part's number.
 DENSE, SLOT_BITS, PART_BITS = 50_000_000, 24, 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
