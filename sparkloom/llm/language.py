@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store
+from sparkloom.llm.store import Store, tidy
 
 SAMPLE, NEAR, UNKNOWN = 4000, 0.1, "und"
 #: The share of its n-grams that a kept document's language contains at least.
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, near: float = NEAR) -> Filters:
     sizes = F.broadcast(spark.createDataFrame(each, "lang string, share double, drawn double"))  # a row per language
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53))
     drawn = usable.join(sizes, "lang").where(u < F.col("share")).select("lang", "text")
-    found = drawn.mapInArrow(gram_counts(names), "lang string, gram long, n long")
+    found = drawn.mapInArrow(tidy(gram_counts(names)), "lang string, gram long, n long")
     table = store.save(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     rate = F.col("n") / F.col("drawn")
     most = F.max(rate).over(Window.partitionBy("gram"))  # a row per language at most
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "text_hash", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, lang_pred string, score double")
+    return own.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", lang_col: str = "lang", least: float = LEAST) -> DataFrame:
@@ -190,7 +190,7 @@ def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text", lang_c
             known = pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(known)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> F.Column:

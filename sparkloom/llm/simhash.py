@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.store import Store, parts
+from sparkloom.llm.store import Store, parts, tidy
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints of an anchor that are compared in one cell; entries that a task compares; shingles whose bits are summed at once.
@@ -307,11 +307,11 @@ def links_of(fps: DataFrame, rows: int, distance: int, cell: int, task_entries:
     fps = fps.repartition(tasks)
     split = None
     if rows > cell:
-        split = parts_of(fps.mapInArrow(count_anchors(distance, dense, cell / 2 / tasks), "slot long, n long"), cell)
+        split = parts_of(fps.mapInArrow(tidy(count_anchors(distance, dense, cell / 2 / tasks)), "slot long, n long"), cell)
         split = None if split is None else sc.broadcast(split)
     comparing = parts(rows * (155 if dense else 62), task_entries, 12)
-    packs = fps.mapInArrow(send(distance, dense, comparing, split), "task long, cells binary, fps binary")
-    return packs.repartition(comparing, "task").mapInArrow(compare(distance), "a long, b long")
+    packs = fps.mapInArrow(tidy(send(distance, dense, comparing, split)), "task long, cells binary, fps binary")
+    return packs.repartition(comparing, "task").mapInArrow(tidy(compare(distance)), "a long, b long")
 
 
 def near_dedup(
@@ -328,7 +328,7 @@ def near_dedup(
     store = Store(docs.sparkSession, "near_dedup")
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = store.save(own.mapInArrow(lambda b: fingerprints(b, size), f"doc_id {kind}, text_hash long, fp long"), "marked")
+    marked = store.save(own.mapInArrow(tidy(lambda b: fingerprints(b, size)), f"doc_id {kind}, text_hash long, fp long"), "marked")
     distinct = store.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     rows = distinct.count()
     links = links_of(distinct.select("fp"), rows, distance, cell, task_entries, rows >= dense_from)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -97,3 +102,19 @@ def small_side(df: DataFrame, store: Store, name: str) -> DataFrame:
 def parts(rows: int, per_task: int, least: int = 1) -> int:
     """Tasks for so many rows, so that a task's share has a bound at any size."""
     return max(least, -(-rows // per_task))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function that in the end returns to the system what its worker has freed, as the worker lives on beside the JVM."""
+
+    @wraps(run)
+    def tidied(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store, parts
+from sparkloom.llm.store import Store, parts, tidy
 
 MAGIC, FOOTER = b"SLPLANE1", struct.Struct("<QQI8s")
 #: Ids of a block; zstandard's level; ids after which a task begins another file; documents of a task, and bytes of their texts; pretokens that a worker remembers.
@@ -271,7 +271,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, i
     rows, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     tasks = max(parts(rows, task_docs, 1), parts(size or 0, TASK_BYTES, 1))
     ranged = own.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(write(tokenizer, end_id, folder, bits, file_ids), "part int, file int, name string, n_docs long, n_ids long")
+    written = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(write(tokenizer, end_id, folder, bits, file_ids)), "part int, file int, name string, n_docs long, n_ids long")
     files = store.save(written, "files")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
@@ -281,7 +281,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
     """The documents of the files: doc_id, start, n_tokens, ids_crc32, name; a task reads a file."""
     spark: SparkSession = files.sparkSession
     n = files.count()
-    return files.select("name", "start").repartition(max(n, 1), "name").mapInArrow(read_back(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, name string") if n else spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, name string")
+    return files.select("name", "start").repartition(max(n, 1), "name").mapInArrow(tidy(read_back(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long, name string") if n else spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, name string")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: bool = False, **columns: str) -> DataFrame:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store, small_side
+from sparkloom.llm.store import Store, small_side, tidy
 
 ORDER, DISCOUNT, SHARED = 7, 0.75, 40.0
 WINDOW, SAMPLE, FOLDS = 8, 6_000, 4
@@ -283,7 +283,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """labelled (text, fold, toxic as 0 or 1; fold -1: not in the sample) to (gram, fold, toxic, ordinary): the n-grams
     of ORDER characters. A shuffle of each task's distinct words, and one of the n-grams of the distinct words of all."""
     sums = [F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")]
-    found = labelled.select("text", "fold", "toxic").mapInArrow(word_counts, "word string, fold int, toxic long, ordinary long")
+    found = labelled.select("text", "fold", "toxic").mapInArrow(tidy(word_counts), "word string, fold int, toxic long, ordinary long")
     padded = F.concat(F.lit(START * (ORDER - 1)), "word", F.lit(END))
     each = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
     grams = found.groupBy("word", "fold").agg(*sums).select(F.explode(each).alias("gram"), "fold", "toxic", "ordinary")
@@ -345,7 +345,7 @@ def scored(docs: DataFrame, model: Model, weights: np.ndarray, prior: float) ->
             cols = [score if c == at else batch.column(c) for c in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, ["score" if c == "text" else c for c in names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 @dataclass
@@ -373,7 +373,7 @@ def measured(sample: DataFrame, folds: Folds) -> DataFrame:
                 cols = [*[pa.array(x[:, k]) for k in range(4)], own.column(2), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(cols, ["a", "b", "c", "d", "toxic", "n"])
 
-    return sample.select("text", "fold", "toxic").mapInArrow(run, "a double, b double, c double, d double, toxic int, n long")
+    return sample.select("text", "fold", "toxic").mapInArrow(tidy(run), "a double, b double, c double, d double, toxic int, n long")
 
 
 def learn(labelled: DataFrame, store: Store) -> tuple[Model, np.ndarray]:

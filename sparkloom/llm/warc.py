@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store, small_side
+from sparkloom.llm.store import Store, small_side, tidy
 
 #: Magic of the dictionary's frame (zstandard's skippable frames have 0x184D2A50 to 5F) and of zstandard's own frames.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -250,7 +250,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     shared = store.save(shared, "shared")
     dictionary = train([r.s.encode("utf-8", "surrogatepass") for r in drawn(own, pages.count()).collect()])
     dealt = keyed.join(small_side(shared, store, "shared"), "sha1", "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("response_id"))
-    files = store.save(dealt.mapInArrow(write(folder, dictionary, file_bytes), "name string, n long"), "files")
+    files = store.save(dealt.mapInArrow(tidy(write(folder, dictionary, file_bytes)), "name string, n long"), "files")
     store.drop("shared")
     return files
 
@@ -258,7 +258,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
     """The records of the files: page_id, payload_bytes, payload_digest, record_type, refers_to, url; a task reads some files."""
     n = files.count()
-    return files.select("name").repartition(max(n, 1), "name").mapInArrow(read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return files.select("name").repartition(max(n, 1), "name").mapInArrow(tidy(read(folder)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_and_read(pages: DataFrame, **columns: str) -> DataFrame:
