@@ -16,6 +16,7 @@ from sparkloom.operators.table import Table
 from sparkloom.plans import recipe as recipes
 from sparkloom.queries import RECIPE, query, read, table
 from sparkloom.sources import readers, writers
+from sparkloom.sources.ranged import ByteFile
 from sparkloom.sources.readers import with_row_index
 from sparkloom.sources.scratch import scratch
 from sparkloom.types import LogicalType
@@ -367,6 +368,25 @@ def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.rows(500, 40)
 
 
+@query('SELECT p AS "row", \'{"n_nationkey":\' || n_nationkey || \'}\' AS value FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS p, n_nationkey FROM nation) WHERE p IN (3, 4, 20)')
+def row_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by their places, through a cache of windows."""
+    file = json_file(spark, read(spark, sf_dir, "nation", "n_nationkey").orderBy("n_nationkey"))
+    store = navigation.RowStore.build(readers.read_json_lines(spark, file).frame, scratch(spark, "rows"))
+    cache = navigation.RowCache(store, capacity=6, window=4)
+    found = [cache.get(k) for k in (3, 20, 4, 99)]
+    return spark.createDataFrame([(r["row"], r["value"]) for r in found if r], "row long, value string")
+
+
+@query("SELECT 'k,v' AS head, 'v\n' AS tail, NULL::VARCHAR AS beyond")
+def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a file's bytes, and one that isn't in it."""
+    lines = read(spark, sf_dir, "nation").select(F.concat("n_nationkey", F.lit(",v")).alias("value"))
+    file = ByteFile.open(spark, lines_file(spark, lines, "x.csv", "k,v"))
+    row = (file.read(0, 3).decode(), file.read(file.length - 2, 2).decode(), file.try_read(file.length - 1, 2))
+    return spark.createDataFrame([row], "head string, tail string, beyond string")
+
+
 @query("SELECT n_nationkey, unnest(['n: ' || n_nationkey, 's: \"a\\\"b\\n\"', 'z: <null>', 'f: 1.50', 'o: {Object: 2 properties}', 'l: [Array: 0 items]', 'b: true']) AS node FROM nation")
 def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers keep their decimals, and strings are quoted and escaped."""

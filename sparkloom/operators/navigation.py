@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import jsontext
@@ -94,6 +95,34 @@ class RowStore:
         return self.rows(number * size, size)
 
 
+class RowCache:
+    """Records of a store by their places, for a screen: a miss fetches a window around the place, and the least recently
+    used records go beyond the capacity."""
+
+    def __init__(self, store: RowStore, capacity: int = 200, window: int = 20) -> None:
+        if window < 1 or capacity < window:
+            raise ValueError("a cache holds at least a window of one record")
+        self.store, self.capacity, self.window = store, capacity, window
+        self.held: OrderedDict[int, Row] = OrderedDict()
+        self.fetched = 0
+
+    def get(self, place: int) -> Row | None:
+        """The record at a place; None if there is none."""
+        if place not in self.held:
+            first = max(0, place - self.window // 2)
+            self.fetched += 1
+            for row in self.store.rows(first, self.window).collect():  # a window of records
+                self.held[row["row"]] = row
+                self.held.move_to_end(row["row"])
+        if place not in self.held:
+            return None
+        self.held.move_to_end(place)
+        found = self.held[place]
+        while len(self.held) > self.capacity:
+            self.held.popitem(last=False)
+        return found
+
+
 def tree_text(label: str, value: jsontext.Value) -> str:
     """A node as a tree shows it."""
     if value.kind == "string":

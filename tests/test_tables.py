@@ -182,3 +182,31 @@ def test_row_store_reads_a_range_by_itself(spark, tmp_path):
     assert [r.row for r in store.range(4, 1000).select("row").collect()] == list(range(4000, 5000))
     plan = store.rows(10, 5)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(row,10)" in plan and "LessThan(row,15)" in plan  # pushed to the scan
+
+
+def test_row_cache(spark, tmp_path):
+    from sparkloom.operators.navigation import RowCache, RowStore
+
+    cache = RowCache(RowStore.build(spark.range(100).select(F.col("id").alias("value")), str(tmp_path / "rows")), capacity=20, window=10)
+    assert [cache.get(k).value for k in (50, 49, 54, 45)] == [50, 49, 54, 45] and cache.fetched == 1
+    assert cache.get(100) is None and cache.get(0).value == 0
+    for k in (20, 40, 60, 80):
+        assert cache.get(k).value == k and len(cache.held) <= 20
+    before = cache.fetched
+    assert cache.get(80).value == 80 and cache.fetched == before
+    assert cache.get(0).value == 0 and cache.fetched == before + 1
+
+
+def test_byte_ranges(spark, tmp_path):
+    from sparkloom.sources.ranged import ByteFile
+
+    (tmp_path / "x").write_bytes(bytes(range(256)))
+    file = ByteFile.open(spark, str(tmp_path / "x"))
+    assert file.read(250, 6) == bytes(range(250, 256)) and file.read(3, 0) == b"" and file.try_read(255, 2) is None
+    for bad in ((-1, 2), (0, 257), (256, 1)):
+        with pytest.raises(readers.SourceError):
+            file.read(*bad)
+    (tmp_path / "empty").write_bytes(b"")
+    for name in ("empty", "none"):
+        with pytest.raises(readers.SourceError):
+            ByteFile.open(spark, str(tmp_path / name))
