@@ -25,7 +25,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's lang becomes the language found in its text, and documents in no learned language go: null texts,
     texts without a letter, and texts of which no language contains language.LEAST of the n-grams. Learns from documents
-    whose crc32(doc_id) mod 5 isn't 0."""
+    whose crc32(doc_id) mod 5 isn't 0; where none of them has a lang, no language is learned and all go."""
     docs = _documents(docs)
     filters = language.learn(docs.where(~language.held_out("doc_id", 5, 0)).select("doc_id", "text", "lang"))
     return language.keep_known(docs, filters)
