@@ -90,9 +90,11 @@ def windows_of(items: DataFrame, counts: DataFrame, window: int, near_terms: int
     x = x.select("item_id", F.explode(wins).alias("w")).select("item_id", "w.*")
     first, second = F.col("by_n")[0], F.coalesce(F.get("by_n", F.lit(1)), F.col("by_n")[0])
     pair = F.array_sort(F.array(*[F.struct(r["at"].alias("at"), r["term"].alias("term")) for r in (first, second)]))
-    x = x.select("item_id", "digest", "len", "start", pair.alias("pair"), first["n"].alias("least"), F.slice(F.filter("by_n", lambda r: r["n"] > 0), 1, near_terms)["term"].alias("near"))
+    near = F.slice(F.filter("by_n", lambda r: r["n"] > 0), 1, near_terms)["term"]
+    x = x.select("item_id", "digest", "len", "start", pair.alias("pair"), first["n"].alias("least"), near.alias("near"))
     a, b = F.col("pair")[0], F.col("pair")[1]
-    return x.select("item_id", "digest", "len", "least", "near", a["term"].alias("a"), (a["at"] - F.col("start")).alias("at_a"), b["term"].alias("b"), (b["at"] - a["at"]).alias("delta"))
+    places = [a["term"].alias("a"), (a["at"] - F.col("start")).alias("at_a"), b["term"].alias("b"), (b["at"] - a["at"]).alias("delta")]
+    return x.select("item_id", "digest", "len", "least", "near", *places)
 
 
 def near_pairs(wins: DataFrame) -> DataFrame:

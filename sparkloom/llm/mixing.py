@@ -60,29 +60,48 @@ def targets(sources: DataFrame, store: Store, weights: tuple[float, ...] = WEIGH
     return x.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def source_key(source: str) -> F.Column:
+    """A key that null has too."""
+    return F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("="), source))
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    epochs: float = EPOCHS,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, before (the words before it in its
     source's order), full (whole epochs of its source), key (its place in that order), source.
 
     taken counts whole epochs plus, of the last epoch, what lies before the source's cut; one document a source may be cut.
     """
     store = Store(docs.sparkSession, "mix")
-    text_hash = F.xxhash64(F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_hash.alias("text_hash"))
-    sized = store.save(sized.withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).withColumn("key", order_key(F.col("doc_id"), F.col("text_hash"))), "sized")
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    keyed = own.withColumn("skey", source_key("source")).withColumn("key", order_key(F.col("doc_id"), F.col("text_hash")))
+    sized = store.save(keyed, "sized")
     buckets = min(parts(sized.count(), bucket_rows, LEAST_BUCKETS), 1 << 30)
     sized = sized.withColumn("bucket", F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(buckets), 31))
     sums = sized.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
     sums = store.save(sums, "sums")
-    sources = store.save(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")), "sources")
-    each = targets(sources, store, weights, share, epochs).withColumn("skey", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))).drop("source")
+    sources = sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
+    each = targets(store.save(sources, "sources"), store, weights, share, epochs)
+    each = each.withColumn("skey", source_key("source")).drop("source")
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = store.save(sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("ahead")).join(each, "skey"), "cuts")
+    before = F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))
+    cuts = store.save(sums.select("skey", "bucket", before.alias("ahead")).join(each, "skey"), "cuts")
     within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     x = sized.join(cuts, ["skey", "bucket"]).withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    x = x.withColumn("budget", F.round("target").cast("long")).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)))
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0))
+    x = x.withColumn("budget", F.round("target").cast("long")).withColumn("full", full)
     rest = F.col("budget") - F.col("full") * F.col("source_size") - F.col("before")
-    return x.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(rest, "size"))).cast("long").alias("taken"), "before", "full", "key", "source")
+    taken = (F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(rest, "size"))).cast("long")
+    return x.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "before", "full", "key", "source")
 
 
 def cuts(mixed: DataFrame) -> DataFrame:

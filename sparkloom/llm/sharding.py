@@ -63,17 +63,33 @@ def place(residual: np.ndarray, totals: np.ndarray, share: np.ndarray, weights:
         mine = residual * (sizes.sum(axis=0) / np.where(share > 0, share, 1))
         shard = np.empty(len(sizes), np.int32)
         shard[order] = pack(sizes[order], mine, int(key.view("u8").sum() % len(residual)), weights)
-        yield pa.RecordBatch.from_arrays([table["gkey"].combine_chunks(), table["text_crc32"].combine_chunks(), table["piece"].combine_chunks(), pa.array(shard)], ["gkey", "text_crc32", "piece", "shard"])
+        names = ["gkey", "text_crc32", "piece"]
+        yield pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in names], pa.array(shard)], [*names, "shard"])
 
     return run
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, task_groups: int = TASK_GROUPS, slot_rows: int = SLOT_ROWS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def shard(
+    docs: DataFrame,
+    shards: int = 40,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    large: int = LARGE,
+    task_groups: int = TASK_GROUPS,
+    slot_rows: int = SLOT_ROWS,
+    weights: tuple[float, ...] = WEIGHTS,
+) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot, tokens."""
     spark, store = docs.sparkSession, Store(docs.sparkSession, "shard")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    data = F.encode(text, "UTF-8")
-    rows = store.save(docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), data.alias("b")).select("doc_id", (F.octet_length("t") + F.lit(ROW_BYTES)).cast("long").alias("size"), F.regexp_count("t", F.lit(WORD)).cast("long").alias("tokens"), F.crc32("b").alias("text_crc32"), F.xxhash64("t").alias("gkey")), "rows")
+    sized = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.encode(text, "UTF-8").alias("b")).select(
+        "doc_id",
+        (F.octet_length("t") + F.lit(ROW_BYTES)).cast("long").alias("size"),
+        F.regexp_count("t", F.lit(WORD)).cast("long").alias("tokens"),
+        F.crc32("b").alias("text_crc32"),
+        F.xxhash64("t").alias("gkey"),
+    )
+    rows = store.save(sized, "rows")
     summed = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")]
     groups = store.save(rows.groupBy("gkey", "text_crc32").agg(*summed), "groups")
     got = groups.agg(*[F.sum(c) for c in SIZES], F.count(F.lit(1))).first()
@@ -85,9 +101,11 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     hot = groups.where(full > 1).select("gkey", "text_crc32", F.ceil(full * 4).cast("int").alias("pieces")).collect()  # fewer than there are shards
     hot = spark.createDataFrame(hot, "gkey long, text_crc32 long, pieces int").coalesce(1)
     key = ["gkey", "text_crc32"]
-    rows = rows.join(F.broadcast(hot), key, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), "pieces"), F.lit(0)).cast("int")).drop("pieces")
+    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), "pieces"), F.lit(0)).cast("int")
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("piece", piece).drop("pieces")
     pieces = rows.join(F.broadcast(hot), key, "left_semi").groupBy(*key, "piece").agg(*summed)
-    items = groups.join(F.broadcast(hot), key, "left_anti").withColumn("piece", F.lit(0)).select(*key, "piece", *SIZES).unionByName(pieces.select(*key, "piece", *SIZES))
+    whole = groups.join(F.broadcast(hot), key, "left_anti").withColumn("piece", F.lit(0))
+    items = whole.select(*key, "piece", *SIZES).unionByName(pieces.select(*key, "piece", *SIZES))
 
     is_large = over(1 / shards / large) >= 1
     big = items.where(is_large).toPandas()  # 3 x shards x large rows at most, for the sum of all sizes
@@ -95,17 +113,24 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     sizes = big[list(SIZES)].to_numpy(float).reshape(-1, len(SIZES)) / totals
     order = largest_first(sizes, big["piece"].to_numpy(), big["text_crc32"].to_numpy(), big["gkey"].to_numpy())
     big = big.iloc[order].assign(shard=pack(sizes[order], residual, 0, weights))
-    placed = spark.createDataFrame(big[[*key, "piece", "shard"]].astype("int64"), "gkey long, text_crc32 long, piece long, shard long").select(*key, F.col("piece").cast("int").alias("piece"), F.col("shard").cast("int").alias("shard")).coalesce(1)
-    small = items.where(~is_large).repartition(parts(got[3], task_groups), "gkey").mapInArrow(place(residual, totals, 1 - sizes.sum(axis=0), weights), "gkey long, text_crc32 long, piece int, shard int")
+    placed = spark.createDataFrame(big[[*key, "piece", "shard"]].astype("int64"), "gkey long, text_crc32 long, piece long, shard long")
+    placed = placed.select(*key, *[F.col(c).cast("int").alias(c) for c in ("piece", "shard")]).coalesce(1)
+    packing = place(residual, totals, 1 - sizes.sum(axis=0), weights)
+    small = items.where(~is_large).repartition(parts(got[3], task_groups), "gkey")
+    small = small.mapInArrow(packing, "gkey long, text_crc32 long, piece int, shard int")
 
     buckets = parts(int(got[2]), slot_rows * shards, 4)
     at = ["gkey", "text_crc32", "piece"]
     dealt = rows.join(F.broadcast(placed), at, "left").withColumnRenamed("shard", "big_shard")
-    of_big, of_small = dealt.where(F.col("big_shard").isNotNull()).withColumnRenamed("big_shard", "shard"), dealt.where(F.col("big_shard").isNull()).drop("big_shard").join(small, at)
+    of_big = dealt.where(F.col("big_shard").isNotNull()).withColumnRenamed("big_shard", "shard")
+    of_small = dealt.where(F.col("big_shard").isNull()).drop("big_shard").join(small, at)
     cols = ["doc_id", "size", "text_crc32", "shard", "tokens"]
-    dealt = store.save(of_big.select(*cols).unionByName(of_small.select(*cols)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int")), "dealt")
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int")
+    dealt = store.save(of_big.select(*cols).unionByName(of_small.select(*cols)).withColumn("bucket", bucket), "dealt")
     store.drop("rows", "groups")
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32")
-    return dealt.join(counts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("ahead") + F.row_number().over(within) - 1).cast("long").alias("slot"), "tokens")
+    slot = (F.col("ahead") + F.row_number().over(within) - 1).cast("long").alias("slot")
+    return dealt.join(counts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", slot, "tokens")
