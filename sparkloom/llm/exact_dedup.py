@@ -51,8 +51,10 @@ def hot_digests(digests: DataFrame, rows: int, heavy: int = HEAVY, counters: int
     A summary undercounts a digest by rows/(counters+1) at most over all tasks together, so none is missed.
     """
     floor = max(rows / heavy, least) - rows / (counters + 1)
-    maybe = digests.select("text_sha256").mapInArrow(misra_gries(counters), "text_sha256 string, left long").groupBy("text_sha256").agg(F.sum("left").alias("left")).where(F.col("left") >= floor).select("text_sha256")
-    exact = digests.join(F.broadcast(maybe), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    left = digests.select("text_sha256").mapInArrow(misra_gries(counters), "text_sha256 string, left long")
+    maybe = left.groupBy("text_sha256").agg(F.sum("left").alias("left")).where(F.col("left") >= floor).select("text_sha256")
+    counted = digests.join(F.broadcast(maybe), "text_sha256", "left_semi").groupBy("text_sha256")
+    exact = counted.agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return exact.where(F.col("group_size") >= max(rows / heavy, least))
 
 
@@ -62,6 +64,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = store.save(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.encode(normalised(text_col), "UTF-8"), 256).alias("text_sha256")), "digests")
     hot = store.save(hot_digests(digests, digests.count(), heavy, counters, least), "hot")
     group = Window.partitionBy("text_sha256")
-    rest = digests.join(F.broadcast(hot), "text_sha256", "left_anti").select("doc_id", F.min("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"), "text_sha256")
+    own = [F.min("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size")]
+    rest = digests.join(F.broadcast(hot), "text_sha256", "left_anti").select("doc_id", *own, "text_sha256")
     winners = digests.join(F.broadcast(hot), "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     return winners.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -168,7 +168,8 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
         judge = model.value.judge
         for batch in batches:
             got = [judge(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "text_hash", "lang_pred", "score"])
+            found = [pa.array([lang for lang, _ in got], pa.string()), pa.array([score for _, score in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["doc_id", "text_hash", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     return own.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, text_hash long, lang_pred string, score double")

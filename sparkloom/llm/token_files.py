@@ -189,7 +189,9 @@ class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         self.tokenizer = _encoder(path)
         first = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        self.cuts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and self.tokenizer.normalizer is None and array("I").itemsize == 4 and sys.byteorder == "little"
+        byte_level = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+        little_words = array("I").itemsize == 4 and sys.byteorder == "little"
+        self.cuts = byte_level and self.tokenizer.normalizer is None and little_words
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Pieces(self.tokenizer.model, remembered)
 
@@ -237,7 +239,9 @@ def write(tokenizer: str, end_id: int, folder: str, bits: bool, file_ids: int):
         if out:
             close()
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["part", "file", "name", "n_docs", "n_ids"])
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["part", "file", "name", "n_docs", "n_ids"])
 
     return run
 
@@ -260,7 +264,17 @@ def read_back(folder: str):
     return run
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", bits: bool = False, task_docs: int = TASK_DOCS, file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bits: bool = False,
+    task_docs: int = TASK_DOCS,
+    file_ids: int = FILE_IDS,
+) -> DataFrame:
     """Writes the documents' files to folder, which all executors share; a row per file: part, file, name, n_docs, n_ids, start (ids of the files before it).
 
     Tasks get ranges of the ids that hold about task_docs documents or TASK_BYTES each, whichever is less; the ranges'
@@ -271,7 +285,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, i
     rows, size = own.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     tasks = max(parts(rows, task_docs, 1), parts(size or 0, TASK_BYTES, 1))
     ranged = own.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(write(tokenizer, end_id, folder, bits, file_ids)), "part int, file int, name string, n_docs long, n_ids long")
+    placed = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    written = placed.mapInArrow(tidy(write(tokenizer, end_id, folder, bits, file_ids)), "part int, file int, name string, n_docs long, n_ids long")
     files = store.save(written, "files")
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
@@ -280,8 +295,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, i
 def read_files(files: DataFrame, folder: str) -> DataFrame:
     """The documents of the files: doc_id, start, n_tokens, ids_crc32, name; a task reads a file."""
     spark: SparkSession = files.sparkSession
-    n = files.count()
-    return files.select("name", "start").repartition(max(n, 1), "name").mapInArrow(tidy(read_back(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long, name string") if n else spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, name string")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, name string"
+    if not (n := files.count()):
+        return spark.createDataFrame([], schema)
+    return files.select("name", "start").repartition(n, "name").mapInArrow(tidy(read_back(folder)), schema)
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, bits: bool = False, **columns: str) -> DataFrame:
