@@ -33,7 +33,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 #: Where a session doesn't say how many bytes Python gets at once, this does, so that long texts don't make large batches.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 class Store:
