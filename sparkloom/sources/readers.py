@@ -12,6 +12,7 @@ from sparkloom.functions import jsontext
 from sparkloom.functions.inference import infer_text, infer_token, infer_whole
 from sparkloom.sources.pieces import array_elements, object_entries  # noqa: F401
 from sparkloom.sources.records import JsonRecords, TextRecords
+from sparkloom.sources.scratch import scratch
 from sparkloom.types import DataFormat, LogicalType, TableSchema, join_all, join_types
 
 #: Records that a schema is inferred from unless the whole file is asked for.
@@ -62,12 +63,44 @@ def detect_batch(path: str) -> DataFormat:
 # --- row numbers
 
 
+def is_settled(df: DataFrame) -> bool:
+    """Whether all plans over df find the same rows in the same partitions: none is dealt out by a shuffle.
+
+    The bounds of a sort are sampled anew for each plan, and how shuffled partitions are put together follows from the
+    bytes of the columns that a plan keeps. The small side of a broadcast join deals out nothing.
+    """
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "BroadcastExchange":
+            continue
+        if name.endswith("Exchange"):
+            return False
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.initialPlan())
+        below = node.children()
+        nodes += [below.apply(k) for k in range(below.size())]
+    return True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, kept as a checkpoint with its order and partitions if a shuffle deals out its rows."""
+    if is_settled(df):
+        return df
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "rows"))
+    return df.checkpoint()
+
+
 def with_row_index(df: DataFrame, name: str = "row") -> DataFrame:
     """Adds each row's place from 0 in the frame's order: places in its partition, after the sizes of those before.
 
-    Two passes and no shuffle of rows; only partition sizes are summed.
+    Two passes and no shuffle of rows; only partition sizes are summed. Both passes have to find the same partitions, so a
+    frame that comes from a shuffle, such as a sorted one, is kept first.
     """
-    marked = df.withColumn("__at", F.monotonically_increasing_id())
+    marked = settled(df).withColumn("__at", F.monotonically_increasing_id())
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
