@@ -91,7 +91,10 @@ class Table:
         return execute.to_csv_lines(self.records, self.plan())
 
     def page(self, first: int, rows: int) -> DataFrame:
-        return self.view().offset(first).limit(rows)
+        """Rows of the view by their places, in order. Where nothing is filtered, only their records are rendered."""
+        if self.plan(Mode.View).filters:
+            return readers.rows_at(self.view(), first, rows)
+        return replace(self, records=replace(self.records, frame=readers.rows_at(self.records.frame, first, rows))).view()
 
     def filtered_index(self) -> DataFrame:
         """(row, source_row): which source row each row of the view comes from."""

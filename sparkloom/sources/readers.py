@@ -108,6 +108,11 @@ def with_row_index(df: DataFrame, name: str = "row") -> DataFrame:
     return marked.join(F.broadcast(offsets), part == F.col("__part")).withColumn(name, F.col("__before") + place).drop("__at", "__part", "__before")
 
 
+def rows_at(df: DataFrame, first: int, n: int) -> DataFrame:
+    """n rows from a place on, in the frame's order; a plain limit takes what comes first from the executors."""
+    return df.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").offset(first).limit(n).drop("__at")
+
+
 # --- CSV
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import file_queries, queries  # noqa: F401
+from sparkloom.functions.predicates import Operator
 from sparkloom.operators import navigation
+from sparkloom.operators.table import Table
 from sparkloom.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,30 @@ def test_only_shuffled_frames_are_kept(spark):
 @tables
 def test_drill_json_array(spark, many_parts):
     against_sql(spark, "drill_json_array")
+
+
+@tables
+def test_json_array_page(spark, many_parts):
+    got = against_sql(spark, "json_array_page")
+    assert [r[0] for r in got] == [str(k) for k in range(30, 50)]
+
+
+def test_pages_are_taken_by_place(spark, tmp_path, capsys):
+    """In any order that partitions arrive in: the rows are sorted by their places, not taken as they come."""
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"k":{k},"v":"{"y" * 50}"}}\n' for k in range(5000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        table = Table.open(spark, str(tmp_path / "x.jsonl"))
+        assert table.records.frame.rdd.getNumPartitions() > 5
+        for t, first, want in ((table, 990, range(990, 1010)), (table.filter("k", Operator.GreaterThan, "999"), 2990, range(3990, 4010))):
+            page = t.page(first, 20)
+            assert [int(r.k) for r in page.collect()] == list(want)
+            page.explain()
+            plan = capsys.readouterr().out
+            assert "TakeOrderedAndProject" in plan and "CollectLimit" not in plan
+        assert [r.k for r in table.page(4990, 20).collect()] == [str(k) for k in range(4990, 5000)] and not table.page(5000, 3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
