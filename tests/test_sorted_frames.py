@@ -92,3 +92,8 @@ def test_pages_are_taken_by_place(spark, tmp_path, capsys):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@tables
+def test_json_array_scan(spark, many_parts):
+    against_sql(spark, "json_array_scan")
