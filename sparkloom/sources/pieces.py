@@ -179,11 +179,22 @@ def _element(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _pair(text: str) -> tuple[str, str]:
+    """The key, and the value as written; what stands behind the value isn't dropped but refused."""
+    if not (key := jsontext.STRING.match(text, jsontext.SPACE.match(text).end())):
+        raise jsontext.Malformed(f"no key: {text[:80]}")
+    colon = jsontext.SPACE.match(text, key.end()).end()
+    if text[colon : colon + 1] != ":":
+        raise jsontext.Malformed(f"no colon: {text[:80]}")
+    value, end = jsontext.value_at(text, jsontext.SPACE.match(text, colon + 1).end())
+    if text[end:].strip(" \t\r\n"):
+        raise jsontext.Malformed(f"more than a member: {text[:80]}")
+    return jsontext.unescaped(key[1]), jsontext.source(value)
+
+
 def _member(texts: pa.Array) -> pa.Array:
-    found = [list(jsontext.members("{" + text + "}")) for text in texts.to_pylist()]
-    if any(len(x) != 1 for x in found):
-        raise jsontext.Malformed("an object's member is empty")
-    keys, values = [x[0][0] for x in found], [jsontext.source(x[0][1]) for x in found]
+    found = [_pair(text) for text in texts.to_pylist()]
+    keys, values = [x[0] for x in found], [x[1] for x in found]
     return pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], ["key", "value"])
 
 

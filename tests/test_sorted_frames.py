@@ -9,7 +9,7 @@ from sparkloom import file_queries, queries  # noqa: F401
 from sparkloom.functions.predicates import Operator
 from sparkloom.operators import navigation
 from sparkloom.operators.table import Table
-from sparkloom.sources import readers
+from sparkloom.sources import pieces, readers
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -97,3 +97,16 @@ def test_pages_are_taken_by_place(spark, tmp_path, capsys):
 @tables
 def test_json_array_scan(spark, many_parts):
     against_sql(spark, "json_array_scan")
+
+
+@tables
+def test_json_object_scan(spark, many_parts):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200")  # 150 customers
+    against_sql(spark, "json_object_scan")
+
+
+@pytest.mark.parametrize("text", ['{"a": 1}, "b": {"c": 2}', '{"a": 1} {"b": 2}', '{"a" 1}', '{"a": 1,}', '{"a"}', "{1: 2}"])
+def test_what_is_no_object(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception):  # noqa: B017
+        pieces.object_entries(spark, str(tmp_path / "x.json")).collect()
