@@ -4,7 +4,8 @@ A file is read in pieces between commas, which Spark's text reader splits like l
 it has to fit in a task. Where a task's part starts it can't be told whether that is within a string or how deep, so a
 first pass sums up each part for both cases: how it ends, how much deeper, and how many commas it has at each depth.
 From these sums, a row for each part, follows how each part starts, and a second pass cuts it at the commas of depth 1.
-What lies between two of these is whole in a part, or is put together from the parts that it spans.
+What lies between two of these is whole in a part, or is put together from the parts that it spans. Both passes have to
+find the same parts, so these are cut once, not anew in each plan by the cores that there are just then.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import jsontext
+from sparkloom.sources.pinned import pinned
 
 QUOTE, ESCAPE, COMMA, OPENING, CLOSING = 34, 92, 44, (91, 123), (93, 125)
 BOM = "﻿"
@@ -150,7 +152,7 @@ def cut(told: Broadcast, first_part: int, last_part: int) -> Callable[[Iterator[
 
 def fragments(spark: SparkSession, path: str, opening: str) -> DataFrame:
     """(pos, text): what lies between the commas of depth 1 of a file's array or object, in order, without its brackets."""
-    pieces = spark.read.option("lineSep", ",").text(path).withColumn("part", F.spark_partition_id())
+    pieces = pinned(spark.read.option("lineSep", ",").text(path)).withColumn("part", F.spark_partition_id())
     start, last = starts(pieces)
     found = pieces.mapInArrow(cut(spark.sparkContext.broadcast(start), min(start), max(start)), CUT)
     if len(start) > 1:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import jsontext
 from sparkloom.functions.inference import infer_text, infer_token, infer_whole
 from sparkloom.sources.pieces import array_elements, object_entries  # noqa: F401
+from sparkloom.sources.pinned import pinned
 from sparkloom.sources.records import JsonRecords, TextRecords
 from sparkloom.sources.scratch import scratch
 from sparkloom.types import DataFormat, LogicalType, TableSchema, join_all, join_types
@@ -98,9 +99,9 @@ def with_row_index(df: DataFrame, name: str = "row") -> DataFrame:
     """Adds each row's place from 0 in the frame's order: places in its partition, after the sizes of those before.
 
     Two passes and no shuffle of rows; only partition sizes are summed. Both passes have to find the same partitions, so a
-    frame that comes from a shuffle, such as a sorted one, is kept first.
+    frame that comes from a shuffle, such as a sorted one, is kept first, and the parts of files are cut once.
     """
-    marked = settled(df).withColumn("__at", F.monotonically_increasing_id())
+    marked = pinned(settled(df)).withColumn("__at", F.monotonically_increasing_id())
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -99,6 +99,43 @@ def test_json_array_scan(spark, many_parts):
     against_sql(spark, "json_array_scan")
 
 
+@pytest.fixture
+def file_parts(spark):
+    """Sets into how many parts files are cut at least, as more or fewer cores of executors do."""
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
+    spark.conf.set(names[0], "100")
+    yield lambda n: spark.conf.set(names[1], str(n))
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_json_array_while_cores_change(spark, file_parts, tmp_path):
+    """A lost executor changes into how many parts a plan cuts the file."""
+    want = [f'{{"k":{k},"v":"{"y" * 50}"}}' for k in range(2000)]
+    (tmp_path / "x.json").write_text(f"[{','.join(want)}]")
+    file_parts(6)
+    table = Table.open(spark, str(tmp_path / "x.json"))
+    assert table.records.frame.count() == 2000
+    for n in (4, 9):
+        file_parts(n)
+        assert [r.value for r in table.records.frame.where("value <> ''").collect()] == want
+        assert sorted(int(r.k) for r in table.batch().collect()) == list(range(2000))
+
+
+def test_places_while_cores_change(spark, file_parts, tmp_path):
+    """Sizes of parts and rows are found in the same parts."""
+    (tmp_path / "x.txt").write_text("".join(f"{k}\n" for k in range(3000)))
+    file_parts(6)
+    numbered = readers.with_row_index(spark.read.text(str(tmp_path / "x.txt")))
+    assert numbered.rdd.getNumPartitions() == 6
+    for n in (4, 9):
+        file_parts(n)
+        later = numbered.where("value <> ''")
+        assert later.rdd.getNumPartitions() == 6
+        assert sorted((int(r.value), r.row) for r in later.collect()) == [(k, k) for k in range(3000)]
+
+
 @tables
 def test_json_object_scan(spark, many_parts):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200")  # 150 customers
