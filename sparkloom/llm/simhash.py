@@ -38,6 +38,8 @@ from sparkloom.llm.store import Store, parts, tidy
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Fingerprints of an anchor that are compared in one cell; entries that a task compares; shingles whose bits are summed at once.
 CELL, TASK_ENTRIES, CHUNK = 20_000, 750_000, 1 << 17
+#: Distinct fingerprints for each task that writes their components.
+TASK_NAMES = 500_000
 #: Distinct fingerprints from which on a third block is coded; bits of the hash that tells whether an anchor is split, and of a part's number.
 DENSE, SLOT_BITS, PART_BITS = 50_000_000, 24, 14
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -332,10 +334,11 @@ def near_dedup(
     distinct = store.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     rows = distinct.count()
     links = links_of(distinct.select("fp"), rows, distance, cell, task_entries, rows >= dense_from)
-    roots = store.save(components(links, store), "roots")
+    roots = components(links, store)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
-    named = store.save(named.join(ids, "root").select("fp", "component_id", "n_links"), "named")
-    store.drop("distinct", "roots")
+    named = named.join(ids, "root").select("fp", "component_id", "n_links")
+    named = store.save(named.coalesce(parts(rows, TASK_NAMES, 6)), "named")
+    store.drop("distinct")
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return marked.join(named, "fp").select("doc_id", fingerprint, "component_id", "n_links", "text_hash")

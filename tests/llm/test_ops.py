@@ -443,6 +443,32 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == {i: 0 for i in range(1, 41)} | {100: 50, 60: 50, 201: 200}
 
 
+def test_small_graphs_take_few_files(spark, monkeypatch):
+    """Where shuffles deal out to many partitions too: each file that an executor writes can cost it processes."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, save = {k: spark.conf.get(k) for k in names}, {}, Store.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Store, "save", counted)
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.range(900, numPartitions=2).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 30).alias("b"))
+        got = components.components(links, Store(spark, "test")).collect()
+        words = [(k, f"{'a b c d e f g h ' * 4}{k % 50}") for k in range(100)]
+        assert simhash.near_dedup(spark.createDataFrame(words, "doc_id long, text string")).count() == 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((x.node, x.root) for x in got) == [(k, k - k % 30) for k in range(900) if k % 30]
+    assert "roots" not in files  # the components are read from where they were written last
+    assert max(n for name, n in files.items() if name == "named" or "links-" in name and name != "links-0") <= 6
+
+
 def test_components_with_hot_nodes(spark):
     r = random.Random(8)
     links = [(5000, i) for i in range(3000)] + [(r.randrange(4000, 5000), r.randrange(4000, 5000)) for _ in range(400)] + [(7000 + i // 9, 9000 + i) for i in range(900)] + [(2999, 7001)]
