@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import Store, tidy
+from sparkloom.llm.store import bound_batches, tidy
 
 SAMPLE, NEAR, UNKNOWN = 4000, 0.1, "und"
 #: The share of its n-grams that a kept document's language contains at least.
@@ -139,7 +139,8 @@ def gram_counts(names: list[str]):
 
 def learn(docs: DataFrame, sample: int = SAMPLE, near: float = NEAR) -> Filters:
     """docs: the (doc_id, text, lang) to learn from."""
-    spark, store = docs.sparkSession, Store(docs.sparkSession, "language")
+    spark = docs.sparkSession
+    bound_batches(spark)
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
@@ -150,12 +151,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE, near: float = NEAR) -> Filters:
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11) / F.lit(float(1 << 53))
     drawn = usable.join(sizes, "lang").where(u < F.col("share")).select("lang", "text")
     found = drawn.mapInArrow(tidy(gram_counts(names)), "lang string, gram long, n long")
-    table = store.save(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    table = found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.col("drawn")
     most = F.max(rate).over(Window.partitionBy("gram"))  # a row per language at most
     kept = table.join(sizes, "lang").withColumn("most", most).where(rate >= near * F.col("most"))
     kept = kept.select("lang", "gram").toArrow().to_pandas()  # the n-grams of a bounded number of documents
-    store.drop("grams")
     found = {name: own.to_numpy(np.int64).view(np.uint64) for name, own in kept.groupby("lang")["gram"]}
     return Filters.build(names, [found.get(name, np.zeros(0, np.uint64)) for name in names])
 

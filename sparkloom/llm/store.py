@@ -36,6 +36,11 @@ def shared_root(spark: SparkSession) -> str:
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 class Store:
     """Tables of one operator call. A lost executor costs a task's work only: what is saved here is read again from the shared folder.
 
@@ -44,8 +49,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        if spark.conf.get(BATCH_BYTES[0], None) is None:
-            spark.conf.set(*BATCH_BYTES)
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/sparkloom/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -495,6 +495,19 @@ def test_codes_cover():
 # --- language
 
 
+def test_learning_writes_no_files(spark, monkeypatch):
+    """Each file that an executor writes can cost it processes, and the n-grams are read only once."""
+
+    def refused(self, df, name):
+        raise AssertionError(f"{name} is written")
+
+    monkeypatch.setattr(Store, "save", refused)
+    rows = [(k, "kalo mika loka" if k % 2 else "schrück entück", "aa" if k % 2 else "bb") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.learn(docs)
+    assert {(x.doc_id, x.lang_pred) for x in language.predict(docs, filters).collect()} == {(k, lang) for k, _, lang in rows}
+
+
 def test_language(spark):
     r = random.Random(4)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["schr", "ück", "ent"], "cc": ["ción", "lla", "ñu"]}
